@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagebeam.llm import minhash
+from sagebeam.llm import embeddings, minhash
 from sagebeam.llm.frames import Query, table
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), floor=0.95)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_minhash": op10_minhash}
+    return {f.__name__: f for f in (op1_embeddings, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
