@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagebeam.llm import decontaminate, embeddings, minhash
+from sagebeam.llm import decontaminate, embeddings, licenses, minhash, mixing
 from sagebeam.llm.frames import Query, table
 
 
@@ -17,12 +17,20 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op10_minhash)}
+    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op4_mixing, op5_licenses, op10_minhash)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -46,5 +54,53 @@ FROM docs LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
 """
 
 
+_OP4 = """
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    substr(md5(concat('mix', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 16) AS key FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
+    [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM totals),
+filled AS (
+  SELECT *, sum(cap) OVER o - cap AS held, sum(w) OVER () - (sum(w) OVER o - w) AS free, sum(source_size::DOUBLE) OVER () AS whole
+  FROM weighed WINDOW o AS (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+level AS (SELECT max((whole - held) / free) AS v FROM filled),
+goals AS (SELECT source, source_size, least(cap, w * v) AS target, CAST(round(least(cap, w * v)) AS BIGINT) AS goal FROM filled, level),
+ahead AS (
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM sized),
+parts AS (
+  SELECT a.*, source_size, target, CASE WHEN source_size > 0 THEN least(goal // source_size, 3) ELSE 0 END AS epochs, goal
+  FROM ahead AS a JOIN goals AS g ON a.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, goal - epochs * source_size - before)) AS BIGINT) AS taken FROM parts
+"""
+
+_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+_PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+
+_OP5 = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM} AS w FROM documents),
+word AS (SELECT rid, i - 1 AS p, w[i] AS x FROM docs, unnest(range(1, len(w) + 1)) AS t(i)),
+phrases AS (SELECT string_split(p, ' ') AS q, label FROM (VALUES {_PHRASES}) AS t(p, label)),
+places AS (
+  SELECT rid, p, label FROM word JOIN docs USING (rid) JOIN phrases ON x = q[1] AND w[p + 1 : p + len(q)] = q),
+base AS (SELECT rid, count(*) AS n, min(p) AS a, max(p) AS b, list_sort(list(DISTINCT label)) AS named FROM places GROUP BY rid),
+templates AS (
+  SELECT label, len(string_split(v, ' ')) AS span, list_distinct(string_split(v, ' ')) AS s FROM (VALUES {_VALUES}) AS t(label, v)),
+parts AS (SELECT label, span, len(s) AS n, unnest(s) AS x FROM templates),
+met AS (
+  SELECT rid, label, block, max(n) AS n, count(DISTINCT x) AS shared
+  FROM (SELECT rid, label, n, x, unnest(list_distinct([p // span, greatest(p // span - 1, 0)])) AS block FROM word JOIN parts USING (x))
+  GROUP BY rid, label, block HAVING count(DISTINCT x) >= ceil(max(n) * {licenses.CONTAINMENT} - 1e-9)),
+own AS (SELECT rid, max(CAST(shared AS DOUBLE) / n) AS best, list(DISTINCT replace(label, '-notice', '')) AS found FROM met GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word,
+  coalesce(array_to_string(named, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(named, []), coalesce(found, [])))), ','), '') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM docs LEFT JOIN base USING (rid) LEFT JOIN own USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2}
+    return {"op2_decontaminate": _OP2, "op4_mixing": _OP4, "op5_licenses": _OP5}
