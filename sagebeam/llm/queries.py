@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagebeam.llm import decontaminate, embeddings, licenses, minhash, mixing
+from sagebeam.llm import decontaminate, embeddings, licenses, minhash, mixing, warc
 from sagebeam.llm.frames import Query, table
 
 
@@ -25,12 +25,16 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op4_mixing, op5_licenses, op10_minhash)}
+    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op4_mixing, op5_licenses, op8_warc, op10_minhash)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,6 +80,15 @@ parts AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, goal - epochs * source_size - before)) AS BIGINT) AS taken FROM parts
 """
 
+_OP8 = """
+WITH sized AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, min(page_id) AS first FROM sized WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM sized LEFT JOIN firsts USING (digest)
+"""
+
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
 _PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
 
@@ -103,4 +116,4 @@ FROM docs LEFT JOIN base USING (rid) LEFT JOIN own USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op4_mixing": _OP4, "op5_licenses": _OP5}
+    return {"op2_decontaminate": _OP2, "op4_mixing": _OP4, "op5_licenses": _OP5, "op8_warc": _OP8}
