@@ -88,8 +88,8 @@ class Words:
         """Row number, from 0 in this slice, of every word."""
         return np.repeat(np.arange(self.hi - self.lo), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word with A-Z lowered."""
+    def hashes(self, head: int = 0, tail: int = 0) -> np.ndarray:
+        """A 64-bit hash of every word with A-Z lowered, or of its first ``head`` or last ``tail`` bytes."""
         out = np.empty(len(self.starts), dtype=np.uint64)
         w = 0
         while w < len(out):
@@ -100,6 +100,10 @@ class Words:
             total = np.zeros(len(data) + 1, dtype=np.uint64)
             np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
             s, t = self.starts[w:e] - b0, self.ends[w:e] - b0
+            if head:
+                t = np.minimum(t, s + head)
+            if tail:
+                s = np.maximum(s, t - tail)
             out[w:e] = splitmix((total[t] - total[s]) * inverse[s] + (t - s).astype(np.uint64))
             w = e
         return out
