@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagebeam.llm import decontaminate, embeddings, langid, licenses, minhash, mixing, quality, toxicity, warc
+from sagebeam.llm import decontaminate, embeddings, langid, licenses, lm, minhash, mixing, quality, toxicity, warc
 from sagebeam.llm.frames import Query, table
 
 
@@ -41,12 +41,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_quality, op4_mixing, op5_licenses, op6_langid, op7_toxicity, op8_warc, op10_minhash)}
+    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_quality, op4_mixing, op5_licenses, op6_langid, op7_toxicity, op8_warc, op9_lm, op10_minhash)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
