@@ -227,3 +227,26 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
     links, path = stored(met.select("a", "b", "of_a", "of_b").mapInArrow(_confirmer(percent), "a long, b long"), "minhash-links")
     discard(spark, pairs_path, sets_path)
     return links, path
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` of which one stands for each component; columns as they were.
+
+    Kept is the row of the component's smallest doc_id; of several rows with that
+    id in it, the one whose text has the smallest hash, and of equal texts one.
+    Rows without words stand for themselves.
+    """
+    marked = near_duplicates(docs, percent)
+    alone = marked.where("node is null").select("doc_id", "text_key").distinct()
+    first = marked.where("node is not null and doc_id <=> component_id").groupBy("node", "component_id").agg(F.min(F.struct("text_key", "doc_id")).alias("of"))
+    first = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("group")).agg(F.min("of").alias("of")).select("of.doc_id", "of.text_key")
+    chosen, _ = stored(alone.withColumn("many", F.lit(True)).unionByName(first.withColumn("many", F.lit(False))), "minhash-chosen")
+    key = "_minhash_text_key"
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    chosen = chosen.select(F.col("doc_id").alias("_minhash_id"), F.col("text_key").alias("_minhash_of"), F.col("many").alias("_minhash_many"))
+    rows = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_minhash_id")) & (F.col(key) == F.col("_minhash_of")))
+    repeated = marked.where("node is not null").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    if repeated:
+        # Only where whole rows repeat: rows without words all stay, of others one a key.
+        rows = rows.where("_minhash_many").unionByName(rows.where("not _minhash_many").dropDuplicates(["_minhash_of"]))
+    return rows.drop(key, "_minhash_id", "_minhash_of", "_minhash_many")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from sagebeam.llm import decontaminate, embeddings, langid, licenses, lm, minhash, mixing, quality, toxicity, warc
@@ -50,7 +51,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_quality, op4_mixing, op5_licenses, op6_langid, op7_toxicity, op8_warc, op9_lm, op10_minhash)}
+    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_quality, op4_mixing, op5_licenses, op6_langid, op7_toxicity, op8_warc, op9_lm, op10_minhash)} | {"pipeline": corpus_pipeline.run}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
