@@ -141,13 +141,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = PO
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = learning.stratified(known, "quality", sample)
     shape = learning.featurise(features, ["doc_id", "quality"])
-    table, x = learning.collected(slim.join(chosen, "doc_id").mapInArrow(shape, "doc_id long, quality int, x binary"))
+    table, x = learning.collected(slim.join(F.broadcast(chosen), "doc_id").mapInArrow(shape, "doc_id long, quality int, x binary"))
     y = table.column("quality").to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:
         return None
     totals = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    rest = slim.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
-    _, unlabelled = learning.collected(learning.stratified(rest, "quality", pool).mapInArrow(shape, "doc_id long, quality int, x binary"))
+    # The pool: a hash sample of all rows, without those that have a label, so that only the sample's texts are shuffled.
+    some = learning.stratified(slim.withColumn("quality", F.lit(-1)), "quality", pool)
+    _, unlabelled = learning.collected(some.join(known.select("doc_id"), "doc_id", "left_anti").select(*some.columns).mapInArrow(shape, "doc_id long, quality int, x binary"))
     if not len(unlabelled):
         unlabelled = np.zeros((0, x.shape[1]), dtype=np.float32)
     apart = tk.splitmix(table.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(4) == 0
