@@ -6,7 +6,7 @@ long.  Bands of ``ROWS`` values key the buckets.  Nodes are distinct shingle
 sets, so copies never meet as pairs.  Buckets first link every member to the
 bucket's smallest node; links are confirmed on the full sets and joined to
 components, and only pairs of a bucket that these leave apart are looked at
-again, in tiles of bounded size.  Pairs inside a component need no check: they
+again, in tiles of bounded size that send back a forest of confirmed links.  Pairs inside a component need no check: they
 could not change it.  With 28 bands of 6 rows a pair at similarity 0.85 shares
 no bucket with a probability of 2e-6.
 """
@@ -109,39 +109,74 @@ def _confirmer(percent: int):
     return confirm
 
 
-def _tile_pairs(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of one tile that may link: of different components, of near sizes, of a near
-    enough estimate, in the first band that they share, and not with the bucket's hub, which has had its check."""
+class _Roots:
+    """Union-find over the components that meet in a tile."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def union(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+
+
+def _tile_links(x: dict[str, np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Links of one tile that join components: a spanning forest of them, confirmed on the full sets.
+
+    Looked at are pairs of different components, of near sizes, whose signatures
+    agree nearly enough, in the first band that they share.
+    """
     if x["ti"][0] == x["tj"][0]:
         left = right = np.arange(len(x["part"]))
     else:
         left, right = np.flatnonzero(x["part"] == 0), np.flatnonzero(x["part"] == 1)
     floor = percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / (2 * PERMUTATIONS)) ** 0.5
+    size, root, roots = x["n_shingles"], x["root"], _Roots()
+    sets = [np.frombuffer(v, dtype=np.uint64) for v in x["shingles"]]
+    shingles = np.unique(np.concatenate(sets))
+    numbers = [np.searchsorted(shingles, s) for s in sets]
+    present = np.zeros(len(shingles), dtype=bool)
     out_a, out_b = [], []
     for i in left:
         j = right if left is not right else right[right > i]
-        j = j[(x["root"][j] != x["root"][i]) & (100 * np.minimum(x["n_shingles"][j], x["n_shingles"][i]) >= percent * np.maximum(x["n_shingles"][j], x["n_shingles"][i]))]
+        j = j[(root[j] != root[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
         if len(j):
             j = j[(x["sketch"][j] == x["sketch"][i]).mean(axis=1) >= floor]
         if len(j):
             j = j[(x["bands"][j] == x["bands"][i]).argmax(axis=1) == x["band"][i]]
-            out_a.append(np.full(len(j), i)), out_b.append(j)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, int), np.zeros(0, int))
+        if not len(j):
+            continue
+        present[numbers[i]] = True
+        for k in j:
+            if roots.find(root[i]) == roots.find(root[k]):
+                continue
+            both = int(np.count_nonzero(present[numbers[k]]))
+            if 100 * both >= percent * (size[i] + size[k] - both):
+                roots.union(root[i], root[k])
+                out_a.append(x["node"][i]), out_b.append(x["node"][k])
+        present[numbers[i]] = False
+    return out_a, out_b
 
 
 def _tiler(percent: int):
-    """Over rows sorted by tile: the pairs of each tile that may link."""
-    names = ("node", "root", "n_shingles", "part", "band")
+    """Over rows sorted by tile: the links that each tile finds."""
+    names = ("node", "root", "n_shingles", "part", "band", "bucket", "ti", "tj")
 
     def unpack(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in (*names, "bucket", "ti", "tj")}
+        x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
         x["bands"] = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
         x["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, 2 * PERMUTATIONS)
+        x["shingles"] = np.array(batch.column("shingles").to_pylist(), dtype=object)
         return x
 
-    def pairs(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-        a, b = _tile_pairs(x, percent)
-        return pa.record_batch([pa.array(x["node"][a], pa.int64()), pa.array(x["node"][b], pa.int64())], names=["a", "b"])
+    def links(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        a, b = _tile_links(x, percent)
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -152,10 +187,10 @@ def _tiler(percent: int):
             key = np.stack([x["bucket"], x["ti"], x["tj"]], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
             for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
-                yield pairs({k: v[lo:hi] for k, v in x.items()})
+                yield links({k: v[lo:hi] for k, v in x.items()})
             held = {k: v[cuts[-2] :] for k, v in x.items()}
         if held is not None:
-            yield pairs(held)
+            yield links(held)
 
     return run
 
@@ -200,32 +235,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         .withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
         .withColumn("ti", F.least("own", "other")).withColumn("tj", F.greatest("own", "other"))
-        .withColumn("part", F.when(F.col("ti") == F.col("tj"), 0).when(F.col("own") == F.col("ti"), 0).otherwise(1)))
-    tiles = left.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj")
-    others = tiles.select("bucket", "ti", "tj", "node", "root", "n_shingles", "part", "band", "bands", "sketch").mapInArrow(_tiler(percent), "a long, b long")
-    more, more_path = _linked(docs, nodes, others, percent)
+        .withColumn("part", F.when(F.col("own") == F.col("ti"), 0).otherwise(1)))
+    sets, sets_path = _sets(docs, nodes, left.select("node"))
+    tiles = left.join(sets, "node").select("bucket", "ti", "tj", "node", "root", "n_shingles", "part", "band", "bands", "sketch", "shingles")
+    more, more_path = stored(tiles.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj").mapInArrow(_tiler(percent), "a long, b long"), "minhash-more")
     final, final_paths = components(links.unionByName(more), "minhash-final")
 
     named = nodes.join(final, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known, known_path = stored(named.join(least, "root").select("node", "component_id"), "minhash-known")
-    discard(spark, nodes_path, hubs_path, placed_path, links_path, more_path, *root_paths, *final_paths)
+    discard(spark, sets_path, nodes_path, hubs_path, placed_path, links_path, more_path, *root_paths, *final_paths)
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(known, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key", "node")
 
 
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """(node, shingles) of the ``wanted`` nodes, from the texts that stand for them, and the table's path."""
+    own = nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("text_of.text_key").alias("key"), F.col("text_of.doc_id").alias("id"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    found = texts.join(own, (texts.text_key == own.key) & texts.doc_id.eqNullSafe(own.id)).select("node", "text")
+    return stored(found.mapInArrow(_full_sets, "node long, shingles binary").dropDuplicates(["node"]), "minhash-sets")
+
+
 def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """The pairs (a, b) of nodes whose full sets meet the threshold, and the table's path."""
-    spark = docs.sparkSession
     pairs, pairs_path = stored(pairs, "minhash-pairs")
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("text_of.text_key").alias("key"), F.col("text_of.doc_id").alias("id"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    found = texts.join(wanted, (texts.text_key == wanted.key) & texts.doc_id.eqNullSafe(wanted.id)).select("node", "text").dropDuplicates(["node"])
-    sets, sets_path = stored(found.mapInArrow(_full_sets, "node long, shingles binary"), "minhash-sets")
+    sets, sets_path = _sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     links, path = stored(met.select("a", "b", "of_a", "of_b").mapInArrow(_confirmer(percent), "a long, b long"), "minhash-links")
-    discard(spark, pairs_path, sets_path)
+    discard(docs.sparkSession, pairs_path, sets_path)
     return links, path
 
 
