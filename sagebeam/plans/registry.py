@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sagebeam.plans import curation, quality, ranking
+from sagebeam.plans.tables import Entry, Query
 
-from pyspark.sql import DataFrame, SparkSession
+_ALL: dict[str, Entry] = ranking.QUERIES | curation.QUERIES | quality.QUERIES
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
