@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that trimming strips: ASCII, the Unicode separators, and the byte order mark.
-_BLANK = r"[\s   -     　﻿]"
+_BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 _EMPTY = "cast(array() as array<string>)"
 
 

@@ -136,7 +136,7 @@ def rank_cases(records: DataFrame, cases: DataFrame, media: DataFrame, policies:
     """
     listed = lambda column: records.select("record_id", F.posexplode(column).alias("pos", "sign")).withColumn("key", T.normalise(F.col("sign")))
     indicators, exclusions = listed("indicators"), listed("exclusions")
-    symptoms = cases.select("case_id", T.normalise(F.explode("symptoms")).alias("key")).distinct()
+    symptoms = cases.select("case_id", F.explode("symptoms").alias("sign")).select("case_id", T.normalise(F.col("sign")).alias("key")).distinct()
     freq = frequencies(indicators)
     hits = indicators.join(symptoms, "key").join(freq, "key").select("case_id", "record_id", weight(F.col("frequency")).alias("score"), F.struct("pos", "sign").alias("sign"), F.lit(True).alias("good"))
     against = exclusions.join(symptoms, "key").join(freq, "key", "left").select("case_id", "record_id", (-penalty(F.coalesce("frequency", F.lit(1)))).alias("score"), F.struct("pos", "sign").alias("sign"), F.lit(False).alias("good"))

@@ -104,7 +104,7 @@ FROM sym JOIN ind USING (key) JOIN w USING (key) WHERE key IN {EXCLUDED} GROUP B
 def adjudicate_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types are the candidates of each user, their mean value the score; every seventh user has an open check."""
     events = table(spark, sf_dir, "events")
-    scored = events.groupBy("user_id", "event_type").agg(F.round(F.avg(F.least(F.abs("value") / 100, F.lit(1.0))), 6).alias("score"))
+    scored = events.groupBy("user_id", "event_type").agg(F.round(F.avg(F.least(F.abs("value") / 100, F.lit(1.0))), 10).alias("score"))
     placed = adjudication.ranked_candidates(scored, "user_id", "score", "event_type")
     ordered_list = F.array_sort(F.collect_list(F.struct("place", "event_type", "score")))
     out = placed.groupBy("user_id").agg(ordered_list.alias("c"))
@@ -117,7 +117,7 @@ def adjudicate_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ADJUDICATE = """
-WITH scored AS (SELECT user_id, event_type, round(avg(least(abs(value) / 100, 1.0)), 6) AS score FROM events GROUP BY user_id, event_type),
+WITH scored AS (SELECT user_id, event_type, round(avg(least(abs(value) / 100, 1.0)), 10) AS score FROM events GROUP BY user_id, event_type),
 placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type) AS place FROM scored),
 tops AS (
   SELECT user_id, max(event_type) FILTER (place = 1) AS primary_type, max(score) FILTER (place = 1) AS top,
