@@ -14,7 +14,7 @@ UNKNOWN_FROM, HELD_CEILING = 0.55, 0.59
 def ranked_candidates(candidates: DataFrame, key: str, score: str, tie: str) -> DataFrame:
     """``candidates`` with ``place`` from 0 within ``key``, best score first; only the leader and its alternatives."""
     by = Window.partitionBy(key).orderBy(F.desc(score), F.asc(tie))
-    return candidates.withColumn("place", F.row_number().over(by) - 1).where(F.col("place") <= ALTERNATIVES)
+    return candidates.withColumn("place", F.row_number().over(by)).where(F.col("place") <= ALTERNATIVES + 1).withColumn("place", F.col("place") - 1)
 
 
 def final_confidence(top: Column, ceiling: Column, doubtful: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sagebeam-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sagebeam-checkpoint-")  # a folder of its own only where none is named
+        spark.sparkContext.setCheckpointDir(shared)
     both = edges.select("a", "b").union(edges.select("b", "a")).checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")).checkpoint()
     while True:

@@ -69,7 +69,8 @@ def contradiction(exclusions: DataFrame, indicators: DataFrame, symptoms: DataFr
 def top_per_case(scored: DataFrame, order: str, k: int = TOP) -> DataFrame:
     """The k best rows with a positive score of each case, ``rank`` from 0, ties by ``order``; ``next_score`` is that of the row below."""
     by = Window.partitionBy("case_id").orderBy(F.desc("score"), F.asc(order))
-    kept = scored.where("score > 0").withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < k)
+    # Compared as it is, the row number limits each group before the shuffle as well.
+    kept = scored.where("score > 0").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
     return kept.withColumn("next_score", F.lead("score").over(Window.partitionBy("case_id").orderBy("rank")))
 
 
