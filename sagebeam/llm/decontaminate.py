@@ -320,9 +320,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Rows with the same phrases have the same items: a passage that very many documents share is one key.
     held = found.where("row_key is not null").select("row_key", keys).dropDuplicates(["row_key"]).select("row_key", F.explode(keys).alias("phrase"))
     items = held.join(phrases.select("phrase", F.col("item_id").cast("string").alias("item")), "phrase").groupBy("row_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    joined = found.join(items, "row_key", "left")
-    empty = F.expr("cast(array() as array<string>)")
-    joined = joined.withColumn("items", F.coalesce("items", empty))
+    # Rows without a phrase have no key and stay out of the join, which would gather them in one task.
+    clean = found.where("row_key is null").withColumn("items", F.expr("cast(array() as array<string>)"))
+    joined = found.where("row_key is not null").join(items, "row_key").select(*clean.columns).unionByName(clean)
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda t, s: t + s["end_word"] - s["first_word"])
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
