@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 #: Times that a source may be repeated.
 EPOCHS = 3
 #: Rows of a bucket, on average; a bucket is sorted in one task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 _MOST_BUCKETS = 1 << 16
 _SEED = "mix"
 
