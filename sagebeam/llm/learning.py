@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -95,10 +96,14 @@ def featurise(make: Callable[[pa.RecordBatch], np.ndarray], keep: list[str]):
 def collected(rows: DataFrame) -> tuple[pa.Table, np.ndarray]:
     """A bounded sample on the driver: its table, in an order that no run changes, and its matrix."""
     table = rows.toArrow()
-    order = np.argsort(np.array([repr(tuple(r.values())) for r in table.to_pylist()]) if table.num_rows else np.zeros(0), kind="stable")
-    table = table.take(pa.array(order, pa.int64()))
-    x = [np.frombuffer(v, dtype=np.float32) for v in table.column("x").to_pylist()]
-    return table.drop_columns(["x"]), np.stack(x) if x else np.zeros((0, 1), dtype=np.float32)
+    found = table.column("x").to_pylist()
+    rest = table.drop_columns(["x"])
+    keys = [(repr(tuple(r.values())), hashlib.blake2b(v, digest_size=16).digest()) for r, v in zip(rest.to_pylist(), found, strict=True)]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    x = np.empty((len(found), len(found[0]) // 4 if found else 1), dtype=np.float32)
+    for i, k in enumerate(order):
+        x[i] = np.frombuffer(found[k], dtype=np.float32)
+    return rest.take(pa.array(order, pa.int64())), x
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
