@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import SF, rows, sql_rows
 from pyspark.sql import functions as F
@@ -192,6 +193,45 @@ def test_language_model_base_by_brute_force(spark):
         assert got[i]["score"] < 0
 
 
+def test_language_model_counts_every_context_apart(spark, monkeypatch):
+    """By brute force, with the weights that learning starts from; no dealing of tokens to tasks changes a score."""
+    draw, made, make = np.random.default_rng(4), [], lm.Codes.make
+    # Skewed, so that some words are hot when there are many tasks.
+    texts = [" ".join(f"w{int(k)}" for k in np.minimum(draw.exponential(5, draw.integers(0, 60)), 40)) for _ in range(90)]
+    texts += [" ".join(f"w{k}" for k in range(41))] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm.Mixer, "mean", lambda found: lm.Mixer())
+    monkeypatch.setattr(lm.Codes, "make", lambda *a: made.append(make(*a)) or made[-1])
+    got = []
+    for part in (1 << 21, 300):
+        monkeypatch.setattr(lm, "PART", part)
+        got.append({r["doc_id"]: r["score"] for r in lm.scores(docs).collect()})
+    assert not len(made[0].hot) and len(made[1].hot) > 1 and got[0] == got[1]
+    codes, name = made[0], dict(zip(made[0].hashes.tolist(), range(len(made[0].hashes)), strict=True))
+    found, paths = [Counter() for _ in range(3)], {}
+    for i, text in enumerate(texts):
+        (words,) = tk.words(pa.array([text]), tk.SOLID)
+        seq = [None, None, *lm.Sequence(words).hashes.tolist()]
+        paths[i] = []
+        for a, b, c in zip(seq, seq[1:], seq[2:], strict=False):
+            leaf = int(codes.words.rank[codes.symbol[name[c]]])
+            for d in range(codes.words.depth[leaf]):
+                node, bit = int(codes.words.node[d][leaf]), int(codes.words.bit[d][leaf])
+                paths[i].append((((node,), (b, node), (a, b, node)), bit))
+                if zlib.crc32(str(i).encode()) % 7 != 2:
+                    for k in range(3):
+                        found[k][(paths[i][-1][0][k], bit)] += 1
+    for i, steps in paths.items():
+        z = [(sum(0.4 * math.log((found[k][(at[k], 1)] + 0.4) / (found[k][(at[k], 0)] + 0.4)) for k in range(3)), bit) for at, bit in steps]
+        assert got[0][i] == pytest.approx(-sum(math.log10(1 + math.exp(-x if bit else x)) for x, bit in z), rel=1e-3, abs=1e-3)
+
+
+def test_language_model_is_not_blurred_by_many_contexts(spark):
+    """The documents have more contexts than a table of fixed size would keep apart; such a one scored -4.9 a token."""
+    got = lm.scores(spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")).where("held_out").agg({"score": "sum", "n_tokens": "sum"}).first()
+    assert got["sum(score)"] / got["sum(n_tokens)"] > -4.4
+
+
 def test_language_model_codes_are_a_distribution():
     offsets, _, bits = lm.huffman([5, 1, 1, 8, 2, 1])
     assert sum(2.0 ** -(b - a) for a, b in zip(offsets[:-1], offsets[1:], strict=True)) == 1.0 and set(bits) == {0, 1}
