@@ -41,7 +41,7 @@ def file_tree(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAG
 _ENTRY = "path string, member string, bytes long, packed long, crc32 long, is_image boolean, is_annotation boolean, is_zip boolean, depth int"
 
 
-def zip_inventory(archives: DataFrame, nested: bool = True, deepest: int = 8) -> DataFrame:
+def zip_inventory(archives: DataFrame, nested: bool = True) -> DataFrame:
     """Members of zip archives (path, content), those of archives inside too; unsafe names are refused.
 
     Nothing is written: inner archives are opened in memory, one after the other.
@@ -57,7 +57,7 @@ def zip_inventory(archives: DataFrame, nested: bool = True, deepest: int = 8) ->
                     raise ValueError(f"{path}: unsafe member {i.filename}")
                 ending = name.rpartition(".")[2].lower()
                 yield path, name, i.file_size, i.compress_size, i.CRC, ending in IMAGES, ending in ANNOTATIONS, ending == "zip", depth
-                if nested and ending == "zip" and depth < deepest:
+                if nested and ending == "zip":
                     yield from entries(f"{path}!{name}", z.read(i), depth + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

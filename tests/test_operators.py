@@ -136,6 +136,17 @@ def test_validators(spark):
         validation.require_none(got)
 
 
+def test_zip_inventory_has_no_depth_limit(spark):
+    data = b"x"
+    for depth in range(12):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("in.zip" if depth else "a.csv", data)
+        data = out.getvalue()
+    frame = spark.createDataFrame([("o.zip", bytearray(data))], "path string, content binary")
+    assert documents.zip_inventory(frame).agg({"depth": "max"}).first()[0] == 11
+
+
 def test_zip_inventory(spark):
     inner = io.BytesIO()
     with zipfile.ZipFile(inner, "w") as z:
