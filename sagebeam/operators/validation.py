@@ -85,24 +85,73 @@ def require_none(found: DataFrame) -> None:
         raise ValueError("; ".join(str(tuple(r)) for r in some))
 
 
-# Ready-made rule sets of the snapshots; columns are named as in their files.
+# Ready-made rule sets of the snapshots; columns are named as in their files.  Fields that must be unique go to ``repeated``, record counts to ``reconcile``.
+ACQUISITION_UNIQUE, SOURCE_UNIQUE, PERMISSION_UNIQUE = ("datasetId", "driveFolderId"), ("id",), ("requestId", "datasetId")
+_DATASET_ID = r"^DS-\d{3,}$"
+_RESTRICTED = "noncommercial|non-commercial|sharealike|share-alike|rights verify|license verify|per-item|per-media|gate|required"
+
+
 def acquisition_rules() -> list[Rule]:
-    blocked = F.lower("runtimeStatus").contains("blocked")
+    rights, lane, status, integrity = F.lower(F.concat_ws(" ", "license", "rightsStatus")), F.lower("destination"), F.lower("acquisitionStatus"), F.lower("integrityStatus")
+    done = F.regexp_like(integrity, F.lit("verified|complete|passed|ready")) & ~integrity.contains("pending")
     return [
-        *required("datasetId", "title", "sourceUrl", "rights", "lane", "status", "driveFolderId"), pattern("datasetId", r"^DS-\d{3,}$"), is_url("sourceUrl"),
-        implies("open lane with restricted rights", F.lower("lane").contains("open"), ~F.regexp_like(F.lower("rights"), F.lit("restricted|unknown|no redistribution"))),
-        implies("quarantined outside quarantine", F.lower("status").contains("quarantine"), F.lower("destination").contains("quarantine")),
-        implies("blocked at run time but complete", blocked, ~F.lower("integrity").contains("complete"))]
+        *required("sheetRow", "order", "datasetId", "dataset", "canonicalSource", "version", "expectedPackage", "repositoryChecksum", "license", "destination", "acquisitionStatus", "integrityStatus", "rightsStatus", "criticalNotes", "driveFolderId"),
+        pattern("datasetId", _DATASET_ID), is_url("canonicalSource"),
+        implies("open lane with restricted rights", lane.startswith("01_raw_open"), ~F.regexp_like(rights, F.lit(_RESTRICTED))),
+        implies("quarantined outside quarantine", status.contains("quarantine"), lane.contains("quarantine")),
+        implies("blocked at run time but complete", status.contains("runtime") & status.contains("blocked"), ~F.coalesce(done, F.lit(False)))]
 
 
 def source_rules() -> list[Rule]:
-    return [*required("id", "title", "url", "rights", "priority"), pattern("id", r"^DS-\d{3,}$"), is_url("url"), one_of("priority", "P0", "P1", "P2", "P3"), one_of("usable", "YES", "NO", "PARTIAL"),
-            implies("unknown rights need a look at provenance", F.lower("rights").contains("unknown"), F.lower("provenance").contains("verify"))]
+    rights = F.lower(F.concat_ws(" ", "license", "academicUse", "rawRedistribution", "publicModelDeployment"))
+    return [
+        *required("id", "name", "domain", "cannabisSpecific", "modality", "primaryTask", "license", "academicUse", "rawRedistribution", "publicModelDeployment", "priority", "sourceUrl", "provenanceStatus"),
+        pattern("id", _DATASET_ID), one_of("cannabisSpecific", "YES", "NO", "PARTIAL"), one_of("priority", "P0", "P1", "P2", "P3"), is_url("sourceUrl"),
+        implies("unknown rights need a look at provenance", rights.contains("unknown"), F.lower("provenanceStatus").contains("verify"))]
 
 
 def permission_rules() -> list[Rule]:
-    return [*required("requestId", "datasetId", "status", "priority"), pattern("datasetId", r"^DS-\d{3,}$"), one_of("priority", "P0", "P1", "P2", "P3"), at_least("assets", 1), at_least("uses", 1), at_least("conditions", 1),
-            implies("a draft has no request date", F.col("status") == "DRAFT", F.col("requestedDate").isNull()), implies("an approval has a response date", F.col("status") == "APPROVED", F.col("responseDate").isNotNull())]
+    """``contact`` is a struct, the three lists of what is asked for are arrays, dates are strings."""
+    return [
+        *required("requestId", "datasetId", "source", "priority", "status", "contact", "requestedAssets", "requestedMetadata", "rightsRequested", "acquisitionRule", "notes"),
+        pattern("requestId", r"^PERM-\d{3}$"), pattern("datasetId", _DATASET_ID), one_of("priority", "P0", "P1", "P2", "P3"),
+        one_of("status", "REQUEST_DRAFT_READY", "READY_TO_SEND", "SENT", "RESPONSE_RECEIVED", "APPROVED", "PARTIAL_APPROVAL", "DECLINED", "CLOSED_NO_RESPONSE"),
+        at_least("requestedAssets", 1), at_least("requestedMetadata", 1), at_least("rightsRequested", 1), *required("contact.nameOrOrganization"),
+        implies("a draft has no request date", F.col("status") == "REQUEST_DRAFT_READY", F.coalesce("requestedDate", F.lit("")) == ""),
+        implies("an approval has a response date", F.col("status") == "APPROVED", F.coalesce("responseDate", F.lit("")) != "")]
+
+
+_TRANSFER_IDS = [f"DS-{n}" for n in range(137, 147)]
+
+
+def transfer_rules() -> list[Rule]:
+    """Of the transfer policy as one row: policyVersion, structs ``scope`` and ``invariants``, and the map ``datasetRules`` of structs with arrays role, rules and beneficialClasses."""
+    fixed = {"cannabisCausalGroundTruth": False, "preserveOriginalSourceLabels": True, "requireCannabisSpecificConfirmationForCannabisEtiology": True, "requireSha256AndPerceptualDedupBeforeTraining": True, "allowIndependentSampleInflationFromDerivatives": False}
+
+    def of(dataset: str, field: str) -> Column:
+        return F.try_element_at("datasetRules", F.lit(dataset))[field]
+
+    terms = {("DS-140", "rules"): ("overlap", "double-count"), ("DS-141", "rules"): ("64", "sourcegroupid", "one split"), ("DS-142", "rules"): ("white-background", "natural-background"),
+             ("DS-146", "beneficialClasses"): ("lacewing", "hoverfly", "lady beetle"), ("DS-146", "rules"): ("hard negatives", "harmful-insect")}
+    return [
+        *required("policyVersion"), Rule("scope.datasetIds are others", F.col("scope.datasetIds") == F.array(*map(F.lit, _TRANSFER_IDS))),
+        *[Rule(f"invariants.{k} is not {str(v).lower()}", F.col(f"invariants.{k}") == v) for k, v in fixed.items()], at_least("invariants.allowedUses", 4), at_least("invariants.forbiddenUses", 4),
+        *[Rule(f"{d} {f} missing", F.size(of(d, f)) >= 1) for d in _TRANSFER_IDS for f in ("role", "rules")], Rule("DS-146 has fewer than 3 beneficialClasses", F.size(of("DS-146", "beneficialClasses")) >= 3),
+        *[holds_all(F.array_join(of(d, f), " "), f"{d} {f} incomplete", *t) for (d, f), t in terms.items()]]
+
+
+_HOSTS = ("academic.oup.com", "oup.silverchair-cdn.com", "www.frontiersin.org", "frontiersin.org", "pmc.ncbi.nlm.nih.gov", "www.ncbi.nlm.nih.gov", "cdn.ncbi.nlm.nih.gov", "www.mdpi.com", "mdpi-res.com",
+          "media.springernature.com", "bugwoodcloud.org", "content.ces.ncsu.edu", "commons.wikimedia.org", "www.preprints.org")
+_LICENSES = ("CC BY 4.0", "CC BY 3.0", "CC BY 3.0 US", "CC BY", "Public domain (US federal government work)")
+
+
+def persistence_rules() -> list[Rule]:
+    """Of media to be kept, with what was fetched: content_type and byte_size."""
+    fields = ("id", "issue_slug", "image_url", "source_article", "caption", "creator", "license", "intended_use")
+    return [
+        *[Rule(f"{f} is required", F.coalesce(F.col(f).cast("string"), F.lit("")) != "") for f in fields], one_of("intended_use", "reference-only"), one_of("license", *_LICENSES),
+        Rule("image_url is not on an allowed host", (F.lower(F.try_parse_url("image_url", F.lit("PROTOCOL"))) == "https") & F.lower(F.try_parse_url("image_url", F.lit("HOST"))).isin(*_HOSTS)),
+        Rule("content_type is no image", F.col("content_type").startswith("image/")), Rule("byte_size is not from 1 to 20000000", F.col("byte_size").between(1, 20_000_000))]
 
 
 def media_rules() -> list[Rule]:

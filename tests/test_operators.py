@@ -136,6 +136,39 @@ def test_validators(spark):
         validation.require_none(got)
 
 
+def broken(spark, rules, schema, good, **wrong):
+    """The rules that a good row fails with the wrong values; none without them."""
+    assert validation.violations(spark.createDataFrame([good], schema), "d", "key", rules).count() == 0
+    return {r["rule"] for r in validation.violations(spark.createDataFrame([good | wrong], schema), "d", "key", rules).collect()}
+
+
+def test_snapshot_rules_are_those_of_the_reference(spark):
+    names = "sheetRow order dataset version expectedPackage repositoryChecksum criticalNotes driveFolderId".split()
+    good = dict.fromkeys(names, "x") | {"key": "1", "datasetId": "DS-001", "canonicalSource": "https://x.org/a", "license": "CC BY", "rightsStatus": "clear", "destination": "01_RAW_OPEN/a", "acquisitionStatus": "done", "integrityStatus": "verified"}
+    schema = ", ".join(f"`{k}` string" for k in good)
+    for rights in ("noncommercial", "ShareAlike", "license verify", "per-item", "gated"):
+        assert broken(spark, validation.acquisition_rules(), schema, good, rightsStatus=rights) == {"open lane with restricted rights"}
+    assert broken(spark, validation.acquisition_rules(), schema, good, sheetRow=" ", acquisitionStatus="runtime blocked") == {"sheetRow is required", "blocked at run time but complete"}
+    good = dict.fromkeys("name domain modality primaryTask license academicUse rawRedistribution publicModelDeployment".split(), "x") | {"key": "1", "id": "DS-001", "cannabisSpecific": "NO", "priority": "P1", "sourceUrl": "https://x.org", "provenanceStatus": "known"}
+    assert broken(spark, validation.source_rules(), ", ".join(f"`{k}` string" for k in good), good, academicUse="Unknown", domain=None, cannabisSpecific="MAYBE") == {"domain is required", "cannabisSpecific is not allowed", "unknown rights need a look at provenance"}
+    good = dict.fromkeys("source acquisitionRule notes".split(), "x") | {"key": "1", "requestId": "PERM-001", "datasetId": "DS-001", "priority": "P0", "status": "SENT", "requestedDate": "2026-01-01", "responseDate": None, "contact": {"nameOrOrganization": "n"}} | dict.fromkeys(("requestedAssets", "requestedMetadata", "rightsRequested"), ["a"])
+    schema = ", ".join(f"`{k}` " + ("array<string>" if isinstance(v, list) else "struct<nameOrOrganization: string>" if isinstance(v, dict) else "string") for k, v in good.items())
+    assert broken(spark, validation.permission_rules(), schema, good, requestId="PERM-1", status="REQUEST_DRAFT_READY", rightsRequested=[], contact={"nameOrOrganization": " "}) == {"requestId has the wrong form", "a draft has no request date", "rightsRequested has fewer than 1 entries", "contact.nameOrOrganization is required"}
+    good = dict.fromkeys("id issue_slug source_article caption creator".split(), "x") | {"key": "1", "image_url": "https://www.mdpi.com/a.png", "license": "CC BY", "intended_use": "reference-only", "content_type": "image/png", "byte_size": 9}
+    schema = ", ".join(f"`{k}` " + ("long" if k == "byte_size" else "string") for k in good)
+    assert broken(spark, validation.persistence_rules(), schema, good, image_url="http://www.mdpi.com/a.png", byte_size=20_000_001, caption="") == {"caption is required", "image_url is not on an allowed host", "byte_size is not from 1 to 20000000"}
+
+
+def test_transfer_policy(spark):
+    rules = {f"DS-{n}": {"role": ["r"], "rules": ["Overlap double-count 64 sourceGroupId one split white-background natural-background hard negatives harmful-insect"], "beneficialClasses": ["lacewing", "hoverfly", "lady beetle"]} for n in range(137, 147)}
+    fixed = {"cannabisCausalGroundTruth": False, "preserveOriginalSourceLabels": True, "requireCannabisSpecificConfirmationForCannabisEtiology": True, "requireSha256AndPerceptualDedupBeforeTraining": True, "allowIndependentSampleInflationFromDerivatives": False, "allowedUses": list("abcd"), "forbiddenUses": list("abcd")}
+    good = {"key": "1", "policyVersion": "1", "scope": {"datasetIds": list(rules)}, "invariants": fixed, "datasetRules": rules}
+    of = ", ".join(f"{k}: " + ("array<string>" if isinstance(v, list) else "boolean") for k, v in fixed.items())
+    schema = f"key string, policyVersion string, scope struct<datasetIds: array<string>>, invariants struct<{of}>, datasetRules map<string, struct<role: array<string>, rules: array<string>, beneficialClasses: array<string>>>"
+    wrong = {k: v for k, v in rules.items() if k != "DS-139"} | {"DS-142": rules["DS-142"] | {"rules": ["x"]}}
+    assert broken(spark, validation.transfer_rules(), schema, good, datasetRules=wrong, invariants=fixed | {"cannabisCausalGroundTruth": True}) == {"DS-139 role missing", "DS-139 rules missing", "DS-142 rules incomplete", "invariants.cannabisCausalGroundTruth is not false"}
+
+
 def test_zip_inventory_has_no_depth_limit(spark):
     data = b"x"
     for depth in range(12):
