@@ -14,16 +14,17 @@ however large a group of near copies is.
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagebeam.llm.frames import bounded_batches, components, stored
+from sagebeam.llm.frames import bounded_batches, components, discard, stored
 
-#: Vectors of a block; a tile holds two.
-BLOCK = 4096
+#: Vectors of a block at most (a tile holds two), and vectors from which a table is cut into ``SPREAD`` blocks so that few vectors fill the tasks too.
+BLOCK, SPREAD_FROM, SPREAD = 16_384, 2048, 8
 _STRIP = 512
 _EXACT = 1 << 16
 #: Above this many dimensions int8 products no longer fit the 24 bits of a float32.
@@ -62,6 +63,8 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, floor: float, copies:
     Rows of the result are those of left and then of right.
     """
     rows = left if right is None else np.concatenate([left, right])
+    # Scaled by a power of two, which is exact, so that squares neither vanish nor overflow.
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0))[1][:, None])
     norms = np.linalg.norm(rows, axis=1)
     unit = rows / norms[:, None]
     n = len(left)
@@ -120,10 +123,15 @@ def near_vectors(vectors: DataFrame, floor: float = 0.95) -> DataFrame:
     spark = bounded_batches(vectors.sparkSession)
     wide = vectors.select("vec_id", F.expr("transform(embedding, x -> cast(x as double) + 0.0D)").alias("vector"))
     sound = "coalesce(size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0), false)"
-    named, _ = stored(wide.select("vec_id", "vector", F.when(F.expr(sound), F.xxhash64("vector")).alias("node")), "embeddings-named")
-    nodes, _ = stored(named.where("node is not null").groupBy("node", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id")).withColumn("dims", F.size("vector")), "embeddings-nodes")
+    for seed in count():
+        named, named_path = stored(wide.select("vec_id", "vector", F.when(F.expr(sound), F.xxhash64(F.lit(seed), "vector")).alias("node")), "embeddings-named")
+        nodes, nodes_path = stored(named.where("node is not null").groupBy("node", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id")).withColumn("dims", F.size("vector")), "embeddings-nodes")
+        # Two vectors of one hash would be taken for one; the next seed parts them.
+        if not nodes.groupBy("node").count().where("count > 1").limit(1).count():
+            break
+        discard(spark, named_path, nodes_path)
     # Blocks are of vectors of one length; a driver-side row per length, of which there are few.
-    sizes = {r["dims"]: math.ceil(r["n"] / BLOCK) for r in nodes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["dims"]: max(math.ceil(r["n"] / BLOCK), min(SPREAD, math.ceil(r["n"] / SPREAD_FROM))) for r in nodes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
     blocks = F.element_at(F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv]), F.col("dims")) if sizes else F.lit(1)
     tiles = sum(n * (n + 1) // 2 for n in sizes.values())
     dealt = (
