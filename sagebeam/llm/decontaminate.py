@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagebeam.llm import textkit as tk
-from sagebeam.llm.frames import bounded_batches, fresh, stored
+from sagebeam.llm.frames import bounded_batches, discard, fresh, stored
 
 WINDOW = 10
 #: Word numbers that one index holds; a longer document makes an index of its own.
@@ -29,6 +29,8 @@ SHARD_WORDS = 1 << 20
 BLOCK_PHRASES = 100_000
 _SAMPLE = 8
 _BREAK = 0
+#: Tasks that rows with the same phrases are dealt to.
+SALTS = 16
 
 
 class WaveletMatrix:
@@ -273,7 +275,7 @@ def annotate(docs: DataFrame, phrases: DataFrame, text: str = "text") -> tuple[D
     spark = bounded_batches(docs.sparkSession)
     names = [fresh(docs, n) for n in ("n_words", "spans", "phrases")]
     blocks = max(1, math.ceil(phrases.select("phrase").distinct().count() / BLOCK_PHRASES))
-    columns, out = docs.columns, docs
+    columns, out, passed = docs.columns, docs, []
     for block in range(blocks):
         own = phrases.where(F.pmod(F.col("phrase"), F.lit(blocks)) == block).select("phrase", "window").distinct().toArrow()
         shared = spark.sparkContext.broadcast((own.column("phrase").to_numpy(), [np.frombuffer(w, dtype=np.uint64) for w in own.column("window").to_pylist()]))
@@ -284,6 +286,12 @@ def annotate(docs: DataFrame, phrases: DataFrame, text: str = "text") -> tuple[D
         if block:
             merged = _merged(F.concat(names[1], new[1]))
             out = out.select(*columns, names[0], merged.alias(names[1]), F.array_union(names[2], new[2]).alias(names[2]))
+        if blocks > 1:
+            # Each pass is written out before the next, so that one block of phrases is held at a time.
+            out, path = stored(out, "decontaminate-pass")
+            shared.destroy()
+            discard(spark, *passed)
+            passed = [path]
     return out, names
 
 
@@ -315,14 +323,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     phrases = phrase_table(benchmark)
     found, (n_words, spans, keys) = annotate(docs.select("doc_id", "text"), phrases)
-    found = found.drop("text").withColumn("row_key", F.when(F.size(keys) > 0, F.xxhash64(keys)))
+    said = F.array_join(F.col(keys).cast("array<string>"), ",").cast("binary")
+    found = found.drop("text").withColumn("row_key", F.when(F.size(keys) > 0, F.md5(said))).withColumn("salt", F.pmod(F.hash("doc_id", n_words), F.lit(SALTS)))
     found, _ = stored(found, "decontaminate-found")
-    # Rows with the same phrases have the same items: a passage that very many documents share is one key.
+    # Rows with the same phrases have the same items: a passage that very many documents share is one key, and its rows are dealt to several tasks.
     held = found.where("row_key is not null").select("row_key", keys).dropDuplicates(["row_key"]).select("row_key", F.explode(keys).alias("phrase"))
     items = held.join(phrases.select("phrase", F.col("item_id").cast("string").alias("item")), "phrase").groupBy("row_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Rows without a phrase have no key and stay out of the join, which would gather them in one task.
     clean = found.where("row_key is null").withColumn("items", F.expr("cast(array() as array<string>)"))
-    joined = found.where("row_key is not null").join(items, "row_key").select(*clean.columns).unionByName(clean)
+    joined = found.where("row_key is not null").join(items, ["row_key", "salt"]).select(*clean.columns).unionByName(clean)
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda t, s: t + s["end_word"] - s["first_word"])
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
