@@ -56,7 +56,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return weighed.select("source", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, source: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken.
 
     size counts the text's words, source_size those of the source; target is the
@@ -71,6 +71,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     key and repeated rows are ordered by size and then get equal parts of the
     order, so the sums stay right and reruns agree.  An empty table gives an
     empty result.  Only the named columns are read, so extra ones cannot clash.
+    With ``source`` the row's source comes along under this name.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(F.col("doc_id")).alias("key"))
     sized, _ = stored(sized, "mixing-sized")
@@ -90,16 +91,19 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0)
     placed = placed.withColumn("epochs", F.least(whole, F.lit(epochs)).cast("long")).withColumn("rest", F.col("goal") - F.col("epochs") * F.col("source_size"))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("ahead")))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
+    own = [F.col("source").alias(source)] if source else []
+    return placed.select("doc_id", *own, "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with the column ``taken`` (a fresh name if it is there).
 
-    Rows are matched by doc_id and size; of rows that agree in both, each takes
-    the mean share, rounded up.
+    Rows are matched by doc_id, source and size; of rows that agree in all three,
+    each takes the mean share, rounded up.  Rows that the mix takes nothing of,
+    those without words among them, are left out; an empty table stays empty.
     """
-    plan = mix_plan(docs, weights, epochs).groupBy(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.ceil(F.avg("taken")).alias("_mix_taken"))
+    plan = mix_plan(docs, weights, epochs, "_mix_source").groupBy(F.col("doc_id").alias("_mix_id"), "_mix_source", F.col("size").alias("_mix_size")).agg(F.ceil(F.avg("taken")).alias("_mix_taken"))
     rows = docs.withColumn("_mix_words", word_count(F.col("text")))
-    kept = rows.join(plan.where("_mix_taken > 0"), F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")))
-    return kept.withColumn(fresh(docs, "taken"), F.col("_mix_taken").cast("long")).drop("_mix_id", "_mix_size", "_mix_words", "_mix_taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
+    kept = rows.join(plan.where("_mix_taken > 0"), same)
+    return kept.withColumn(fresh(docs, "taken"), F.col("_mix_taken").cast("long")).drop("_mix_id", "_mix_source", "_mix_size", "_mix_words", "_mix_taken")
