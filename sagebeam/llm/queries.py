@@ -107,6 +107,7 @@ FROM sized LEFT JOIN firsts USING (digest)
 """
 
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+_TELLING = ", ".join(f"('{k}', '{p}')" for k, ps in licenses.TELLING.items() for p in ps)
 _PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
 
 _OP5 = f"""
@@ -123,7 +124,11 @@ met AS (
   SELECT rid, label, block, max(n) AS n, count(DISTINCT x) AS shared
   FROM (SELECT rid, label, n, x, unnest(list_distinct([p // span, greatest(p // span - 1, 0)])) AS block FROM word JOIN parts USING (x))
   GROUP BY rid, label, block HAVING count(DISTINCT x) >= ceil(max(n) * {licenses.CONTAINMENT} - 1e-9)),
-own AS (SELECT rid, max(CAST(shared AS DOUBLE) / n) AS best, list(DISTINCT replace(label, '-notice', '')) AS found FROM met GROUP BY rid)
+telling AS (SELECT label, list(' ' || phrase || ' ') AS ps FROM (VALUES {_TELLING}) AS t(label, phrase) GROUP BY label),
+told AS (
+  SELECT met.* FROM met JOIN docs USING (rid) JOIN (SELECT DISTINCT label, span FROM templates) AS s USING (label) LEFT JOIN telling USING (label)
+  WHERE len(list_filter(coalesce(ps, []), lambda p: NOT contains(' ' || array_to_string(w[block * span + 1 : block * span + 2 * span], ' ') || ' ', p))) = 0),
+own AS (SELECT rid, max(CAST(shared AS DOUBLE) / n) AS best, list(DISTINCT replace(label, '-notice', '')) AS found FROM told GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word,
   coalesce(array_to_string(named, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(named, []), coalesce(found, [])))), ','), '') AS labels,
