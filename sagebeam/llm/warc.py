@@ -1,10 +1,11 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by page, each task writes one range and starts a new
-file when the compressed size of the last reaches a limit, and every record is a
+Records are range-sorted by page: ranges are cut at keys that a hash picks, so
+they follow from the rows alone.  Each task writes one range and starts a new file
+when the compressed size of the last reaches a limit, and every record is a
 gzip member of its own with regenerated headers and digests.  Tasks write under
 temporary names that hold their attempt; only the attempts whose manifest rows
-Spark has committed are renamed, and a manifest written last makes the folder
+Spark has committed are renamed, by tasks of their own, and a manifest written last makes the folder
 complete.  Lost or repeated tasks leave temporary files at most.
 
 Which pages repeat an earlier payload is decided on digests alone.  The decisions
@@ -20,13 +21,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebeam.llm.frames import bounded_batches, scratch, stored
+from sagebeam.llm.frames import bounded_batches, discard, scratch, stored
 
 #: Compressed bytes at which a file ends.
 ROLL_BYTES = 64 << 20
@@ -34,6 +37,12 @@ ROLL_BYTES = 64 << 20
 LEAST_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Payload bytes of a range, ranges of that size at most, and bytes of a range beyond that number; bytes that a record has besides its payload, about.
+_RANGE_BYTES, _RANGES, _LARGEST, _OVERHEAD = 16 << 20, 4096, 1 << 30, 700
+#: Keys of the sample that ranges are cut by, for each of them.
+_PER_RANGE = 64
+_KEY = "S41"
+_FILE_TASKS = 20_000
 _MANIFEST = "temporary string, name string, records long, bytes long, sha256 string"
 
 
@@ -72,7 +81,7 @@ def _writer(folder: str, roll_bytes: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), f"{context.stageId()}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = _filesystem(folder)
         done: list[tuple[str, str, int, int, str]] = []
         out, seal, records, size = None, None, 0, 0
         refers = (None, None, None)
@@ -104,6 +113,33 @@ def _writer(folder: str, roll_bytes: int, date: str):
     return run
 
 
+def _cuts(rows: DataFrame, most: int) -> np.ndarray:
+    """Keys at which ``rows`` (key, text) are cut into at most ``most`` ranges: those of a sample that the keys' own hashes choose, so the same in every run.
+
+    About ``_PER_RANGE`` keys of each range reach the driver.
+    """
+    total = rows.count()
+    share = min(1.0, most * _PER_RANGE / max(1, total))
+    picked = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").toArrow()
+    keys = np.sort(np.array(picked.column("key").to_pylist(), dtype=_KEY))
+    return np.unique(keys[[len(keys) * i // most for i in range(1, most)]]) if len(keys) else keys
+
+
+def _ranges(cuts: np.ndarray):
+    """The number of a key's range, as a function of a column of keys."""
+
+    @F.pandas_udf("int")
+    def number(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, keys.to_numpy().astype(_KEY), side="right").astype(np.int32))
+
+    return number
+
+
+def ranges_of(total_bytes: int) -> int:
+    """Ranges by the payloads' bytes: ``_RANGE_BYTES`` each, or larger ones where there would be more than ``_RANGES`` of these."""
+    return max(1, min(-(-total_bytes // _RANGE_BYTES), _RANGES), -(-total_bytes // _LARGEST))
+
+
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) below ``folder``; returns the manifest.
 
@@ -112,40 +148,80 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     revisit it; shorter ones are all responses.  Rows that share that smallest
     page_id are all responses.  A null page_id is never the smallest; where all are
     null, all are responses.  A null url leaves its header out; control characters
-    in a url are percent-encoded.  An empty table makes no archive and an empty
-    manifest.  Extra columns are not read.
+    in a url are percent-encoded.  Repeated rows each make a record.  An empty table
+    makes no archive and an empty manifest.  Extra columns are not read.  The same
+    rows make the same files in every run, however they are partitioned.
     """
     spark = bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    slim, _ = stored(rows.where(F.col("size") >= LEAST_REVISIT).select("page_id", "digest"), "warc-digests")
-    firsts = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    revisits = slim.join(firsts, "digest").where("page_id is null or page_id > first").distinct()
+    # Keys sort as (page_id, digest) do, nulls first; the url parts rows that agree in both.
+    number = F.when(F.col("page_id").isNull(), F.lit("-" * 16)).otherwise(F.lpad(F.hex(F.col("page_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    near = F.concat(number, F.substring("digest", 1, 16))
+    rows = rows.withColumn("key", F.concat(near, F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 8)))
+    slim, slim_path = stored(rows.select("page_id", "digest", "size", "key"), "warc-digests")
+    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] + _OVERHEAD * slim.count()
+    cuts = _cuts(slim, ranges_of(total))
+    parts, ranged = len(cuts) + 1, _ranges(cuts)
+    long = slim.where(F.col("size") >= LEAST_REVISIT)
+    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    revisits = long.select("page_id", "digest", F.substring("key", 1, 32).alias("near")).distinct().join(firsts, "digest").where("page_id is null or page_id > first")
     kind = pages.schema["page_id"].dataType
-    decisions = revisits.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("long").alias("size"), F.col("first").cast(kind).alias("refers_to"))
-    both = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", "size", F.lit(None).cast(kind).alias("refers_to")).unionByName(decisions)
-    ranged = both.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
-    written, _ = stored(ranged.mapInArrow(_writer(folder, roll_bytes, date), _MANIFEST), "warc-manifest")
-    _commit(spark, folder, written)
-    return written.select("name", "records", "bytes", "sha256")
+    # A decision goes to every range that its page may be in: one, unless many rows share page and payload.
+    placed = revisits.withColumn("lo", ranged(F.col("near"))).withColumn("hi", ranged(F.concat("near", F.lit("~")))).withColumn("part", F.explode(F.sequence("lo", "hi")))
+    decisions = placed.select("part", "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("long").alias("size"), F.col("first").cast(kind).alias("refers_to"))
+    both = rows.select(ranged(F.col("key")).alias("part"), "page_id", "digest", F.lit(1).alias("kind"), "url", "payload", "size", F.lit(None).cast(kind).alias("refers_to")).unionByName(decisions)
+    dealt = both.repartitionById(parts, F.col("part")).sortWithinPartitions("page_id", "digest", "kind", F.md5(F.coalesce("url", F.lit("")).cast("binary")), "url")
+    written, written_path = stored(dealt.drop("part").mapInArrow(_writer(folder, roll_bytes, date), _MANIFEST), "warc-manifest")
+    named, _ = stored(_renamed(written, folder), "warc-names")
+    _commit(spark, folder, named)
+    discard(spark, slim_path, written_path)
+    return named.select("name", "records", "bytes", "sha256")
+
+
+def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The store and path of a folder, also by the names that Spark has for stores."""
+    for spark_name, name in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if folder.startswith(spark_name):
+            folder = name + folder.removeprefix(spark_name)
+    return pafs.FileSystem.from_uri(folder)
+
+
+def _by_file(manifest: DataFrame) -> DataFrame:
+    """``manifest`` with a file a task, up to ``_FILE_TASKS`` tasks."""
+    files = manifest.count()
+    tasks = max(1, min(files, _FILE_TASKS))
+    return manifest.repartitionById(tasks, F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(tasks)).cast("int"))
+
+
+def _renamed(written: DataFrame, folder: str) -> DataFrame:
+    """The manifest rows of committed attempts, whose files have got their names; one that has its name already was moved by an earlier try."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _filesystem(folder)
+        for batch in batches:
+            for temporary, name in zip(batch.column("temporary").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                if fs.get_file_info(f"{base}/{temporary}").type != pafs.FileType.NotFound:
+                    fs.move(f"{base}/{temporary}", f"{base}/{name}")
+                elif fs.get_file_info(f"{base}/{name}").type == pafs.FileType.NotFound:
+                    raise OSError(f"{temporary} and {name} are both missing")
+            yield batch
+
+    return _by_file(written).mapInArrow(run, _MANIFEST)
 
 
-def _commit(spark: SparkSession, folder: str, written: DataFrame) -> None:
-    """Give committed files their names, drop what lost attempts have left, and write the manifest last."""
+def _commit(spark: SparkSession, folder: str, named: DataFrame) -> None:
+    """Drop what lost attempts have left, and write the manifest, which makes the folder complete, last."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path(folder))
-    lines = []
-    for r in written.orderBy("name").toLocalIterator():
-        source, target = path(f"{folder}/{r['temporary']}"), path(f"{folder}/{r['name']}")
-        if fs.exists(source) and not fs.rename(source, target):
-            raise OSError(f"{source} could not be renamed to {target}")
-        lines.append(json.dumps({k: r[k] for k in ("name", "records", "bytes", "sha256")}, sort_keys=True))
     fs.delete(path(f"{folder}/_temporary"), True)
     stream = fs.create(path(f"{folder}/_manifest.tmp"), True)
-    stream.write(bytearray(("\n".join(lines) + "\n").encode()))
+    for r in named.orderBy("name").toLocalIterator():
+        stream.write(bytearray((json.dumps({k: r[k] for k in ("name", "records", "bytes", "sha256")}, sort_keys=True) + "\n").encode()))
     stream.close()
+    fs.delete(path(f"{folder}/manifest.jsonl"), False)
     fs.rename(path(f"{folder}/_manifest.tmp"), path(f"{folder}/manifest.jsonl"))
 
 
@@ -216,7 +292,7 @@ def _reader(folder: str, payloads: bool):
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = _filesystem(folder)
         for names in batches:
             for name in names.column("name").to_pylist():
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as source:
@@ -237,8 +313,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
     """One row per record of the archives that ``manifest`` (name) lists: page_id, record_type, url,
     payload_bytes and payload_digest (both of the full payload), refers_to, payload, sound (its digests agree)."""
     schema = "page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, sound boolean"
-    files = manifest.select("name").repartition(F.col("name"))
-    return files.mapInArrow(_reader(folder, payloads), schema)
+    return _by_file(manifest.select("name")).mapInArrow(_reader(folder, payloads), schema)
 
 
 def round_trip(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> DataFrame:
