@@ -2,13 +2,15 @@
 
 Each permutation of the shingle hashes gives two signature values, its minimum
 and its maximum, so ``PERMUTATIONS`` hash evaluations make a signature twice as
-long.  Bands of ``ROWS`` values key the buckets.  Nodes are distinct shingle
+long.  Bands of several values key the buckets.  Nodes are distinct shingle
 sets, so copies never meet as pairs.  Buckets first link every member to the
 bucket's smallest node; links are confirmed on the full sets and joined to
 components, and only pairs of a bucket that these leave apart are looked at
-again, in tiles of bounded size that send back a forest of confirmed links.  Pairs inside a component need no check: they
-could not change it.  With 28 bands of 6 rows a pair at similarity 0.85 shares
-no bucket with a probability of 2e-6.
+again, in tiles of bounded size that send back a forest of confirmed links.
+Pairs inside a component need no check: they could not change it.  Bands are as
+long as the threshold allows for a pair at it to share no bucket with a
+probability of at most ``MISSED`` (6 rows at 0.85, 5 at 0.80: both 2e-6).
+Buckets that many nodes share are joined by broadcast, so that none is one task.
 """
 
 from __future__ import annotations
@@ -24,19 +26,29 @@ from pyspark.sql import functions as F
 from sagebeam.llm import textkit as tk
 from sagebeam.llm.frames import bounded_batches, components, discard, stored
 
-PERMUTATIONS, BANDS, ROWS = 84, 28, 6
+PERMUTATIONS = 84
+#: Probability with which a pair at the threshold may share no bucket.
+MISSED = 1e-5
 SHINGLE = 5
-#: Members of a bucket that one tile compares at most with as many others, on average.
-TILE = 512
+#: Members of a bucket, and shingles of theirs, that one tile compares at most with as many others, on average.
+TILE, TILE_SHINGLES = 512, 1 << 20
+#: Buckets with more than this share of all places in buckets are hot; there are fewer than its inverse.
+HOT = 1e-4
 #: Standard deviations of the signature's estimate below the threshold at which a pair of a tile is dropped.
 SIGMAS = 6.0
 
 _MULTIPLIERS = tk.stream(9, PERMUTATIONS) | np.uint64(1)
 _ORDER = np.argsort(tk.stream(10, 2 * PERMUTATIONS))
-_ROW_KEYS = tk.stream(12, ROWS)
+_ROW_KEYS = tk.stream(12, 2 * PERMUTATIONS)
 _SHINGLE_KEYS = tk.stream(5, SHINGLE)
 
 
+def rows_of_bands(percent: int) -> int:
+    """The longest bands that miss a pair at ``percent`` with a probability of at most ``MISSED``."""
+    p, n = percent / 100, 2 * PERMUTATIONS
+    return max([r for r in range(1, n + 1) if (1 - p**r) ** (n // r) <= MISSED], default=1)
+
+
 def shingle_sets(words: tk.Words) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of every row; fewer than five words make one shingle, none make an empty set."""
     h = words.hashes()
@@ -69,24 +81,29 @@ def _binaries(values: list[bytes | None]) -> pa.Array:
     return pa.array(values, type=pa.binary())
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, nodes, bands, sketches = [], [], [], []
-        for words in tk.words(batch.column("text"), tk.SOLID):
-            for s in shingle_sets(words):
-                sizes.append(len(s))
-                if not len(s):
-                    nodes.append(None), bands.append(None), sketches.append(None)
-                    continue
-                sig = signature(s)
-                keys = tk.mixed((sig.reshape(BANDS, ROWS) * _ROW_KEYS).sum(axis=1), 77) + np.arange(BANDS, dtype=np.uint64)
-                nodes.append(_node(s))
-                bands.append(tk.splitmix(keys).view(np.int64))
-                sketches.append(tk.splitmix(sig).astype(np.uint8).tobytes())
-        yield pa.record_batch(
-            [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), _binaries(sketches)],
-            names=["doc_id", "text_key", "n_shingles", "node", "bands", "sketch"],
-        )
+def _signer(long: int):
+    n_bands = 2 * PERMUTATIONS // long
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, nodes, bands, sketches = [], [], [], []
+            for words in tk.words(batch.column("text"), tk.SOLID):
+                for s in shingle_sets(words):
+                    sizes.append(len(s))
+                    if not len(s):
+                        nodes.append(None), bands.append(None), sketches.append(None)
+                        continue
+                    sig = signature(s)
+                    keys = tk.mixed((sig[: n_bands * long].reshape(n_bands, long) * _ROW_KEYS[:long]).sum(axis=1), 77) + np.arange(n_bands, dtype=np.uint64)
+                    nodes.append(_node(s))
+                    bands.append(tk.splitmix(keys).view(np.int64))
+                    sketches.append(tk.splitmix(sig).astype(np.uint8).tobytes())
+            yield pa.record_batch(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), _binaries(sketches)],
+                names=["doc_id", "text_key", "n_shingles", "node", "bands", "sketch"],
+            )
+
+    return run
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +186,7 @@ def _tiler(percent: int):
 
     def unpack(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-        x["bands"] = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        x["bands"] = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)
         x["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, 2 * PERMUTATIONS)
         x["shingles"] = np.array(batch.column("shingles").to_pylist(), dtype=object)
         return x
@@ -212,7 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     spark = bounded_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    signed, signed_path = stored(slim.mapInArrow(_signed, "doc_id long, text_key long, n_shingles long, node long, bands array<long>, sketch binary"), "minhash-signed")
+    signed, signed_path = stored(slim.mapInArrow(_signer(rows_of_bands(percent)), "doc_id long, text_key long, n_shingles long, node long, bands array<long>, sketch binary"), "minhash-signed")
 
     # A node per distinct set; of its copies one stands for all, whatever their number.
     nodes, nodes_path = stored(
@@ -222,16 +239,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         "minhash-nodes")
     in_band = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     hubs, hubs_path = stored(in_band.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("members")).where("hub <> top").drop("top"), "minhash-hubs")
-    placed, placed_path = stored(in_band.join(hubs, "bucket"), "minhash-placed")
+    placed, placed_path = stored(_by_bucket(in_band, hubs), "minhash-placed")
     spokes = placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links, links_path = _linked(docs, nodes, spokes, percent)
     roots, root_paths = components(links, "minhash-first")
 
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = placed.where("node <> hub and members > 2").join(rooted.select("node", "root"), "node")
-    open_buckets = apart.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).where("x <> y").select("bucket", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+    apart = placed.where("node <> hub and members > 2").drop("members", "hub").join(rooted.select("node", "root", "n_shingles"), "node")
+    open_buckets = apart.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).where("x <> y")
+    open_buckets, open_path = stored(open_buckets.select("bucket", "members", F.ceil(F.greatest(F.col("members") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles")), "minhash-open")
     left = (
-        apart.drop("members", "hub").join(open_buckets, "bucket").join(rooted.select("node", "n_shingles", "bands", "sketch"), "node")
+        _by_bucket(apart, open_buckets).drop("members").join(nodes.select("node", "bands", "sketch"), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
         .withColumn("ti", F.least("own", "other")).withColumn("tj", F.greatest("own", "other"))
@@ -244,12 +262,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = nodes.join(final, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known, known_path = stored(named.join(least, "root").select("node", "component_id"), "minhash-known")
-    discard(spark, sets_path, nodes_path, hubs_path, placed_path, links_path, more_path, *root_paths, *final_paths)
+    discard(spark, open_path, sets_path, nodes_path, hubs_path, placed_path, links_path, more_path, *root_paths, *final_paths)
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(known, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key", "node")
 
 
+def _by_bucket(places: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``places`` joined to ``buckets`` (bucket, members and more); those of hot buckets by broadcast, the others by shuffle."""
+    total = buckets.agg(F.sum("members")).first()[0] or 0
+    least = max(TILE, int(total * HOT))
+    # Buckets of so many members are fewer than 1 / HOT, some 300 KB.
+    hot = F.broadcast(buckets.where(F.col("members") > least).withColumn("_hot", F.lit(True)))
+    known = places.join(hot, "bucket", "left")
+    own = known.where("_hot").drop("_hot")
+    rest = known.where("_hot is null").select(*places.columns).join(buckets.where(F.col("members") <= least), "bucket")
+    return own.unionByName(rest)
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
     """(node, shingles) of the ``wanted`` nodes, from the texts that stand for them, and the table's path."""
     own = nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("text_of.text_key").alias("key"), F.col("text_of.doc_id").alias("id"))
