@@ -2,14 +2,20 @@
 
 The text view reads hashed byte n-grams of the whole text; the metadata view
 reads source, language and size alone.  Both start from the labelled rows of a
-bounded sample.  In every round each view labels the unlabelled rows that it is
-most sure of, as many of either label as the labelled rows have in proportion,
-and hands them to the other view.  At the end each view's margin is calibrated on
-labelled rows kept apart, and the score combines the two calibrated log odds.
+bounded sample.  Every round takes a slice of its own of all documents, so that
+after the last round each has been looked at once.  In its slice each view labels
+the rows that it is sure of, beyond the middle margin of the labelled rows of that
+label, and hands them to the other view, as sums of features: every task adds up
+what it finds by view, label and group, Spark adds up the tasks, and the other view
+learns from the groups' means beside the labelled rows.  At the end each view's
+margin is calibrated on labelled rows kept apart, and the score combines the two
+calibrated log odds.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +27,15 @@ from sagebeam.llm import learning
 from sagebeam.llm import textkit as tk
 from sagebeam.llm.frames import bounded_batches, fresh
 
-NGRAM_DIMS, SHAPES, META_DIMS = 1024, 6, 256
+NGRAM_DIMS, SHAPES, META_DIMS = 1024, 6, 1024
 TEXT_DIMS = NGRAM_DIMS + SHAPES
-#: Labelled rows, and unlabelled rows of the pool, at most.
-SAMPLE, POOL = 3000, 3000
+#: Labelled rows at most.
+SAMPLE = 3000
 ROUNDS = 4
-#: Share of the pool that a view hands over in a round.
-HANDED = 0.05
+#: Groups that the rows handed over with a label are added up in, and what all of them count beside the labelled rows of that label.
+GROUPS, HANDED = 16, 0.5
+#: Features are added up as whole numbers of this part, so that no order of rows changes a sum.
+_UNIT = float(1 << 20)
 THRESHOLD = 0.5
 
 
@@ -76,8 +84,7 @@ def meta_features(batch: pa.RecordBatch) -> np.ndarray:
     for i, (s, g, n) in enumerate(zip(source, lang, chars, strict=True)):
         size = -1 if n is None or n < 0 else int(2 * np.log2(n + 1))
         for part in (f"s{s!r}", f"l{g!r}", f"b{s!r}{g!r}", f"n{size}"):
-            h = int(tk.splitmix(np.array([int.from_bytes(part.encode()[-8:], "little") ^ (len(part) << 56) ^ sum(part.encode())], dtype=np.uint64))[0])
-            out[i, h % META_DIMS] += 0.5
+            out[i, zlib.crc32(part.encode(errors="replace")) % META_DIMS] += 0.5
     return out
 
 
@@ -102,39 +109,87 @@ class Model:
         return learning.sigmoid(self.odds(x) @ self.join[0] + self.join[1])
 
 
-def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = ROUNDS, handed: float = HANDED) -> list[tuple[np.ndarray, float]]:
-    """Weights and bias of both views after the exchange."""
-    share = float(y.mean())
-    # Each view has the labelled rows and what the other has handed it.
-    held = [np.full(len(pool), -1.0), np.full(len(pool), -1.0)]
-    views: list[tuple[np.ndarray, float]] = []
-    for r in range(rounds + 1):
-        views = []
-        for v, given in zip(_VIEWS, held, strict=True):
-            has = given >= 0
-            xs, ys = np.concatenate([x[:, v], pool[has][:, v]]), np.concatenate([y, given[has]])
-            weight = np.concatenate([np.ones(len(y)), np.full(int(has.sum()), 0.5)])
-            views.append(learning.fit_logistic(xs, ys.astype(np.float32), weight))
-        if r == rounds:
-            break
-        for k, (v, (w, b)) in enumerate(zip(_VIEWS, views, strict=True)):
-            z = np.where(held[1 - k] < 0, pool[:, v] @ w + b, np.nan)
-            free = np.flatnonzero(~np.isnan(z))
-            n = int(handed * len(pool))
-            order = free[np.argsort(z[free], kind="stable")]
-            low, high = round(n * (1 - share)), round(n * share)
-            # Confident: beyond the labelled rows' own middle margins, not only the extremes of the pool.
-            sure = np.abs(z) >= np.median(np.abs(x[:, v] @ w + b))
-            for at, label in ((order[:low], 0.0), (order[len(order) - high :], 1.0)):
-                at = at[sure[at] & ((z[at] > 0) == bool(label))]
-                held[1 - k][at] = label
+Views = list[tuple[np.ndarray, float]]
+
+
+@dataclass
+class Handed:
+    """What a view has been handed: rows and summed features, by label and group."""
+
+    n: np.ndarray
+    total: np.ndarray
+
+    @classmethod
+    def none(cls, view: slice) -> Handed:
+        return cls(np.zeros((2, GROUPS)), np.zeros((2, GROUPS, view.stop - view.start)))
+
+
+def sure_from(x: np.ndarray, y: np.ndarray, views: Views) -> list[tuple[float, float]]:
+    """For each view the margins below which it is sure of label 0, and above which of label 1: the middle ones of the labelled rows."""
+    out = []
+    for v, (w, b) in zip(_VIEWS, views, strict=True):
+        z = x[:, v] @ w + b
+        out.append((min(float(np.median(z[y == 0])), 0.0), max(float(np.median(z[y == 1])), 0.0)))
+    return out
+
+
+def learned(x: np.ndarray, y: np.ndarray, handed: list[Handed]) -> Views:
+    """Weights and bias of both views from the labelled rows and the means of what they have been handed."""
+    views = []
+    for v, given in zip(_VIEWS, handed, strict=True):
+        xs, ys, weight = [x[:, v]], [y], [np.ones(len(y))]
+        for label in (0, 1):
+            has = np.flatnonzero(given.n[label])
+            if len(has):
+                n = given.n[label][has]
+                xs.append((given.total[label][has] / n[:, None]).astype(np.float32))
+                ys.append(np.full(len(has), label, dtype=np.float32))
+                weight.append(HANDED * (y == label).sum() * n / n.sum())
+        views.append(learning.fit_logistic(np.concatenate(xs), np.concatenate(ys), np.concatenate(weight)))
     return views
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
-    """Both views from bounded samples of the labelled and the unlabelled rows of ``docs``; None with fewer than two labels.
+def _handover(shared):
+    """For each view, label and group the number and the summed features of the rows that the *other* view is sure of; dim -1 is the number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, sure = shared.value
+        handed = [Handed.none(v) for v in _VIEWS]
+        for batch in batches:
+            x, group = features(batch), batch.column("grp").to_numpy()
+            for k, (v, (w, b), (low, high)) in enumerate(zip(_VIEWS, views, sure, strict=True)):
+                z = x[:, v] @ w + b
+                for label, at in ((0, np.flatnonzero(z <= low)), (1, np.flatnonzero(z >= high))):
+                    given, own = handed[1 - k], np.zeros((GROUPS, len(at)))
+                    own[group[at], np.arange(len(at))] = 1
+                    given.n[label] += own.sum(axis=1)
+                    given.total[label] += own @ np.rint(x[at][:, _VIEWS[1 - k]].astype(np.float64) * _UNIT)
+        for k, given in enumerate(handed):
+            for label in (0, 1):
+                both = np.concatenate([given.n[label][:, None], given.total[label]], axis=1).astype(np.int64)
+                grp, dim = np.nonzero(both)
+                yield pa.record_batch([pa.array(np.full(len(grp), k, np.int32)), pa.array(np.full(len(grp), label, np.int32)), pa.array(grp.astype(np.int32)), pa.array(dim.astype(np.int32) - 1), pa.array(both[grp, dim])], names=["view", "label", "grp", "dim", "value"])
+
+    return run
+
+
+def hand_over(rows: DataFrame, views: Views, sure: list[tuple[float, float]], handed: list[Handed]) -> None:
+    """Add to ``handed`` what the views hand each other of ``rows`` (text, lang, source, n_chars, grp): some 70,000 numbers, whatever the data."""
+    shared = rows.sparkSession.sparkContext.broadcast((views, sure))
+    found = rows.mapInArrow(_handover(shared), "view int, label int, grp int, dim int, value long").groupBy("view", "label", "grp", "dim").agg(F.sum("value").alias("value")).toArrow()
+    view, label, grp, dim, value = (found.column(c).to_numpy() for c in ("view", "label", "grp", "dim", "value"))
+    for k, given in enumerate(handed):
+        at = (view == k) & (dim < 0)
+        given.n[label[at], grp[at]] += value[at]
+        at = (view == k) & (dim >= 0)
+        given.total[label[at], grp[at], dim[at]] += value[at] / _UNIT
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model | None:
+    """Both views from a bounded sample of the labelled rows of ``docs`` and from all its rows; None with fewer than two labels.
 
     Of several labels of a document the smallest counts; null labels are left out.
+    Rows that have a label are handed over like any others, by what the views say.
     """
     bounded_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text", "lang", "source", "n_chars")
@@ -146,16 +201,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = PO
     if len(set(y.tolist())) < 2:
         return None
     totals = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    # The pool: a hash sample of all rows, without those that have a label, so that only the sample's texts are shuffled.
-    some = learning.stratified(slim.withColumn("quality", F.lit(-1)), "quality", pool)
-    _, unlabelled = learning.collected(some.join(known.select("doc_id"), "doc_id", "left_anti").select(*some.columns).mapInArrow(shape, "doc_id long, quality int, x binary"))
-    if not len(unlabelled):
-        unlabelled = np.zeros((0, x.shape[1]), dtype=np.float32)
     apart = tk.splitmix(table.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(4) == 0
     if len(set(y[apart].tolist())) < 2 or len(set(y[~apart].tolist())) < 2:
         apart[:] = False
     train, test = ~apart, apart if apart.any() else ~apart
-    views = co_train(x[train], y[train], unlabelled, rounds)
+    handed = [Handed.none(v) for v in _VIEWS]
+    views = learned(x[train], y[train], handed)
+    place = F.xxhash64("text", "doc_id")
+    for r in range(rounds):
+        rows = slim.where(F.pmod(place, F.lit(rounds)) == r).select("text", "lang", "source", "n_chars", F.pmod(F.shiftright(place, 20), F.lit(GROUPS)).cast("int").alias("grp"))
+        hand_over(rows, views, sure_from(x[train], y[train], views), handed)
+        views = learned(x[train], y[train], handed)
     weight = np.array([totals[int(v)] / max(1, (y == v).sum()) for v in y])[test]
     platt = [learning.fit_platt(x[test][:, v] @ w + b, y[test], weight) for v, (w, b) in zip(_VIEWS, views, strict=True)]
     model = Model(views, platt, (np.zeros(2), 0.0))
