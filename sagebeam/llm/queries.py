@@ -136,5 +136,32 @@ FROM docs LEFT JOIN base USING (rid) LEFT JOIN own USING (rid)
 """
 
 
+_OP1 = """
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sound AS (
+  SELECT rid, vec_id, v FROM rows
+  WHERE coalesce(len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0, false)),
+links AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM sound AS a JOIN sound AS b ON a.rid <> b.rid AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT rid AS a, rid AS b FROM rows UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
+least AS (SELECT a AS rid, min(vec_id) AS component_id FROM reach JOIN rows ON rid = b GROUP BY a),
+counts AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM rows JOIN least USING (rid) LEFT JOIN counts USING (rid)
+"""
+
+_OP10 = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT rid, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM docs),
+sizes AS (SELECT rid, count(*) AS n FROM sets GROUP BY rid),
+shared AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM sets AS x JOIN sets AS y ON x.g = y.g AND x.rid < y.rid GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes AS x ON x.rid = a JOIN sizes AS y ON y.rid = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rid AS a, rid AS b FROM docs UNION SELECT r.a, l.b FROM reach AS r JOIN both_ways AS l ON r.b = l.a),
+least AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN docs ON rid = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM docs JOIN least USING (rid) LEFT JOIN sizes USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op4_mixing": _OP4, "op5_licenses": _OP5, "op8_warc": _OP8}
+    return {"op1_embeddings": _OP1, "op10_minhash": _OP10, "op2_decontaminate": _OP2, "op4_mixing": _OP4, "op5_licenses": _OP5, "op8_warc": _OP8}
