@@ -123,6 +123,31 @@ def test_embeddings_by_brute_force(spark):
     assert all(got[i] == (0, i, True) for i in range(900, 906))
 
 
+def test_embeddings_in_blocks_of_any_magnitude(spark, monkeypatch):
+    """Many tiles, finite vectors whose squares vanish or overflow, repeated rows without ids, and columns that clash."""
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 8))
+    x = np.concatenate([x, x[:40] + rng.normal(scale=0.15, size=(40, 8))])
+    scale = np.resize([1.0, 1e-170, 1e200, 1e-300, 1e300], len(x))
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x * scale[:, None])] + [(None, [float(v) for v in x[0]])] * 2 + [(None, None)] * 2
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for name in ("node", "vector", "copies", "dims", "own", "part", "links", "root"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    found = embeddings.near_vectors(frame).collect()
+    got = {r["vec_id"]: r for r in found if r["vec_id"] is not None}
+    n = np.linalg.norm(x, axis=1)
+    linked = (x @ x.T) / n[:, None] / n >= 0.95
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        label = np.array([label[linked[i]].min() for i in range(len(x))])
+    assert linked.sum() > len(x) + 40
+    for i in range(len(x)):
+        assert (got[i]["n_links"], got[i]["component_id"]) == (linked[i].sum() - 1 + 2 * linked[i][0], label[i])
+    rest = sorted(((r["n_links"], r["component_id"], r["kept"]) for r in found if r["vec_id"] is None), key=repr)
+    assert rest == [(0, None, None)] * 2 + [(linked[0].sum() + 1, 0, None)] * 2
+
+
 def test_quantisation_error_is_a_bound():
     unit = np.random.default_rng(1).normal(size=(200, 32))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
@@ -166,6 +191,35 @@ def test_license_templates(spark):
     assert (got[0]["labels"], got[0]["base_labels"], got[0]["n_base"], got[0]["first_word"]) == ("apache-2,bsd", "apache-2", 1, 121) and (got[1]["labels"], got[1]["score"]) == ("", 0.0)
 
 
+def test_license_notices_are_told_apart(spark):
+    texts = {
+        "released under the bsd license": "", "released under the apache license": "", "licensed under CC BY-SA 4.0": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+        licenses.TEMPLATES["gpl-3"].replace("version 3", "version 2"): "", licenses.TEMPLATES["gpl-3"].replace("gnu general", "gnu lesser general"): "",
+        "Distributed under the terms of the MIT license": "mit"}
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == list(texts.values())
+
+
+def test_warc_files_follow_from_the_rows(spark, monkeypatch, tmp_path):
+    """Several ranges and files; no partitioning of the input and no run changes one, and a hot page is spread over ranges."""
+    monkeypatch.setattr(warc, "_RANGE_BYTES", 1 << 16)
+    rows_ = [(i if i % 3 else 7, f"http://h/{i}", f"<p>{i % 50}</p>" * (5 + i % 40)) for i in range(4000)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("digest", "size", "payload", "kind", "key", "part", "near")})
+    made = []
+    for k, p in enumerate((pages.repartition(3), pages.repartition(11, "url"), pages.unionByName(pages.limit(0)))):
+        manifest = warc.write_archives(p, f"file://{tmp_path}/{k}", roll_bytes=4000)
+        made.append(sorted((r["name"], r["records"], r["sha256"]) for r in manifest.collect()))
+    assert made[0] == made[1] == made[2] and len(made[0]) > 20 and len({n[:10] for n, _, _ in made[0]}) > 4
+    found = warc.read_archives(manifest, f"file://{tmp_path}/2").collect()
+    firsts = {}
+    for i, _, html in rows_:
+        firsts[html] = min(firsts.get(html, i), i)
+    assert len(found) == len(rows_) and all(r["sound"] for r in found)
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in found) == Counter((i, "response", None) if len(h) < 100 or firsts[h] == i else (i, "revisit", firsts[h]) for i, _, h in rows_)
+
+
 def test_warc_round_trip(spark, tmp_path):
     page = "<p>" + "ä" * 100
     pages = spark.createDataFrame([(5, "http://a\r\nb", page), (3, None, page), (9, "u", page), (1, "v", "tiny"), (2, "w", "tiny"), (4, "x", None), (None, "y", page), (7, "z", "other " * 5000)], "page_id long, url string, html string")
@@ -246,6 +300,47 @@ def test_held_out_accuracy(spark):
     assert held.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.95
 
 
+def test_co_training_hands_over_what_the_views_are_sure_of(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    columns = ["text", "lang", "source", "n_chars"]
+    local = docs.join(labels, "doc_id").orderBy("doc_id").select(*columns, "quality").toArrow().combine_chunks().to_batches()[0]
+    x, y = quality.features(local), local.column("quality").to_numpy().astype(np.float32)
+    handed = [quality.Handed.none(v) for v in quality._VIEWS]
+    views = quality.learned(x, y, handed)
+    sure = quality.sure_from(x, y, views)
+    rows_ = docs.select(*columns, (F.col("doc_id") % quality.GROUPS).cast("int").alias("grp"))
+    quality.hand_over(rows_.repartition(3), views, sure, handed)
+    batch = rows_.toArrow().combine_chunks().to_batches()[0]
+    x, group = quality.features(batch), batch.column("grp").to_numpy()
+    for k, (v, (w, b), (low, high)) in enumerate(zip(quality._VIEWS, views, sure, strict=True)):
+        z = x[:, v] @ w + b
+        for label, at in ((0, z <= low), (1, z >= high)):
+            assert at.any()
+            for g in range(quality.GROUPS):
+                own = at & (group == g)
+                assert handed[1 - k].n[label][g] == own.sum() and np.allclose(handed[1 - k].total[label][g], x[own][:, quality._VIEWS[1 - k]].sum(axis=0), atol=1e-3)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Only about 300 labelled rows to learn from, some of them mislabelled; ranked clearly better than by chance."""
+    docs, labels = (spark.read.parquet(f"{SF}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.toxic(docs, labels).where("held_out").join(labels, "doc_id").select("score", "toxic").toPandas()
+    rank, hit = held["score"].rank(), held["toxic"] == 1
+    assert (rank[hit].sum() - hit.sum() * (hit.sum() + 1) / 2) / (hit.sum() * (~hit).sum()) > 0.7
+
+
+@pytest.mark.parametrize("ids", [(2, 4), (2, 4, 7, 8, 9, 12)])
+def test_toxicity_with_very_few_labels(spark, odd, ids):
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)] * 2, "doc_id long, toxic int").withColumn("score", F.lit("clash"))
+    got = toxicity.toxic(odd, labels).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+
+
+def test_bands_follow_the_threshold():
+    for percent, want in ((85, 6), (80, 5)):
+        assert minhash.rows_of_bands(percent) == want and (1 - (percent / 100) ** want) ** (168 // want) <= 1e-5
+
+
 def test_network_learns_marked_words():
     rng = np.random.default_rng(0)
     texts = [rng.integers(1, 500, (rng.integers(5, 60), toxicity.PIECES)).astype(np.int32) for _ in range(300)]

@@ -40,6 +40,17 @@ def test_stages_take_empty_input(spark, name):
     assert dict(pipeline.STAGES)[name](spark, empty, SF).count() == 0
 
 
+def test_stages_take_odd_rows(spark, odd):
+    """Nulls, empty and very long texts, repeated rows and clashing columns; each stage by what it says that it keeps."""
+    stages = {name: stage(spark, odd, SF) for name, stage in pipeline.STAGES}
+    kept = {name: sorted((r["doc_id"] or 0) for r in f.collect()) for name, f in stages.items()}
+    assert all(f.columns == odd.columns for name, f in stages.items() if name != "mix") and stages["mix"].columns == [*odd.columns, "_taken"]
+    assert kept["language"] == [0, 4, 4, 8, 9]
+    assert kept["near_duplicates"] == [0, 1, 2, 3, 4, 7, 8, 9]
+    assert kept["benchmark"] == sorted((r["doc_id"] or 0) for r in odd.collect())
+    assert set(kept["toxicity"]) <= {0, 1, 2, 3, 4, 7, 8, 9} and set(kept["mix"]) <= {0, 4, 7, 8, 9}
+
+
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert out.columns == [*COLUMNS, "taken"] and out.where("taken <= 0").count() == 0 and out.count() > 0
