@@ -3,12 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagebeam.functions import text as T
 
+#: Values of a difference hash's picture, and its bits.
+SLICES, BITS = 72, 64
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """See that the context has a checkpoint folder: the one that the session names, else, in a local session alone, one of its own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sagebeam-checkpoint-"))
+
+
+@F.pandas_udf("long")
+def text_dhash(texts: pd.Series) -> pd.Series:
+    """A 64-bit difference hash of a text of any length, as ``functions.text.dhash`` of its slices' sums of code points; null for null.
+
+    Character i of n is in slice i * SLICES // n, so that every character counts and short texts leave slices at 0.
+    """
+
+    def word(text: str | None) -> int | None:
+        if text is None:
+            return None
+        total = np.concatenate([[0], np.cumsum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), dtype=np.int64)])
+        rows = np.diff(total[-(-np.arange(SLICES + 1) * (len(total) - 1) // SLICES)]).reshape(8, 9)
+        return int.from_bytes(np.packbits(rows[:, :-1] > rows[:, 1:]).tobytes(), "big", signed=True)
+
+    return pd.Series([word(t) for t in texts], dtype="Int64")
+
 
 def exact_groups(rows: DataFrame, content: str, member: str) -> DataFrame:
     """(digest, n, first) of contents that more than one row has; counted before the shuffle."""
@@ -21,28 +54,79 @@ def cross_class(rows: DataFrame, content: str, label: str) -> DataFrame:
     return grouped.where("n > 1 and labels > 1")
 
 
+def members_of(rows: DataFrame, content: str, member: str) -> DataFrame:
+    """(digest, n, member) for every row of a repeated content: member lists as rows, so that no group has to fit a task."""
+    keyed = rows.select(F.sha2(F.col(content).cast("binary"), 256).alias("digest"), F.col(member).alias("member"))
+    return keyed.join(keyed.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "digest").select("digest", "n", "member")
+
+
 def hamming_classes(rows: DataFrame, member: str, bits: str) -> tuple[DataFrame, DataFrame]:
-    """Rows by class of equal words, and one row per class: (member, word) and (word, first, n)."""
-    members = rows.where(F.col(bits).isNotNull()).select(F.col(member).alias("member"), F.col(bits).alias("word"))
-    return members, members.groupBy("word").agg(F.min("member").alias("first"), F.count("*").alias("n"))
+    """Rows by class of equal words, and one row per class: (member, word) and (word, first, n); words are made once."""
+    _checkpoints(rows.sparkSession)
+    members = rows.where(F.col(bits).isNotNull()).select(F.col(member).alias("member"), F.col(bits).alias("word")).checkpoint()
+    return members, members.groupBy("word").agg(F.min("member").alias("first"), F.count("*").alias("n")).checkpoint()
+
+
+def _bands(words: int, radius: int) -> int:
+    """Into how many bands words are cut: the fewest whose keys, of all but ``radius`` bands, tell so many random words apart."""
+    return next((m for m in range(radius + 1, 2 * radius) if words <= 1 << BITS * (m - radius) // m), 2 * radius)
 
 
 def hamming_edges(classes: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b, distance) of the different words, a before b, at most ``radius`` bits apart.
 
-    Two words within k bits agree on one of k + 1 disjoint bands, so an equi-join on
-    bands finds every pair; a pair is kept in the first band it shares, so none comes
-    twice.  Words are distinct, whatever the number of their copies.
+    Of m disjoint bands two such words agree on at least m - radius, so equi-joins on
+    every choice of that many bands find all pairs; the more words there are, the
+    more bands, up to 70 keys of 32 bits at a radius of 4.  A pair is kept at the
+    first bands that it agrees on, so none comes twice.  Words are distinct, whatever
+    the number of their copies.
     """
-    count = radius + 1
-    cuts = [64 * i // count for i in range(count + 1)]
-    bands = [F.shiftrightunsigned("word", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-    split = classes.select("word", F.posexplode(F.array(*bands)).alias("band", "value"))
-    pairs = split.alias("x").join(split.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.word") < F.col("y.word")))
+    m = _bands(classes.count(), radius)
+    cuts = [BITS * i // m for i in range(m + 1)]
+    widths = [hi - lo for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def band(word: Column, i: int) -> Column:
+        return F.shiftrightunsigned(word, cuts[i]).bitwiseAND(F.lit((1 << widths[i]) - 1))
+
+    chosen = list(combinations(range(m), m - radius))
+    keys = []
+    for c in chosen:
+        key, at = F.lit(0).cast("long"), 0
+        for i in c:
+            key = key.bitwiseOR(F.shiftleft(band(F.col("word"), i), at))
+            at += widths[i]
+        keys.append(key)
+    split = classes.select("word", F.posexplode(F.array(*keys)).alias("choice", "key"))
+    pairs = split.alias("x").join(split.alias("y"), (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.word") < F.col("y.word")))
     differ = F.col("x.word").bitwiseXOR(F.col("y.word"))
-    first = F.coalesce(*[F.when(F.shiftrightunsigned(differ, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) == 0, F.lit(i)) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
     distance = T.hamming(F.col("x.word"), F.col("y.word"))
-    return pairs.where((distance <= radius) & (first == F.col("x.band"))).select(F.col("x.word").alias("a"), F.col("y.word").alias("b"), distance.alias("distance"))
+    agreed = F.lit(0)
+    for i in range(m):
+        agreed = agreed + F.when(band(differ, i) == 0, 1 << i).otherwise(0)
+    place = {sum(1 << i for i in c): k for k, c in enumerate(chosen)}
+    firsts = [place.get(sum(1 << i for i in [i for i in range(m) if mask >> i & 1][: m - radius]), -1) for mask in range(1 << m)]
+    first = F.get(F.array(*[F.lit(v) for v in firsts]), agreed)
+    return pairs.where((distance <= radius) & (first == F.col("x.choice"))).select(F.col("x.word").alias("a"), F.col("y.word").alias("b"), distance.alias("distance"))
+
+
+def edge_counts(rows: DataFrame, member: str, bits: str, label: str, radius: int = 4) -> DataFrame:
+    """One row: pairs of rows at most ``radius`` bits apart (``edges``), and those under two labels (``cross_edges``).
+
+    Counted by classes of equal words and their labels, so that copies are never paired.
+    """
+    _checkpoints(rows.sparkSession)
+    labelled = rows.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("word"), F.col(label).alias("label")).agg(F.count("*").alias("n")).checkpoint()
+    classes = labelled.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    within = classes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("edges"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("cross"))
+    edges = hamming_edges(classes.select("word"), radius)
+    sized = lambda side: classes.select(F.col("word").alias(side), F.col("n").alias(f"n_{side}"))
+    between = edges.join(sized("a"), "a").join(sized("b"), "b")
+    of = lambda side: labelled.select(F.col("word").alias(side), "label", F.col("n").alias(f"n_{side}"))
+    alike = edges.join(of("a"), "a").join(of("b"), ["b", "label"]).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("alike"))
+    apart = between.agg(F.sum(F.col("n_a") * F.col("n_b")).alias("pairs"))
+    zero = F.lit(0)
+    both = within.crossJoin(apart).crossJoin(alike)  # a row each
+    return both.select((F.coalesce("edges", zero) + F.coalesce("pairs", zero)).cast("long").alias("edges"), (F.coalesce("cross", zero) + F.coalesce("pairs", zero) - F.coalesce("alike", zero)).cast("long").alias("cross_edges"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,10 +135,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minimum labels over edges, then the label of the label, until nothing moves;
     each round is checkpointed to the shared folder.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sagebeam-checkpoint-")  # a folder of its own only where none is named
-        spark.sparkContext.setCheckpointDir(shared)
+    _checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")).checkpoint()
     while True:

@@ -55,18 +55,15 @@ _CROSS = "SELECT sha256(text) AS digest, count(*) AS n, count(DISTINCT source) A
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 64-bit difference hash of 72 equal slices of each text, a slice's value the sum of its code points."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 72).select("doc_id", "source", "text", F.floor(F.length("text") / 72).cast("int").alias("step"))
-    letters = docs.select("doc_id", "source", "step", F.posexplode(F.split("text", "")).alias("i", "letter")).where("i < 72 * step")
-    slices = letters.groupBy("doc_id", "source", F.floor(F.col("i") / F.col("step")).alias("k")).agg(F.sum(F.ascii("letter")).alias("v"))
-    listed = slices.groupBy("doc_id", "source").agg(F.array_sort(F.collect_list(F.struct("k", "v")))["v"].alias("pixels"))
-    return listed.select("doc_id", "source", T.dhash(F.col("pixels")).alias("bits"))
+    """A 64-bit difference hash of 72 slices of each whole text, a slice's value the sum of its code points."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source", dedup.text_dhash(F.col("text")).alias("bits"))
 
 
 _HASHED = """
-WITH RECURSIVE sized AS MATERIALIZED (SELECT doc_id, length(text) // 72 AS step, string_split(substr(text, 1, 72 * (length(text) // 72)), '') AS chars FROM documents WHERE length(text) >= 72),
-letters AS (SELECT doc_id, step, unnest(chars) AS c, unnest(range(0, len(chars))) AS i FROM sized),
-px AS MATERIALIZED (SELECT doc_id, i // step AS k, sum(unicode(c)) AS v FROM letters GROUP BY 1, 2),
+WITH RECURSIVE sized AS MATERIALIZED (SELECT doc_id, length(text) AS n, string_split(text, '') AS chars FROM documents WHERE text IS NOT NULL),
+letters AS (SELECT doc_id, n, unnest(chars) AS c, unnest(range(0, len(chars))) AS i FROM sized WHERE n > 0),
+sums AS MATERIALIZED (SELECT doc_id, i * 72 // n AS k, sum(unicode(c)) AS v FROM letters GROUP BY 1, 2),
+px AS MATERIALIZED (SELECT s.doc_id, t.k, coalesce(v, 0) AS v FROM sized AS s CROSS JOIN range(0, 72) AS t(k) LEFT JOIN sums ON sums.doc_id = s.doc_id AND sums.k = t.k),
 bits AS (SELECT x.doc_id, x.k, CASE WHEN x.v > y.v THEN '1' ELSE '0' END AS bit FROM px AS x JOIN px AS y ON x.doc_id = y.doc_id AND y.k = x.k + 1 WHERE x.k % 9 < 8),
 words AS MATERIALIZED (SELECT doc_id, string_agg(bit, '' ORDER BY k)::BIT AS word FROM bits GROUP BY doc_id),
 edges AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM words AS a JOIN words AS b ON a.doc_id < b.doc_id AND bit_count(xor(a.word, b.word)) <= 4)
@@ -104,14 +101,32 @@ SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS size FROM grou
 
 def near_dup_cross_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups whose members stand under more than one source."""
-    hashed = _hashed(spark, sf_dir)
-    found = dedup.near_groups(hashed, "doc_id", "bits").join(hashed.select(F.col("doc_id").alias("member"), "source"), "member")
-    return found.groupBy(F.col("group").alias("group_id")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources")).where("sources > 1")
+    found = dedup.near_groups(_hashed(spark, sf_dir), "doc_id", "bits")
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("member"), "source")
+    return found.join(sources, "member").groupBy(F.col("group").alias("group_id")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources")).where("sources > 1")
 
 
 _CROSS_GROUP = _COMPONENTS.replace("SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS size FROM groups", "SELECT group_id, count(*) AS n, count(DISTINCT source) AS sources FROM groups JOIN documents USING (doc_id) GROUP BY group_id HAVING count(DISTINCT source) > 1")
 
 
+def near_dup_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents at most four bits apart, and those of two sources."""
+    return dedup.edge_counts(_hashed(spark, sf_dir), "doc_id", "bits", "source")
+
+
+_EDGE_COUNTS = _HASHED + """
+SELECT count(*) AS edges, count(*) FILTER (x.source IS DISTINCT FROM y.source) AS cross_edges FROM edges JOIN documents AS x ON x.doc_id = a JOIN documents AS y ON y.doc_id = b
+"""
+
+
+def exact_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of every group of equal texts."""
+    return dedup.members_of(table(spark, sf_dir, "documents"), "text", "doc_id").select("digest", "n", F.col("member").alias("doc_id"))
+
+
+_MEMBERS = "SELECT sha256(text) AS digest, count(*) OVER (PARTITION BY text) AS n, doc_id FROM documents QUALIFY n > 1"
+
+
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources with documents in both of two pseudo splits."""
     docs = table(spark, sf_dir, "documents").withColumn("split", F.when(F.col("doc_id") % 7 == 0, "test").when(F.col("doc_id") % 7 == 1, "validation").otherwise("train"))
@@ -245,6 +260,8 @@ QUERIES: dict[str, Entry] = {
     "near_dup_edges": (near_dup_edges, _EDGES),
     "near_dup_components": (near_dup_components, _COMPONENTS),
     "near_dup_cross_group": (near_dup_cross_group, _CROSS_GROUP),
+    "near_dup_edge_counts": (near_dup_edge_counts, _EDGE_COUNTS),
+    "exact_dup_members": (exact_dup_members, _MEMBERS),
     "split_leakage": (split_leakage, _LEAKAGE),
     "choose_split": (choose_split, _SPLIT),
     "admission_blockers": (admission_blockers, _BLOCKERS),
