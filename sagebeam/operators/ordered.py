@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,41 +27,52 @@ def admit_by_budget(rows: DataFrame, key: str, order: list[str], size: str, posi
 def rate_limited(events: DataFrame, key: str, seconds: str, tie: str, window: int = 600, most: int = 12) -> DataFrame:
     """``events`` with window_start, count and accepted: windows begin at the first event after the last one's end.
 
-    Refused events count too.  Sizes of windows are unknown beforehand, so each key's
-    events are folded in order, with a state of two numbers; a key's events must fit
-    a task, as the limit itself presumes.
+    Refused events count too.  Where a window begins depends on all windows before
+    it, so a key's events are gone through in order, by one task that keeps two
+    numbers and streams the rest: no key has to fit in memory.
     """
-    listed = F.array_sort(F.collect_list(F.struct(F.col(seconds).cast("double").alias("t"), F.col(tie).alias("tie"))))
-    grouped = events.groupBy(key).agg(listed.alias("list"))
-    start = F.struct(F.lit(float("-inf")).alias("start"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<tie:bigint,start:double,n:int>>)").alias("out"))
+    kind = events.schema[key].dataType.simpleString()
 
-    def step(s: Column, e: Column) -> Column:
-        fresh = e["t"] - s["start"] >= window
-        begin, n = F.when(fresh, e["t"]).otherwise(s["start"]), F.when(fresh, 1).otherwise(s["n"] + 1)
-        return F.struct(begin.alias("start"), n.alias("n"), F.concat(s["out"], F.array(F.struct(e["tie"].cast("long").alias("tie"), begin.alias("start"), n.alias("n")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, start, n = object(), 0.0, 0
+        for batch in batches:
+            starts, counts = [], []
+            for k, t in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if k != at or t - start >= window:
+                    at, start, n = k, t, 0
+                n += 1
+                starts.append(start)
+                counts.append(n)
+            yield pa.record_batch([batch.column("k"), batch.column("tie"), pa.array(starts, pa.float64()), pa.array(counts, pa.int64())], names=["k", "tie", "start", "n"])
 
-    folded = grouped.select(key, F.explode(F.aggregate("list", start, step)["out"]).alias("x"))
-    return folded.select(key, F.col("x.tie").alias(tie), F.col("x.start").alias("window_start"), F.col("x.n").alias("count"), (F.col("x.n") <= most).alias("accepted"))
+    dealt = events.select(F.col(key).alias("k"), F.col(seconds).cast("double").alias("t"), F.col(tie).cast("long").alias("tie")).repartition("k").sortWithinPartitions("k", "t", "tie")
+    folded = dealt.mapInArrow(run, f"k {kind}, tie long, start double, n long")
+    return folded.select(F.col("k").alias(key), F.col("tie").alias(tie), F.col("start").alias("window_start"), F.col("n").alias("count"), (F.col("n") <= most).alias("accepted"))
 
 
 def pack(items: DataFrame, group: list[str], name: str, size: str, bins: int) -> DataFrame:
     """``items`` with the bin (from 0) of greedy packing: largest first, then by name, into the least loaded bin, the first of equals.
 
-    Sequential by nature: a group's items are folded in one task, with a state of one
-    number per bin.
+    Sequential by nature: a group's items stream in order through one task that keeps
+    a number per bin.
     """
-    listed = F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("by"), F.lower(F.col(name)).alias("low"), F.col(name).alias("name"))))
-    loads = F.array(*[F.lit(0).cast("long")] * bins)
-    begin = F.struct(loads.alias("loads"), F.expr("cast(array() as array<struct<name:string,bin:int>>)").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        at = F.array_position(s["loads"], F.array_min(s["loads"])).cast("int") - 1
-        more = F.transform(s["loads"], lambda v, i: F.when(i == at, v - x["by"].cast("long")).otherwise(v))
-        return F.struct(more.alias("loads"), F.concat(s["out"], F.array(F.struct(x["name"].alias("name"), at.alias("bin")))).alias("out"))
-
-    grouped = items.groupBy(*group).agg(listed.alias("list")) if group else items.agg(listed.alias("list"))
-    packed = grouped.select(*group, F.explode(F.aggregate("list", begin, step)["out"]).alias("x")).select(*group, F.col("x.name").alias(name), F.col("x.bin").alias("bin"))
-    return items.join(packed, [*group, name])
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, loads = object(), []
+        for batch in batches:
+            out, keys = [], list(zip(*(batch.column(g).to_pylist() for g in group), strict=True)) if group else [()] * batch.num_rows
+            for k, n in zip(keys, batch.column(size).to_pylist(), strict=True):
+                if k != at:
+                    at, loads = k, [(0, i) for i in range(bins)]
+                load, i = heapq.heappop(loads)
+                out.append(i)
+                heapq.heappush(loads, (load + n, i))
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "bin"])
+
+    dealt = items.repartition(*group) if group else items.repartition(1)
+    ordered = dealt.sortWithinPartitions(*group, F.desc(size), F.lower(name), name)
+    return ordered.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", bin int")
 
 
 def current(rows: DataFrame, key: str, supersedes: str) -> DataFrame:

@@ -184,14 +184,14 @@ SELECT blocker, count(*) AS n FROM b GROUP BY blocker UNION ALL SELECT 'none', c
 
 def class_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each language has enough independent sources without blockers."""
-    rows = _admission(spark, sf_dir).withColumn("candidate", (F.size("blockers") == 0) & (F.col("doc_id") % 60 == 1))
+    rows = _admission(spark, sf_dir).withColumn("candidate", F.size("blockers") == 0)
     out = routing.review_classes(rows, "lang", "source", "candidate")
     return out.select("lang", "panels", "groups", "eligible_groups", "status", F.array_join("blockers", "|").alias("blockers"))
 
 
 _CLASSES = _ADMISSION + """,
 g AS (SELECT lang, count(*) AS panels, count(DISTINCT source) AS groups,
-  count(DISTINCT source) FILTER (doc_id % 60 = 1 AND doc_id NOT IN (SELECT doc_id FROM b)) AS eligible_groups FROM d GROUP BY lang)
+  count(DISTINCT source) FILTER (doc_id NOT IN (SELECT doc_id FROM b)) AS eligible_groups FROM d GROUP BY lang)
 SELECT lang, panels, groups, eligible_groups, CASE WHEN eligible_groups >= 3 THEN 'independence_review_possible' ELSE 'collection_required' END AS status,
   concat_ws('|', CASE WHEN eligible_groups < 1 THEN 'no_panel_review_candidates' END,
     CASE WHEN eligible_groups < 2 THEN 'fewer_than_two_independent_eligible_source_groups' END,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,39 +80,46 @@ FROM c ORDER BY score DESC, c_name LIMIT 30
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders against what their lines add up to: how many are missing, unexpected, changed or the same."""
-    expected = table(spark, sf_dir, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 4 + 1).cast("long").alias("n"), F.col("o_orderstatus").alias("status"))
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 13 <> 0").groupBy(F.col("l_orderkey").alias("key")).agg(F.count("*").alias("n"), F.max("l_linestatus").alias("status"))
-    found = merging.full_diff(expected, lines, "key", ["n", "status"])
+    """Orders against what their lines add up to: how many are missing, unexpected, changed or the same, and in what."""
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.floor(F.col("o_totalprice") / 100_000).alias("band"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.max("l_linestatus").alias("status"), F.floor(F.sum("l_extendedprice") / 100_000).alias("band"))
+    found = merging.full_diff(expected, lines, "key", ["status", "band"])
     return found.groupBy("state", F.coalesce(F.array_join("changed", "|"), F.lit("")).alias("changed")).agg(F.count("*").alias("rows"))
 
 
 _DIFF = """
-WITH e AS (SELECT o_orderkey AS key, CAST(o_orderkey % 4 + 1 AS BIGINT) AS n, o_orderstatus AS status FROM orders WHERE o_orderkey % 11 <> 0),
-a AS (SELECT l_orderkey AS key, count(*) AS n, max(l_linestatus) AS status FROM lineitem WHERE l_orderkey % 13 <> 0 GROUP BY 1),
-j AS (SELECT e.key AS ek, a.key AS ak, concat_ws('|', CASE WHEN e.n IS DISTINCT FROM a.n THEN 'n' END, CASE WHEN e.status IS DISTINCT FROM a.status THEN 'status' END) AS c FROM e FULL JOIN a ON e.key = a.key),
+WITH e AS (SELECT o_orderkey AS key, o_orderstatus AS status, floor(o_totalprice / 100000) AS band FROM orders),
+a AS (SELECT l_orderkey AS key, max(l_linestatus) AS status, floor(sum(l_extendedprice) / 100000) AS band FROM lineitem GROUP BY 1),
+j AS (SELECT e.key AS ek, a.key AS ak, concat_ws('|', CASE WHEN e.status IS DISTINCT FROM a.status THEN 'status' END, CASE WHEN e.band IS DISTINCT FROM a.band THEN 'band' END) AS c FROM e FULL JOIN a ON e.key = a.key),
 s AS (SELECT CASE WHEN ak IS NULL THEN 'missing' WHEN ek IS NULL THEN 'unexpected' WHEN c <> '' THEN 'changed' ELSE 'same' END AS state, CASE WHEN ak IS NULL OR ek IS NULL THEN '' ELSE c END AS changed FROM j)
 SELECT state, changed, count(*) AS rows FROM s GROUP BY state, changed
 """
 
 
 def referential_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References without a parent, by dataset and rule; some parents are held back so that there are some."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    found = V.orphans(lines, "lineitem", "line", "l_orderkey", table(spark, sf_dir, "orders").where("o_orderkey % 97 <> 0"), "o_orderkey")
-    found = found.unionByName(V.orphans(lines, "lineitem", "line", "l_partkey", table(spark, sf_dir, "part"), "p_partkey"))
-    found = found.unionByName(V.orphans(lines, "lineitem", "line", "l_suppkey", table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0"), "s_suppkey"))
-    found = found.unionByName(V.orphans(table(spark, sf_dir, "labels"), "labels", "doc_id", "doc_id", table(spark, sf_dir, "documents"), "doc_id"))
-    return found.groupBy("dataset", "rule").agg(F.count("*").alias("n"), F.min("row_key").alias("first"))
+    """References without a parent, by dataset and rule: lines, labels and nations, which have theirs, and customers without orders, parts and suppliers without lines, documents without labels."""
+    of = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "part", "supplier", "labels", "documents", "nation", "region", "customer")}
+    of["lineitem"] = of["lineitem"].withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    found = [
+        V.orphans(of[rows], rows, key, field, of[parents], parent)
+        for rows, key, field, parents, parent in (
+            ("lineitem", "line", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "line", "l_partkey", "part", "p_partkey"), ("lineitem", "line", "l_suppkey", "supplier", "s_suppkey"),
+            ("labels", "doc_id", "doc_id", "documents", "doc_id"), ("nation", "n_nationkey", "n_regionkey", "region", "r_regionkey"), ("customer", "c_custkey", "c_custkey", "orders", "o_custkey"),
+            ("part", "p_partkey", "p_partkey", "lineitem", "l_partkey"), ("supplier", "s_suppkey", "s_suppkey", "lineitem", "l_suppkey"), ("documents", "doc_id", "doc_id", "labels", "doc_id"))]
+    return reduce(DataFrame.unionByName, found).groupBy("dataset", "rule").agg(F.count("*").alias("n"), F.min("row_key").alias("first"))
 
 
 _ORPHANS = """
-WITH l AS (SELECT *, l_orderkey || '-' || l_linenumber AS k FROM lineitem),
-v AS (
-  SELECT 'lineitem' AS dataset, 'l_orderkey has no parent' AS rule, k FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 <> 0)
-  UNION ALL SELECT 'lineitem', 'l_partkey has no parent', k FROM l WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
-  UNION ALL SELECT 'lineitem', 'l_suppkey has no parent', k FROM l WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 <> 0)
-  UNION ALL SELECT 'labels', 'doc_id has no parent', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
+WITH v AS (
+  SELECT 'lineitem' AS dataset, 'l_orderkey has no parent' AS rule, l_orderkey || '-' || l_linenumber AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT 'lineitem', 'l_partkey has no parent', l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+  UNION ALL SELECT 'lineitem', 'l_suppkey has no parent', l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+  UNION ALL SELECT 'labels', 'doc_id has no parent', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+  UNION ALL SELECT 'nation', 'n_regionkey has no parent', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)
+  UNION ALL SELECT 'customer', 'c_custkey has no parent', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+  UNION ALL SELECT 'part', 'p_partkey has no parent', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)
+  UNION ALL SELECT 'supplier', 's_suppkey has no parent', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)
+  UNION ALL SELECT 'documents', 'doc_id has no parent', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
 SELECT dataset, rule, count(*) AS n, min(k) AS first FROM v GROUP BY dataset, rule
 """
 
