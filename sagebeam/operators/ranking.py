@@ -1,13 +1,20 @@
 """Rarity-weighted evidence ranking of catalogue records, for many cases in one job.
 
 Signs are exploded once; cases meet only the records that share a sign, a stage
-or a view bonus with them, so the work follows the matches and not cases times
-records.  Frequencies are counted over the catalogue; the top of each case comes
+or a view bonus with them.  Where common signs would make that nearly all pairs and
+only the best are asked for, ``top_support`` scores blocks of cases instead, without
+a row for a pair.  Frequencies are counted over the catalogue; the top of each case comes
 from a ranking window whose partitions are cases.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +37,8 @@ ASK_POLICY, ASK_NON_VISUAL = "response policy limits photo-only confidence", "no
 ASK_SEPARATE = "additional discriminating evidence between the leading look-alikes"
 
 TOP = 4
+#: Cases of a block, about, and the different signs and cells of its weights at most; a block's weights are broadcast, 64 MB at most.
+CASES, SIGNS, CELLS = 1024, 1 << 17, 1 << 24
 
 
 def frequencies(indicators: DataFrame) -> DataFrame:
@@ -58,6 +67,68 @@ def support(indicators: DataFrame, symptoms: DataFrame) -> DataFrame:
     return weighed.join(symptoms.select("case_id", "key").distinct(), "key").groupBy("case_id", "record_id").agg(F.sum("w").alias("supporting"), F.count("*").alias("n_matched"))
 
 
+def top_support(listed: DataFrame, symptoms: DataFrame, k: int = TOP) -> DataFrame:
+    """(case_id long, record_id long, score, n_matched): the best k records of each case by ``support``, and more, ties by record_id.
+
+    ``listed`` has (record_id, keys: array of signs), ``symptoms`` (case_id, key).
+    Cases come in blocks whose weights are broadcast after a check of their size;
+    each record meets a block once, as a row of a matrix product, and a batch of
+    records keeps k of each case, so pairs of cases and records are never rows.
+    Larger sets of cases make more blocks, each a pass over the records.
+    """
+    symptoms = symptoms.select("case_id", "key").distinct()
+    found = symptoms.agg(F.countDistinct("case_id").alias("cases"), F.count("*").alias("signs")).first()
+    blocks = max(1, -(-found["cases"] // CASES), -(-found["signs"] // SIGNS))
+    wanted = symptoms.select("key").distinct()
+    known = frequencies(listed.select("record_id", F.explode(F.array_distinct("keys")).alias("key")).join(F.broadcast(wanted) if found["signs"] <= SIGNS else wanted, "key", "left_semi"))
+    parts = []
+    for b in range(blocks):
+        own = symptoms.where(F.pmod(F.xxhash64("case_id"), F.lit(blocks)) == b).join(known.select("key", weight(F.col("frequency")).alias("w")), "key").toArrow()
+        if own.num_rows:
+            parts += [listed.select("record_id", "keys").mapInArrow(_scorer(listed.sparkSession, *x, k), _SUPPORT) for x in _weights(own)]
+    return reduce(DataFrame.unionByName, parts) if parts else listed.sparkSession.createDataFrame([], _SUPPORT)
+
+
+_SUPPORT = "case_id long, record_id long, score double, n_matched long"
+
+
+def _weights(own: pa.Table) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """Cases, signs, and the weights of signs by cases, in parts of at most CELLS cells."""
+    cases, signs = pc.unique(own.column("case_id")), pc.unique(own.column("key"))
+    row, column = (pc.index_in(own.column(c), v).to_numpy() for c, v in (("key", signs), ("case_id", cases)))
+    w, most = own.column("w").to_numpy(), max(1, CELLS // len(signs))
+    for a in range(0, len(cases), most):
+        at = (column >= a) & (column < a + most)
+        out = np.zeros((len(signs), min(most, len(cases) - a)), dtype=np.float32)
+        out[row[at], column[at] - a] = w[at]
+        yield cases.to_numpy()[a : a + most], signs, out
+
+
+def _scorer(spark, cases: np.ndarray, signs: pa.Array, weights: np.ndarray, k: int):
+    shared = spark.sparkContext.broadcast((cases, signs, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cases, signs, weights = shared.value
+        rows = max(1, CELLS // len(signs))
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows):
+                part = batch.slice(a, rows)
+                keys, ids = part.column("keys"), part.column("record_id").to_numpy()
+                at, of = pc.index_in(keys.flatten(), signs), pc.list_parent_indices(keys)
+                has = at.is_valid()
+                held = np.zeros((part.num_rows, len(signs)), dtype=np.float32)
+                np.add.at(held, (of.filter(has).to_numpy(), at.filter(has).to_numpy()), 1)  # a sign listed twice counts twice
+                # Sums of multiples of a half are exact.
+                score, n = held @ weights, held @ (weights > 0).astype(np.float32)
+                order = np.lexsort((np.broadcast_to(ids[:, None], score.shape), -score), axis=0)[:k]
+                best = np.take_along_axis(score, order, axis=0)
+                i, j = np.nonzero(best > 0)
+                r = order[i, j]
+                yield pa.record_batch([pa.array(cases[j], pa.int64()), pa.array(ids[r], pa.int64()), pa.array(score[r, j].astype(np.float64)), pa.array(n[r, j].astype(np.int64))], names=["case_id", "record_id", "score", "n_matched"])
+
+    return run
+
+
 def contradiction(exclusions: DataFrame, indicators: DataFrame, symptoms: DataFrame) -> DataFrame:
     """(case_id, record_id, contradicting, n_contradicted); signs that no record lists as an indicator have frequency 1."""
     wanted = symptoms.select("key").distinct()

@@ -18,9 +18,11 @@ def _signs(spark: SparkSession, sf_dir: str, name: str, key: str, alias: str) ->
     return table(spark, sf_dir, name).select(F.col(key).alias(alias), F.explode(words).alias("key"))
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indicators, symptoms = _signs(spark, sf_dir, "documents", "doc_id", "record_id"), _signs(spark, sf_dir, "benchmark", "item_id", "case_id")
-    return ranking.support(indicators, symptoms).withColumnRenamed("supporting", "score")
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best documents of each benchmark item by the words that they share."""
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), _TOKEN)), lambda w: w != "")
+    listed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), words.alias("keys")).where("keys is not null")
+    return ranking.top_per_case(ranking.top_support(listed, _signs(spark, sf_dir, "benchmark", "item_id", "case_id")), "record_id")
 
 
 _SCORES = """
@@ -36,8 +38,7 @@ top AS (SELECT *, lead(score) OVER (PARTITION BY case_id ORDER BY rank) AS next_
 
 def rarity_rank_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items are cases, documents records, distinct tokens signs."""
-    best = ranking.top_per_case(_scores(spark, sf_dir), "record_id")
-    return best.select("case_id", F.col("rank").cast("long").alias("rank"), "record_id", "score", "n_matched", (F.col("score") - F.col("next_score")).alias("margin"))
+    return _best(spark, sf_dir).select("case_id", F.col("rank").cast("long").alias("rank"), "record_id", "score", "n_matched", (F.col("score") - F.col("next_score")).alias("margin"))
 
 
 _RANK = _SCORES + "SELECT case_id, CAST(rank AS BIGINT) AS rank, record_id, score, n_matched, score - next_score AS margin FROM top"
@@ -45,7 +46,7 @@ _RANK = _SCORES + "SELECT case_id, CAST(rank AS BIGINT) AS rank, record_id, scor
 
 def rank_confidence_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ranking with evidence gates and ceilings: languages stand for categories, sources for policies."""
-    best = ranking.top_per_case(_scores(spark, sf_dir), "record_id")
+    best = _best(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "lang", "source")
     category = F.when(F.col("lang") == "en", "Insect").when(F.col("lang") == "fr", "Mite").when(F.col("lang") == "de", "Nutrient deficiency").otherwise("Virus")
     case = F.col("case_id")
