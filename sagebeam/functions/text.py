@@ -121,6 +121,16 @@ def unfenced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*|\s*```$", ""))
 
 
+def only_in(values: Column, allowed: Column) -> Column:
+    """The entries that are allowed, in order, as often as they are there."""
+    return F.filter(values, lambda v: F.array_contains(allowed, v))
+
+
+def not_in(values: Column, chosen: Column) -> Column:
+    """The entries that are not chosen yet, in order, as often as they are there."""
+    return F.filter(values, lambda v: ~F.array_contains(chosen, v))
+
+
 def observation(text: Column, allowed: Column) -> Column:
     """A visual observation from JSON: confidence low, moderate or high (else low), a summary (else empty),
     and matched entries that are allowed, in order and once each."""

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from sagebeam.functions import text as T
 
@@ -26,7 +27,7 @@ def _checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sagebeam-checkpoint-"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def text_dhash(texts: pd.Series) -> pd.Series:
     """A 64-bit difference hash of a text of any length, as ``functions.text.dhash`` of its slices' sums of code points; null for null.
 

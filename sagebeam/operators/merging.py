@@ -75,6 +75,13 @@ def full_diff(expected: DataFrame, actual: DataFrame, key: str, fields: list[str
     return a.join(b, key, "full").select(key, state.alias("state"), F.when(F.col("in_a") & F.col("in_b"), changed).alias("changed"))
 
 
+def deep_diff(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """(key, state) by whole records, nested fields and the order of lists among them: missing, unexpected, changed or same."""
+    whole = lambda f, side: f.select(key, F.to_json(F.struct(*[c for c in f.columns if c != key]), {"ignoreNullFields": "false"}).alias(side))
+    joined = whole(expected, "a").join(whole(actual, "b"), key, "full")
+    return joined.select(key, F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "unexpected").when(F.col("a") == F.col("b"), "same").otherwise("changed").alias("state"))
+
+
 def shared_by_key(own: DataFrame, shared: DataFrame, group: str, key: Column, order: str) -> DataFrame:
     """Rows of ``own`` and then of ``shared``, one per group and key: the group's own row before a shared one."""
     both = own.withColumn("_shared", F.lit(False)).unionByName(shared.withColumn("_shared", F.lit(True)), allowMissingColumns=True).withColumn("_key", key)

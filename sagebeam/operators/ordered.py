@@ -85,3 +85,13 @@ def keep_slots(media: DataFrame, case: str, slot: str, order: str, several: dict
     newest = F.row_number().over(Window.partitionBy(case, slot).orderBy(F.desc(order)))
     most = F.coalesce(*[F.when(F.col(slot) == s, F.lit(n)) for s, n in several.items()], F.lit(1))
     return media.withColumn("_newest", newest).where(F.col("_newest") <= most).drop("_newest")
+
+
+def by_priority(rows: DataFrame, priority: str, name: str, tie: str) -> DataFrame:
+    """``rows`` by priority and then name, a missing name as an empty one."""
+    return rows.orderBy(priority, F.coalesce(F.col(name), F.lit("")), tie)
+
+
+def sign_vocabulary(rows: DataFrame, signs: str) -> DataFrame:
+    """(sign): the distinct entries of a column of arrays, in the order of their code points."""
+    return rows.select(F.explode(signs).alias("sign")).distinct().orderBy("sign")

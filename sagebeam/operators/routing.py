@@ -45,8 +45,8 @@ def lane_counts(routed: DataFrame, lanes: DataFrame) -> DataFrame:
 
 
 def assert_kept_home(routed: DataFrame, text: str, hosts: tuple[str, ...] = HOST_TERMS) -> DataFrame:
-    """``routed``, stopping at a record of the own host that is in the transfer lane without a cross-crop host."""
-    wrong = (F.col("lane") == TRANSFER) & T.contains_any(F.col(text), hosts) & ~F.coalesce(F.lower("host_context").contains("cross-crop"), F.lit(False))
+    """``routed``, stopping at a record that names the own host and is in the transfer lane all the same, as one with a cross-crop host would be."""
+    wrong = (F.col("lane") == TRANSFER) & T.contains_any(F.col(text), hosts)
     return routed.where(F.when(wrong, F.raise_error(F.lit("a record of the own host is routed to transfer")).cast("boolean")).isNull())
 
 
@@ -58,6 +58,7 @@ def blockers(rules: list[tuple[Column, str]]) -> Column:
 def panel_blockers(hosts: tuple[str, ...] = HOST_TERMS) -> Column:
     """Blockers of a panel joined with its parent (columns parent_*)."""
     full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    # The names of the blockers.
     host = T.lineage(*[F.col(c) for c in ("host", "parent_host_species", "parent_host_context", "parent_caption", "parent_source_article")])
     confirmed = T.lineage(F.col("confirmation"), F.col("parent_confirmation"))
     return blockers([
@@ -94,6 +95,7 @@ def review_classes(panels: DataFrame, label: str, group: str, eligible: str) ->
 
 def panel_status(panelled: Column, own_host: Column, organism_only: Column, high_value: Column) -> tuple[Column, Column]:
     """What a figure needs next, and its priority P0 to P2."""
+    # The names of the states.
     status = (
         F.when(panelled, "panelized").when(own_host & ~organism_only & high_value, "panelization_review_required")
         .when(own_host, "reference_review_required").otherwise("not_cannabis_panel_priority"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,20 +141,72 @@ def transfer_rules() -> list[Rule]:
         *[holds_all(F.array_join(of(d, f), " "), f"{d} {f} incomplete", *t) for (d, f), t in terms.items()]]
 
 
-_HOSTS = ("academic.oup.com", "oup.silverchair-cdn.com", "www.frontiersin.org", "frontiersin.org", "pmc.ncbi.nlm.nih.gov", "www.ncbi.nlm.nih.gov", "cdn.ncbi.nlm.nih.gov", "www.mdpi.com", "mdpi-res.com",
+HOSTS = ("academic.oup.com", "oup.silverchair-cdn.com", "www.frontiersin.org", "frontiersin.org", "pmc.ncbi.nlm.nih.gov", "www.ncbi.nlm.nih.gov", "cdn.ncbi.nlm.nih.gov", "www.mdpi.com", "mdpi-res.com",
           "media.springernature.com", "bugwoodcloud.org", "content.ces.ncsu.edu", "commons.wikimedia.org", "www.preprints.org")
-_LICENSES = ("CC BY 4.0", "CC BY 3.0", "CC BY 3.0 US", "CC BY", "Public domain (US federal government work)")
+LICENSES = ("CC BY 4.0", "CC BY 3.0", "CC BY 3.0 US", "CC BY", "Public domain (US federal government work)")
 
 
 def persistence_rules() -> list[Rule]:
     """Of media to be kept, with what was fetched: content_type and byte_size."""
     fields = ("id", "issue_slug", "image_url", "source_article", "caption", "creator", "license", "intended_use")
     return [
-        *[Rule(f"{f} is required", F.coalesce(F.col(f).cast("string"), F.lit("")) != "") for f in fields], one_of("intended_use", "reference-only"), one_of("license", *_LICENSES),
-        Rule("image_url is not on an allowed host", (F.lower(F.try_parse_url("image_url", F.lit("PROTOCOL"))) == "https") & F.lower(F.try_parse_url("image_url", F.lit("HOST"))).isin(*_HOSTS)),
+        *[Rule(f"{f} is required", F.coalesce(F.col(f).cast("string"), F.lit("")) != "") for f in fields], one_of("intended_use", "reference-only"), one_of("license", *LICENSES),
+        Rule("image_url is not on an allowed host", (F.lower(F.try_parse_url("image_url", F.lit("PROTOCOL"))) == "https") & F.lower(F.try_parse_url("image_url", F.lit("HOST"))).isin(*HOSTS)),
         Rule("content_type is no image", F.col("content_type").startswith("image/")), Rule("byte_size is not from 1 to 20000000", F.col("byte_size").between(1, 20_000_000))]
 
 
+PROFILE_FIELDS = ("id", "slug", "name", "category", "severity", "reviewStatus", "summary")
+PROFILE_LISTS = ("affectedParts", "stages", "indicators", "exclusions", "progression", "lookAlikes", "confirmation", "immediateActions", "correctivePlan", "prevention", "warnings", "sources", "media")
+LEAST_PROFILES = 61
+
+
+def export_rules(fields: tuple[str, ...] = PROFILE_FIELDS, lists: tuple[str, ...] = PROFILE_LISTS) -> list[Rule]:
+    """Of profiles that are to be exported: every field and list is there, and at least one source; empty texts pass here, not in a release."""
+    return [*[Rule(f"{f} is missing", F.col(f).isNotNull()) for f in (*fields, *lists)], at_least("sources", 1)]
+
+
+def release_rules(fields: tuple[str, ...] = PROFILE_FIELDS, lists: tuple[str, ...] = PROFILE_LISTS) -> list[Rule]:
+    """Of released profiles: as ``export_rules``, and no field is empty."""
+    return [*[Rule(f"{f} is missing", F.coalesce(F.col(f).cast("string"), F.lit("")) != "") for f in fields], *[Rule(f"{f} is missing", F.col(f).isNotNull()) for f in lists]]
+
+
+def refuse_partial(rows: DataFrame, least: int = LEAST_PROFILES) -> DataFrame:
+    """``rows``, stopping where there are fewer than ``least``; a single count joins every row."""
+    counted = rows.agg(F.count("*").alias("_rows"))
+    few = F.when(F.col("_rows") < least, F.raise_error(F.concat(F.lit(f"at least {least} rows are expected, there are "), F.col("_rows").cast("string"))).cast("boolean"))
+    checked = counted.where(few.isNull()).drop("_rows").withColumn("_sound", F.lit(True))
+    return checked.crossJoin(rows).drop("_sound")  # a row beside the rows
+
+
+#: Metrics of a release, each by the manifests that repeat it.
+RELEASE_METRICS = {
+    "profiles": ("manifest.diagnosticProfileCount", "manifest.standaloneDetailedProfileCount", "modelReadiness.knowledgeLayer.diagnosticProfiles", "modelReadiness.knowledgeLayer.materializedProfiles", "splitManifest.knowledgeLayerSnapshot.diagnosticProfiles"),
+    "sources": ("manifest.evidenceSourceCount", "modelReadiness.knowledgeLayer.evidenceSources", "splitManifest.knowledgeLayerSnapshot.evidenceSources"),
+    "profileMedia": ("manifest.profileReferenceMediaCount", "modelReadiness.knowledgeLayer.profileLinkedReferenceMedia", "splitManifest.knowledgeLayerSnapshot.profileLinkedReferenceMedia"),
+    "trainingEligible": ("manifest.trainingEligibleMediaCount", "modelReadiness.visionLayer.trainingEligibleSamples", "splitManifest.counts.totalTrainingEligible"),
+    "originals": ("manifest.localReferenceImageBinaryCount", "modelReadiness.visionLayer.referenceOriginals", "splitManifest.knowledgeLayerSnapshot.referenceOriginals"),
+    "crops": ("manifest.referencePanelCropCount", "modelReadiness.visionLayer.referenceCrops", "splitManifest.knowledgeLayerSnapshot.referenceCrops"),
+    "totalReferenceImages": ("manifest.totalPersistedReferenceImageFiles", "modelReadiness.visionLayer.totalReferenceImages"),
+}
+
+
+def release_counts(actual: DataFrame, told: DataFrame) -> DataFrame:
+    """(label, actual, told, agrees) for every place that repeats a metric: ``actual`` (metric, value), originals and crops adding up to all images, against ``told`` (label, value)."""
+    pictures = actual.where(F.col("metric").isin("originals", "crops")).agg(F.sum("value").alias("value")).select(F.lit("totalReferenceImages").alias("metric"), "value")
+    labels = actual.sparkSession.createDataFrame([(m, x) for m, xs in RELEASE_METRICS.items() for x in xs], "metric string, label string")
+    both = labels.join(actual.select("metric", F.col("value").alias("actual")).unionByName(pictures.withColumnRenamed("value", "actual")), "metric", "left").join(told.select("label", F.col("value").alias("told")), "label", "left")
+    return both.select("label", "actual", "told", F.coalesce(F.col("actual") == F.col("told"), F.lit(False)).alias("agrees"))
+
+
+def split_gate(eligible: Column, ready: Column, model_ready: Column, *parts: Column) -> Column:
+    """What is wrong with splits while nothing is eligible: they must be empty and not ready, and the model not ready either."""
+    total = sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
+    none = eligible == 0
+    return F.array_compact(F.array(
+        F.when(none & ~model_ready.eqNullSafe(F.lit(False)), F.lit("model readiness must remain false")),
+        F.when(none & (~ready.eqNullSafe(F.lit(False)) | (total != 0)), F.lit("splits must remain empty and blocked"))))
+
+
 def media_rules() -> list[Rule]:
     """Hash forms, and what eligibility for training and the locked split imply."""
     return [pattern("sha256", "^[a-f0-9]{64}$"), pattern("perceptualHash", "^dhash64:[a-f0-9]{16}$"),
@@ -161,6 +214,70 @@ def media_rules() -> list[Rule]:
             implies("locked evaluation is not for training", F.col("datasetSplit") == "locked-evaluation", ~F.col("trainingEligible"))]
 
 
+_PERMISSIONS = ("permitted", "not-permitted", "unknown")
+
+
+def provenance_rules() -> list[Rule]:
+    """Of a record's media (with the record's ``slug``): provenance, license, permissions, hashes of approved ones, and what hosts and permissions rule out."""
+    approved, eligible = F.col("reviewStatus").isin("approved-reference", "approved-training"), F.coalesce(F.col("trainingEligible"), F.lit(False))
+    return [
+        pattern("sourceUrl", "^https://"), Rule("asset URL has the wrong form", F.regexp_like(F.coalesce("url", "thumbnailUrl"), F.lit("^https://"))), *required("creator", "license", "requiredAttribution", "hostSpecies"),
+        Rule("diagnosticLabel does not name the record", F.contains("diagnosticLabel", F.col("slug"))), one_of("hostContext", "cannabis", "non-cannabis", "organism-only"), at_least("useLimitations", 1),
+        one_of("displayPermission", *_PERMISSIONS), one_of("trainingPermission", *_PERMISSIONS),
+        implies("approved without a hash", approved, F.regexp_like("sha256", F.lit("^[a-f0-9]{64}$")) & F.regexp_like("perceptualHash", F.lit("^dhash64:[a-f0-9]{16}$"))), implies("approved without a size", approved, (F.col("width") > 0) & (F.col("height") > 0)),
+        implies("eligible without permission", eligible, F.col("trainingPermission") == "permitted"), implies("eligible without approval", eligible, F.col("reviewStatus") == "approved-training"),
+        implies("eligible but not displayable", F.col("displayPermission") != "permitted", ~eligible), implies("another host is illustrative", F.col("hostContext") == "non-cannabis", (F.col("confirmation") == "illustrative") & ~eligible)]
+
+
+def source_rules_of_records() -> list[Rule]:
+    """Of records with arrays of sources: a reviewed one has some, each with an https URL, an ISO date and at least one claim."""
+    reviewed = F.col("reviewStatus") == "reviewed"
+    each = lambda f: F.forall("sources", f)
+    return [
+        implies("reviewed without a source", reviewed, F.size("sources") > 0), implies("source without an https URL", reviewed, each(lambda s: F.coalesce(F.regexp_like(s["url"], F.lit("^https://")), F.lit(False)))),
+        implies("source without a date", reviewed, each(lambda s: F.coalesce(F.regexp_like(s["accessedDate"], F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.lit(False)))), implies("source without a claim", reviewed, each(lambda s: F.coalesce(F.size(s["supportedClaims"]) > 0, F.lit(False))))]
+
+
+# What a case store checks: values of columns, and references between its tables (a null reference is no violation).
+STORE_VALUES = {"case_media": {"media_type": ("image", "video")}, "case_messages": {"role": ("user", "reviewer", "system")}, "intervention_outcomes": {"outcome": ("better", "same", "worse", "unknown")}}
+STORE_KEYS = (("case_media", "case_id", "diagnostic_cases", "case_id"), ("case_media", "parent_media_id", "case_media", "media_id"), ("inference_analyses", "case_id", "diagnostic_cases", "case_id"),
+              ("inference_analyses", "supersedes_analysis_id", "inference_analyses", "analysis_id"), ("expert_reviews", "case_id", "diagnostic_cases", "case_id"), ("expert_reviews", "analysis_id", "inference_analyses", "analysis_id"),
+              ("case_messages", "case_id", "diagnostic_cases", "case_id"), ("intervention_outcomes", "case_id", "diagnostic_cases", "case_id"), ("intervention_outcomes", "analysis_id", "inference_analyses", "analysis_id"))
+
+
+def store_violations(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """(dataset, row_key, rule) of the tables of a case store that are given, each with its key."""
+    found = [violations(rows, name, keys[name], [Rule(f"{f} is not allowed", F.col(f).isNull() | F.col(f).isin(*values)) for f, values in STORE_VALUES.get(name, {}).items()]) for name, rows in tables.items() if name in STORE_VALUES]
+    found += [orphans(tables[rows], rows, keys[rows], field, tables[parents], parent) for rows, field, parents, parent in STORE_KEYS if rows in tables and parents in tables and field in tables[rows].columns]
+    return reduce(DataFrame.unionByName, found)
+
+
+# Content gates: what the text, lists and numbers of a record must be like.
+def says(text: Column, name: str, *terms: str) -> Rule:
+    return holds_all(text, name, *terms)
+
+
+def matches(text: Column, name: str, regex: str) -> Rule:
+    return Rule(name, F.regexp_like(F.lower(text), F.lit(regex)))
+
+
+def lists_all(field: str, name: str, *entries: str) -> Rule:
+    return Rule(name, F.size(F.array_except(F.array(*map(F.lit, entries)), field)) == 0)
+
+
+def counts(field: str, name: str, n: int, exactly: bool = False) -> Rule:
+    return Rule(name, F.size(field) == n if exactly else F.size(field) >= n)
+
+
+def at_most(field: str, name: str, most: float) -> Rule:
+    """No number above ``most``; a record without one passes."""
+    return Rule(name, F.col(field).isNull() | (F.col(field) <= most))
+
+
+def none_flagged(entries: str, name: str, flag: str) -> Rule:
+    return Rule(name, F.forall(entries, lambda m: ~F.coalesce(m[flag], F.lit(False))))
+
+
 def drift(new_sha: Column, old_sha: Column, new_hash: Column, old_hash: Column, same_size: Column) -> Column:
     """Whether a file fetched again is the one recorded: new, stable, re-encoded or drifted."""
     return F.when(old_sha.isNull(), "new").when(new_sha == old_sha, "stable").when(F.coalesce((new_hash == old_hash) & same_size, F.lit(False)), "re-encoded").otherwise("drift")

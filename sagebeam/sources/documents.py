@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -25,10 +25,42 @@ def json_records(spark: SparkSession, path: str, schema: t.StructType, envelope:
 
 
 def json_lines(spark: SparkSession, path: str, schema: t.StructType) -> tuple[DataFrame, DataFrame]:
-    """The sound lines of a JSON-lines file, and its broken ones as (file, line, content); blank lines are in neither."""
-    lines = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"), F.monotonically_increasing_id().alias("line")).where("trim(content) <> ''")
+    """The sound lines of JSON-lines files, and the broken ones as (file, line, content); empty lines are in neither.
+
+    ``line`` numbers a file's lines that are not empty, from 1: a line's place in
+    its block of the file, after the lines of the blocks before, which are counted
+    block by block.  Blocks are read apart, so a file of any size is many tasks.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("content")).where("content <> ''")
+    lines = lines.withColumn("id", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parsed = lines.withColumn("r", F.from_json("content", t.StructType([*schema.fields, t.StructField("_broken", t.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
-    return parsed.where("r._broken is null").select(*[F.col(f"r.{f.name}") for f in schema.fields]), parsed.where("r._broken is not null").select("file", "line", "content")
+    broken = parsed.where("r._broken is not null").join(blocks.withColumn("before", before), ["file", "block"])
+    return parsed.where("r._broken is null").select(*[F.col(f"r.{f.name}") for f in schema.fields]), broken.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "content")
+
+
+def json_batches(spark: SparkSession, pattern: str, schema: t.StructType, key: str) -> DataFrame:
+    """Records of all JSON arrays whose files match a glob, one per key: that of the last file by name, and in it the last."""
+    rows = spark.read.option("multiLine", True).schema(schema).json(pattern).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[f.name for f in schema.fields]), F.struct("_file", "_at")).alias("r")).select("r.*")
+
+
+def split_parts(files: DataFrame, size: int) -> DataFrame:
+    """Files (path, content) cut into parts of at most ``size`` bytes: path, part (from 0), content, and the digests of part and file."""
+    count = F.greatest(F.ceil(F.octet_length("content") / size), F.lit(1)).cast("int")
+    cut = files.withColumn("whole", F.sha2("content", 256)).withColumn("part", F.explode(F.sequence(F.lit(0), count - 1)))
+    own = F.substring(F.col("content"), F.col("part") * size + 1, F.lit(size))
+    return cut.select("path", "part", own.alias("content"), F.sha2(own, 256).alias("sha256"), "whole")
+
+
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """(path, content) of files from their parts, in order; a part or a file whose digest differs stops the job."""
+    found = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "content", "sha256"))).alias("p"), F.first("whole").alias("whole"))
+    content = F.aggregate("p", F.unhex(F.lit("")), lambda done, x: F.concat(done, x["content"]))
+    sound = F.forall("p", lambda x: F.sha2(x["content"], 256) == x["sha256"]) & (F.sha2(content, 256) == F.col("whole"))
+    wrong = F.when(~sound, F.raise_error(F.concat(F.lit("digests differ: "), F.col("path"))).cast("boolean"))
+    return found.where(wrong.isNull()).select("path", content.alias("content"))
 
 
 def file_tree(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGES, content: bool = False) -> DataFrame:
@@ -93,3 +125,9 @@ def verify_pins(expected: DataFrame, actual: DataFrame) -> DataFrame:
     joined = expected.join(actual.select("name", F.col("id").alias("_id")), "name", "left")
     wrong = F.when(~F.col("id").eqNullSafe(F.col("_id")), F.raise_error(F.concat(F.lit("pin differs: "), F.col("name"))).cast("boolean"))
     return joined.where(wrong.isNull()).drop("_id")
+
+
+def archive_totals(members: DataFrame) -> DataFrame:
+    """(path, members, bytes, packed, images, annotations, archives) of the inventory of ``zip_inventory``, all depths together."""
+    return members.groupBy("path").agg(
+        F.count("*").alias("members"), F.sum("bytes").alias("bytes"), F.sum("packed").alias("packed"), F.count_if("is_image").alias("images"), F.count_if("is_annotation").alias("annotations"), F.count_if("is_zip").alias("archives"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,10 @@ def write_csv(rows: DataFrame, path: str, quote_all: bool = True) -> None:
     flat.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_by_key(rows: DataFrame, path: str, key: str) -> None:
-    """A folder per key (profiles, lanes), each key written by one task; rows keep their key as a column too."""
-    rows.withColumn("_key", F.col(key)).repartition("_key").write.mode("overwrite").partitionBy("_key").json(path)
+def write_by_key(rows: DataFrame, path: str, key: str, spread: int = 1) -> None:
+    """A folder per key (profiles, lanes), each key written by one task, or by up to ``spread`` where a key may have very many rows; rows keep their key as a column too."""
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(spread))
+    rows.withColumn("_key", F.col(key)).repartition("_key", place).write.mode("overwrite").partitionBy("_key").json(path)
 
 
 def lane_manifest(routed: DataFrame, lanes: DataFrame) -> DataFrame:
@@ -41,9 +44,10 @@ def lane_manifest(routed: DataFrame, lanes: DataFrame) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str, manifest: str = "SHA256SUMS") -> DataFrame:
-    """``sha256  name`` lines of the files below ``path``, by name, the manifest itself left out."""
+    """``sha256  name`` lines of the files below ``path``, by their names below it, the manifest itself left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.regexp_extract("path", "([^/]+)$", 1)
+    root = re.escape(urlparse(path).path.rstrip("/") + "/")
+    name = F.element_at(F.split("path", root, 2), -1)
     return files.where(name != manifest).select(F.concat(F.sha2("content", 256), F.lit("  "), name).alias("line"), name.alias("name")).orderBy("name").select("line")
 
 
