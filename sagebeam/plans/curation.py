@@ -143,7 +143,7 @@ def choose_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.choose_split(table(spark, sf_dir, "documents"), "source", "lang")
 
 
-_SPLIT = """
+SPLIT_SQL = """
 WITH c AS (SELECT source AS g, lang AS k, count(*)::DOUBLE AS n FROM documents GROUP BY 1, 2),
 k AS (SELECT k, sum(n) AS a FROM c GROUP BY k), t AS (SELECT sum(n) AS t FROM c),
 f AS (SELECT g.g, k.k, k.a, t.t, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.g) AS s
@@ -263,7 +263,7 @@ QUERIES: dict[str, Entry] = {
     "near_dup_edge_counts": (near_dup_edge_counts, _EDGE_COUNTS),
     "exact_dup_members": (exact_dup_members, _MEMBERS),
     "split_leakage": (split_leakage, _LEAKAGE),
-    "choose_split": (choose_split, _SPLIT),
+    "choose_split": (choose_split, SPLIT_SQL),
     "admission_blockers": (admission_blockers, _BLOCKERS),
     "class_admission": (class_admission, _CLASSES),
     "lane_router": (lane_router, _LANES),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sagebeam.plans import curation, quality, ranking
+from sagebeam.plans import catalog, curation, fields, quality, ranking, release
 from sagebeam.plans.tables import Entry, Query
 
-_ALL: dict[str, Entry] = ranking.QUERIES | curation.QUERIES | quality.QUERIES
+_ALL: dict[str, Entry] = ranking.QUERIES | catalog.QUERIES | curation.QUERIES | quality.QUERIES | release.QUERIES | fields.QUERIES
 
 
 def queries() -> dict[str, Query]:
