@@ -15,6 +15,8 @@ from sagebeam.functions import text as T
 
 #: Values of a difference hash's picture, and its bits.
 SLICES, BITS = 72, 64
+#: Share of all edges beyond which a node is hot.
+HOT = 1e-4
 
 
 def _checkpoints(spark: SparkSession) -> None:
@@ -134,13 +136,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the undirected ``edges(a, b)``: root is the smallest node reachable.
 
     Minimum labels over edges, then the label of the label, until nothing moves;
-    each round is checkpointed to the shared folder.
+    each round is checkpointed to the shared folder.  Nodes with more than ``HOT`` of
+    all edges, which are fewer than its inverse, tell their labels by broadcast, so
+    that no star is one task.
     """
     _checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).checkpoint()
+    least = max(1000, int(both.count() * HOT))
+    hot = both.groupBy(F.col("a").alias("node")).count().where(F.col("count") > least).select("node", F.lit(True).alias("hot")).checkpoint()
+    marked = both.join(F.broadcast(hot.withColumnRenamed("node", "a")), "a", "left")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")).checkpoint()
     while True:
-        near = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "root").unionByName(labels).groupBy("node").agg(F.min("root").alias("root"))
+        told = F.broadcast(labels.join(F.broadcast(hot), "node").select(F.col("node").alias("a"), "root"))
+        said = marked.where("hot").join(told, "a").unionByName(marked.where("hot is null").join(labels.withColumnRenamed("node", "a"), "a"))
+        near = said.select(F.col("b").alias("node"), "root").unionByName(labels).groupBy("node").agg(F.min("root").alias("root"))
         over = labels.select(F.col("node").alias("root"), F.col("root").alias("over"))
         new = near.join(over, "root").select("node", F.least("root", "over").alias("root")).checkpoint()
         moved = new.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()

@@ -56,9 +56,9 @@ def test_hamming_edges_are_all_and_once(spark):
 
 
 def test_components_of_a_chain_and_a_ring(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (102, 100)]
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (102, 100)] + [(5000, i) for i in range(3000, 4500)]  # and of a star, which is hot
     got = dict(map(tuple, dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100, **{i: 3000 for i in range(3000, 4500)}, 5000: 3000}
 
 
 def test_merge_conflict_stops_and_later_values_win(spark):
