@@ -322,11 +322,11 @@ def test_co_training_hands_over_what_the_views_are_sure_of(spark):
 
 
 def test_toxicity_of_held_out_rows(spark):
-    """Only about 300 labelled rows to learn from, some of them mislabelled; ranked clearly better than by chance."""
+    """Only about 300 labelled rows to learn from, some of them mislabelled; no ranking by the texts can reach 0.95."""
     docs, labels = (spark.read.parquet(f"{SF}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = toxicity.toxic(docs, labels).where("held_out").join(labels, "doc_id").select("score", "toxic").toPandas()
     rank, hit = held["score"].rank(), held["toxic"] == 1
-    assert (rank[hit].sum() - hit.sum() * (hit.sum() + 1) / 2) / (hit.sum() * (~hit).sum()) > 0.7
+    assert (rank[hit].sum() - hit.sum() * (hit.sum() + 1) / 2) / (hit.sum() * (~hit).sum()) > 0.8
 
 
 @pytest.mark.parametrize("ids", [(2, 4), (2, 4, 7, 8, 9, 12)])
