@@ -90,22 +90,32 @@ def fresh(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: Share of all edges beyond which a node is hot.
+HOT = 1e-4
+
+
 def components(edges: DataFrame, name: str = "components") -> tuple[DataFrame, list[str]]:
     """Connected components of the undirected ``edges(a long, b long)``: (node, root), root the smallest node reachable.
 
     Minimum labels spread along edges and then jump to the label of their label,
     so that rounds grow with the logarithm of the diameter.  Every round is an
-    aggregation with map-side combine and equi-joins on node keys, which adaptive
-    execution splits where one node holds most edges; labels are written to the
-    shared folder between rounds and only one number a round reaches the driver.
-    Also returns the paths that the result reads.
+    aggregation with map-side combine and equi-joins on node keys; labels are
+    written to the shared folder between rounds and only one number a round reaches
+    the driver.  Nodes with more than ``HOT`` of all edges, which are fewer than its
+    inverse, tell their labels by broadcast, so that no star is one task.  Also
+    returns the paths that the result reads.
     """
     spark = edges.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both, edge_path = stored(both.where("a <> b"), f"{name}-edges")
+    least = max(1000, int(both.count() * HOT))
+    hot, hot_path = stored(both.groupBy(F.col("a").alias("node")).count().where(F.col("count") > least).select("node", F.lit(True).alias("hot")), f"{name}-hot")
     labels, path = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-labels")
+    marked = both.join(F.broadcast(hot.withColumnRenamed("node", "a")), "a", "left")
     while True:
-        said = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "root")
+        told = F.broadcast(labels.join(F.broadcast(hot), "node").select(F.col("node").alias("a"), "root"))
+        cold = marked.where("hot is null").join(labels.withColumnRenamed("node", "a"), "a")
+        said = marked.where("hot").join(told, "a").unionByName(cold).select(F.col("b").alias("node"), "root")
         near = said.unionByName(labels).groupBy("node").agg(F.min("root").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("over"))
         # The label of a label is a node of the same component, so following it is always allowed.
@@ -116,7 +126,7 @@ def components(edges: DataFrame, name: str = "components") -> tuple[DataFrame, l
         discard(spark, path)
         labels, path = newer.select("node", "root"), newer_path
         if not moved:
-            discard(spark, edge_path)
+            discard(spark, edge_path, hot_path)
             return labels, [path]
 
 

@@ -34,6 +34,7 @@ SHINGLE = 5
 TILE, TILE_SHINGLES = 512, 1 << 20
 #: Buckets with more than this share of all places in buckets are hot; there are fewer than its inverse.
 HOT = 1e-4
+SALTS = 64
 #: Standard deviations of the signature's estimate below the threshold at which a pair of a tile is dropped.
 SIGMAS = 6.0
 
@@ -292,7 +293,13 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
     """The pairs (a, b) of nodes whose full sets meet the threshold, and the table's path."""
     pairs, pairs_path = stored(pairs, "minhash-pairs")
     sets, sets_path = _sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    # Pairs of a hub with very many spokes are dealt to several tasks, each with the hub's set; such hubs are fewer than 1 / HOT.
+    least = max(TILE, int(pairs.count() * HOT))
+    hot = F.broadcast(pairs.groupBy("a").count().where(F.col("count") > least).select("a", F.lit(True).alias("hot")))
+    dealt = pairs.join(hot, "a", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("b"), F.lit(SALTS))).otherwise(0)).drop("hot")
+    of_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(hot, "a", "left")
+    of_a = of_a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0)))).drop("hot")
+    met = dealt.join(of_a, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     links, path = stored(met.select("a", "b", "of_a", "of_b").mapInArrow(_confirmer(percent), "a long, b long"), "minhash-links")
     discard(docs.sparkSession, pairs_path, sets_path)
     return links, path
