@@ -80,7 +80,8 @@ def top_support(listed: DataFrame, symptoms: DataFrame, k: int = TOP) -> DataFra
     found = symptoms.agg(F.countDistinct("case_id").alias("cases"), F.count("*").alias("signs")).first()
     blocks = max(1, -(-found["cases"] // CASES), -(-found["signs"] // SIGNS))
     wanted = symptoms.select("key").distinct()
-    known = frequencies(listed.select("record_id", F.explode(F.array_distinct("keys")).alias("key")).join(F.broadcast(wanted) if found["signs"] <= SIGNS else wanted, "key", "left_semi"))
+    once = listed.select(F.explode(F.array_distinct("keys")).alias("key")).join(F.broadcast(wanted) if found["signs"] <= SIGNS else wanted, "key", "left_semi")
+    known = once.groupBy("key").agg(F.count("*").alias("frequency"))
     parts = []
     for b in range(blocks):
         own = symptoms.where(F.pmod(F.xxhash64("case_id"), F.lit(blocks)) == b).join(known.select("key", weight(F.col("frequency")).alias("w")), "key").toArrow()
@@ -119,12 +120,13 @@ def _scorer(spark, cases: np.ndarray, signs: pa.Array, weights: np.ndarray, k: i
                 held = np.zeros((part.num_rows, len(signs)), dtype=np.float32)
                 np.add.at(held, (of.filter(has).to_numpy(), at.filter(has).to_numpy()), 1)  # a sign listed twice counts twice
                 # Sums of multiples of a half are exact.
-                score, n = held @ weights, held @ (weights > 0).astype(np.float32)
+                score = held @ weights
                 order = np.lexsort((np.broadcast_to(ids[:, None], score.shape), -score), axis=0)[:k]
                 best = np.take_along_axis(score, order, axis=0)
                 i, j = np.nonzero(best > 0)
                 r = order[i, j]
-                yield pa.record_batch([pa.array(cases[j], pa.int64()), pa.array(ids[r], pa.int64()), pa.array(score[r, j].astype(np.float64)), pa.array(n[r, j].astype(np.int64))], names=["case_id", "record_id", "score", "n_matched"])
+                n = np.einsum("ij,ij->i", held[r], (weights > 0).T[j])
+                yield pa.record_batch([pa.array(cases[j], pa.int64()), pa.array(ids[r], pa.int64()), pa.array(score[r, j].astype(np.float64)), pa.array(n.astype(np.int64))], names=["case_id", "record_id", "score", "n_matched"])
 
     return run
 

@@ -9,7 +9,7 @@ from sagebeam.functions import paths
 from sagebeam.functions import text as T
 from sagebeam.operators import adjudication, media, merging, ordered, ranking, routing, splits
 from sagebeam.plans import curation
-from sagebeam.plans.tables import Entry, table
+from sagebeam.plans.tables import Entry, spread, table
 from sagebeam.sources import documents
 
 
@@ -256,7 +256,7 @@ _SPECIES = F.when(F.col("source") == "src4", "Hemp crop").when(F.col("source") =
 
 def nine_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as picture records: their lane by host fields and words, and that none of the own host is sent away."""
-    rows = _docs(spark, sf_dir).select("doc_id", _HOST.alias("host_context"), _SPECIES.alias("host_species"), T.lineage(F.col("text"), F.when(F.col("lang") == "de", F.lit("Hemp")), F.col("source")).alias("blob"))
+    rows = spread(_docs(spark, sf_dir)).select("doc_id", _HOST.alias("host_context"), _SPECIES.alias("host_species"), T.lineage(F.col("text"), F.when(F.col("lang") == "de", F.lit("Hemp")), F.col("source")).alias("blob"))
     rows = rows.withColumn("blob", F.when(F.col("host_context") == "Cross-Crop figure", "a figure of another crop").otherwise(F.col("blob")))
     routed = rows.withColumn("lane", routing.lane(F.col("blob"), F.col("host_context"), F.col("host_species")))
     checked = routing.assert_kept_home(routed, "blob")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sagebeam.functions import text as T
 from sagebeam.operators import coverage, merging, ordered, routing
 from sagebeam.operators import validation as V
-from sagebeam.plans.tables import Entry, table
+from sagebeam.plans.tables import Entry, spread, table
 
 _NEEDLE = " The and "
 
@@ -220,7 +220,7 @@ SELECT n_name, n, bin FROM r JOIN o USING (i)
 
 def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines by their number of tokens, and the shares that are numbers throughout or have five tokens."""
-    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    lines = spread(table(spark, sf_dir, "documents")).select(F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
     tokens = F.split(F.trim("line"), " +")
     numeric = F.forall(tokens, lambda t: t.try_cast("double").isNotNull())
     rows = lines.select(F.size(tokens).cast("long").alias("tokens"), numeric.alias("numeric"))

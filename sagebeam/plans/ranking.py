@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sagebeam.functions import text as T
 from sagebeam.operators import adjudication, merging, ordered, ranking
-from sagebeam.plans.tables import Entry, table
+from sagebeam.plans.tables import Entry, spread, table
 
 _TOKEN = "[^a-z0-9]+"
 EXCLUDED = ("the", "and", "of", "le", "la", "der", "die", "que", "de")
@@ -21,7 +21,7 @@ def _signs(spark: SparkSession, sf_dir: str, name: str, key: str, alias: str) ->
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best documents of each benchmark item by the words that they share."""
     words = F.filter(F.array_distinct(F.split(F.lower("text"), _TOKEN)), lambda w: w != "")
-    listed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), words.alias("keys")).where("keys is not null")
+    listed = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("record_id"), words.alias("keys")).where("keys is not null")
     return ranking.top_per_case(ranking.top_support(listed, _signs(spark, sf_dir, "benchmark", "item_id", "case_id")), "record_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sagebeam.operators import coverage, ordered
 from sagebeam.operators import validation as V
-from sagebeam.plans.tables import Entry, table
+from sagebeam.plans.tables import Entry, spread, table
 
 
 def _counted(found: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def content_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records with texts, lists, caps and media that gates ask for."""
     words = F.array_distinct(F.split(F.lower("text"), " "))
     shown = F.struct((F.col("n_chars") > 4000).alias("trainingEligible"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("words"), (F.col("n_chars") / 5000).alias("cap"), F.array(shown, shown).alias("media"), F.split("text", "\n").alias("lines"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", words.alias("words"), (F.col("n_chars") / 5000).alias("cap"), F.array(shown, shown).alias("media"), F.split("text", "\n").alias("lines"))
     rules = [V.says(F.col("text"), "text names both", "the", "And"), V.matches(F.col("text"), "text has a run", "e[rn] [a-d]"), V.lists_all("words", "words lack some", "the", "de"), V.counts("lines", "few lines", 3), V.counts("lines", "not one line", 1, exactly=True), V.at_most("cap", "cap too high", 0.65), V.none_flagged("media", "media flagged", "trainingEligible")]
     return _counted(V.violations(rows, "records", "doc_id", rules))
 
