@@ -134,4 +134,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many tasks as run at once, where their files make fewer splits; inputs of more splits stay as they are.
+
+    For work on whole texts in Python, which costs far more than moving them.
+    """
+    at_once = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(at_once) if rows.rdd.getNumPartitions() < at_once else rows
+
+
 Query = Callable[[SparkSession, str], DataFrame]

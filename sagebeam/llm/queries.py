@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sagebeam.llm import decontaminate, embeddings, langid, licenses, lm, minhash, mixing, quality, toxicity, warc
-from sagebeam.llm.frames import Query, table
+from sagebeam.llm.frames import Query, spread, table
 
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,12 +13,12 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxic(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +42,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(table(spark, sf_dir, "documents"))
+    return lm.scores(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+    return minhash.near_duplicates(spread(table(spark, sf_dir, "documents")), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Query]:
