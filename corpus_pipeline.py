@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagebeam.llm import decontaminate, langid, minhash, mixing, toxicity
-from sagebeam.llm.frames import stored, table
+from sagebeam.llm.frames import spread, stored, table
 
 #: Percent of the union of two documents' shingles at which they count as near duplicates.
 NEAR = 80
@@ -60,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs, _ = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
