@@ -14,6 +14,14 @@ def union_in_order(frames: list[DataFrame], position: str = "catalog_pos") -> Da
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed).drop("_frame")
 
 
+def unique_union(frames: list[DataFrame], key: str) -> DataFrame:
+    """All rows of all frames; a key that stands twice stops the job."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    counted = rows.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*rows.columns)).alias("_row"))
+    twice = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("stands twice: "), F.col(key).cast("string"))).cast("boolean"))
+    return counted.where(twice.isNull()).select("_row.*")
+
+
 def overlay(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     """``base`` with the non-null fields of the patch of the same key laid over it; columns as in ``base``."""
     over = [c for c in patches.columns if c != key and c in base.columns]

@@ -238,6 +238,16 @@ def source_rules_of_records() -> list[Rule]:
         implies("source without a date", reviewed, each(lambda s: F.coalesce(F.regexp_like(s["accessedDate"], F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.lit(False)))), implies("source without a claim", reviewed, each(lambda s: F.coalesce(F.size(s["supportedClaims"]) > 0, F.lit(False))))]
 
 
+def binary_violations(records: DataFrame, files: DataFrame) -> DataFrame:
+    """(dataset, row_key, rule) of records (id, path, sha256, license, sourceArticle, sourceGroupId, trainingEligible) against files (path, content): each is there, not empty, unchanged, not for training, and has its provenance."""
+    have = files.select("path", F.sha2("content", 256).alias("_sha"), F.octet_length("content").alias("_size"))
+    full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    there = F.coalesce(F.col("_size") > 0, F.lit(False))
+    return violations(records.join(have, "path", "left"), "binaries", "id", [
+        Rule("file missing or empty", there), implies("SHA-256 mismatch", there, F.col("_sha") == F.col("sha256")), Rule("trainingEligible is not false", F.col("trainingEligible") == F.lit(False)),
+        Rule("license or source missing", full("license") & full("sourceArticle")), Rule("sourceGroupId missing", full("sourceGroupId"))]).unionByName(repeated(records, "binaries", "id"))
+
+
 # What a case store checks: values of columns, and references between its tables (a null reference is no violation).
 STORE_VALUES = {"case_media": {"media_type": ("image", "video")}, "case_messages": {"role": ("user", "reviewer", "system")}, "intervention_outcomes": {"outcome": ("better", "same", "worse", "unknown")}}
 STORE_KEYS = (("case_media", "case_id", "diagnostic_cases", "case_id"), ("case_media", "parent_media_id", "case_media", "media_id"), ("inference_analyses", "case_id", "diagnostic_cases", "case_id"),

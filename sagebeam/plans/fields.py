@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from sagebeam.functions import text as T
-from sagebeam.operators import ordered
-from sagebeam.plans.tables import Entry, table
+from sagebeam.operators import merging, ordered
+from sagebeam.plans.tables import Entry, scratch, table
 from sagebeam.sources import documents, sinks
 
+T_SLIM = t.StructType([t.StructField("doc_id", t.LongType()), t.StructField("text", t.StringType()), t.StructField("lang", t.StringType())])
+
 
 def hash_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of texts, and 64-bit words from hexadecimal digits and back; malformed ones are null."""
@@ -192,6 +199,88 @@ def id_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ID_FORMS = "SELECT count(*) AS well_formed, count(*) AS distinct_ids FROM nation"
 
+_SLIM = "doc_id long, text string, lang string"
+
+
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines and read again."""
+    path = scratch(spark, "json")
+    sinks.write_json_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    good, _ = documents.json_lines(spark, path, T_SLIM)
+    return good.select("doc_id", F.sha2("text", 256).alias("digest"), "lang")
+
+
+_JSON = "SELECT doc_id, sha256(text) AS digest, lang FROM documents"
+
+
+def envelope_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the hundred in JSON documents with an envelope, a file each, read again."""
+    path = scratch(spark, "envelope")
+    whole = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("batch")).agg(F.collect_list(F.struct("doc_id", "text", "lang")).alias("records"))
+    whole.select("batch", F.to_json(F.struct("records")).alias("value")).write.partitionBy("batch").text(path)
+    return documents.json_records(spark, path, T_SLIM).select("doc_id", F.sha2("text", 256).alias("digest"), "lang")
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as quoted CSV, quotes doubled and lines kept in cells, and read again."""
+    path = scratch(spark, "csv")
+    sinks.write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    back = spark.read.schema(_SLIM).option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return back.select("doc_id", F.sha2(F.regexp_replace("text", "\r\n?", "\n"), 256).alias("digest"), "lang")
+
+
+_CSV = "SELECT doc_id, sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS digest, lang FROM documents"
+
+
+def keyed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to a folder per source; files found in the tree, with their digests, and the rows that they hold."""
+    path = scratch(spark, "keyed")
+    sinks.write_by_key(table(spark, sf_dir, "documents"), path, "source")
+    files = documents.file_tree(spark, path, ("json",), content=True).select(F.regexp_extract("path", "_key=([^/]+)/", 1).alias("source"), F.size(F.split(F.decode("content", "UTF-8"), "\n")).alias("lines"))
+    listed = sinks.checksums(spark, path).agg(F.count_if(F.regexp_like("line", F.lit("^[0-9a-f]{64}  _key="))).alias("sums"), F.count("*").alias("names"))
+    return files.groupBy("source").agg((F.sum("lines") - F.count("*")).cast("long").alias("n")).crossJoin(listed.select((F.col("sums") >= F.col("names") - 1).alias("listed")))  # a row
+
+
+_KEYED = "SELECT source, count(*) AS n, true AS listed FROM documents GROUP BY source"
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations packed as zip archives, those of later turns inside others, and their members read again."""
+
+    def packed(batches):
+        for batch in batches:
+            out = []
+            for roles, texts in zip(batch.column("roles").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+                data = b""
+                for i, (role, text) in reversed(list(enumerate(zip(roles, texts, strict=True)))):
+                    stream = io.BytesIO()
+                    with zipfile.ZipFile(stream, "w") as z:
+                        z.writestr(f"{role}-{i}.txt", text)
+                        if data:
+                            z.writestr("more.zip", data)
+                    data = stream.getvalue()
+                out.append(data)
+            yield pa.record_batch([batch.column("conv_id").cast(pa.string()), pa.array(out, pa.binary())], names=["path", "content"])
+
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    archives = turns.select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts")).mapInArrow(packed, "path string, content binary")
+    return documents.zip_inventory(archives).where("not is_zip").select(F.regexp_extract("path", "^[0-9]+", 0).alias("conversation"), "member", "bytes", F.col("depth").cast("long").alias("depth"), "is_annotation")
+
+
+_ARCHIVED = """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS conversation, role || '-' || i || '.txt' AS member, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, CAST(i AS BIGINT) AS depth, true AS is_annotation FROM t
+"""
+
+
+def unique_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of two halves of the customers as one catalogue, each order once."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return merging.unique_union([orders.where("o_custkey % 2 = 0"), orders.where("o_custkey % 2 = 1")], "o_orderkey")
+
+
+_UNIQUE_UNION = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
+
 QUERIES: dict[str, Entry] = {
     "hash_forms": (hash_forms, _HASHES),
     "image_kinds": (image_kinds, _KINDS),
@@ -209,4 +298,10 @@ QUERIES: dict[str, Entry] = {
     "lane_manifests": (lane_manifests, _LANE_ROWS),
     "csv_cells": (cells, _CELLS),
     "id_forms": (id_forms, _ID_FORMS),
+    "json_round_trip": (json_round_trip, _JSON),
+    "envelope_round_trip": (envelope_round_trip, _JSON),
+    "csv_round_trip": (csv_round_trip, _CSV),
+    "keyed_files": (keyed_files, _KEYED),
+    "archive_members": (archive_members, _ARCHIVED),
+    "unique_union": (unique_union, _UNIQUE_UNION),
 }

@@ -219,6 +219,22 @@ _CONTENT = _sql("WITH r AS (SELECT lower(text) AS t, list_distinct(string_split(
     "cap too high": "n / 5000.0 <= 0.65", "media flagged": "n <= 4000"}, "records")
 
 
+def binary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as binaries of a release: records against files, some of which are lost, empty or changed."""
+    n, lang = F.col("n_chars"), F.col("lang")
+    docs = table(spark, sf_dir, "documents")
+    records = docs.select(
+        F.when(n % 29 == 0, F.lit(-1)).otherwise(F.col("doc_id")).alias("id"), F.concat(F.lit("images/"), F.col("doc_id")).alias("path"), F.sha2("text", 256).alias("sha256"), F.when(lang == "fr", "").otherwise("CC BY").alias("license"),
+        F.when(n % 5 != 0, "a").alias("sourceArticle"), F.when(n % 7 != 0, F.col("source")).alias("sourceGroupId"), (n % 11 == 0).alias("trainingEligible"))
+    files = docs.where(n % 13 != 0).select(F.concat(F.lit("images/"), F.col("doc_id")).alias("path"), F.when(n % 17 == 0, "").when(n % 19 == 0, "changed").otherwise(F.col("text")).cast("binary").alias("content"))
+    return _counted(V.binary_violations(records, files))
+
+
+_BINARIES = _sql("WITH r AS (SELECT n_chars AS n, lang, n_chars % 13 <> 0 AND n_chars % 17 <> 0 AND (n_chars % 19 = 0 OR text <> '') AS there FROM documents)", {
+    "file missing or empty": "there", "SHA-256 mismatch": "NOT there OR n % 19 <> 0", "trainingEligible is not false": "n % 11 <> 0", "license or source missing": "lang <> 'fr' AND n % 5 <> 0", "sourceGroupId missing": "n % 7 <> 0"}, "binaries",
+    " UNION ALL SELECT 'id is not unique', CASE WHEN count(*) > 1 THEN 1 ELSE 0 END FROM r WHERE n % 29 = 0")
+
+
 def store_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as the messages of cases, and events as the cases: allowed roles and references."""
     cases = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id")).distinct()
@@ -402,6 +418,7 @@ QUERIES: dict[str, Entry] = {
     "split_implications": (split_implications, _IMPLIED),
     "reviewed_sources": (reviewed_sources, _REVIEWED),
     "content_gates": (content_gates, _CONTENT),
+    "binary_checks": (binary_checks, _BINARIES),
     "store_checks": (store_checks, _STORE),
     "release_counts": (release_counts, _RELEASE),
     "split_gate": (split_gate, _GATE),
