@@ -250,13 +250,12 @@ def _has(text: str, terms: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
 
 
-_HOST = F.when(F.col("source") == "src1", "Cross-Crop figure").when(F.col("source") == "src2", "organism-only").when(F.col("source") == "src3", "cannabis").otherwise("")
-_SPECIES = F.when(F.col("source") == "src4", "Hemp crop").when(F.col("source") == "src5", "tomato").otherwise("")
-
-
 def nine_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as picture records: their lane by host fields and words, and that none of the own host is sent away."""
-    rows = spread(_docs(spark, sf_dir)).select("doc_id", _HOST.alias("host_context"), _SPECIES.alias("host_species"), T.lineage(F.col("text"), F.when(F.col("lang") == "de", F.lit("Hemp")), F.col("source")).alias("blob"))
+    source = F.col("source")
+    host = F.when(source == "src1", "Cross-Crop figure").when(source == "src2", "organism-only").when(source == "src3", "cannabis").otherwise("")
+    species = F.when(source == "src4", "Hemp crop").when(source == "src5", "tomato").otherwise("")
+    rows = spread(_docs(spark, sf_dir)).select("doc_id", host.alias("host_context"), species.alias("host_species"), T.lineage(F.col("text"), F.when(F.col("lang") == "de", F.lit("Hemp")), F.col("source")).alias("blob"))
     rows = rows.withColumn("blob", F.when(F.col("host_context") == "Cross-Crop figure", "a figure of another crop").otherwise(F.col("blob")))
     routed = rows.withColumn("lane", routing.lane(F.col("blob"), F.col("host_context"), F.col("host_species")))
     checked = routing.assert_kept_home(routed, "blob")

@@ -29,3 +29,14 @@ def test_entry_is_the_flagship(spark):
 def test_top_k_is_cut_before_the_window(spark):
     plan = registry.queries()["rarity_rank_top4"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
+def test_entry_is_imported_without_a_session():
+    """In a process of its own, as the driver does it; every query has SQL but those of trained models."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    said = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 90)"
+    assert subprocess.run([sys.executable, "-c", said], cwd=root, capture_output=True, text=True, timeout=120).stdout.strip() == "True"
