@@ -271,6 +271,7 @@ def annotate(docs: DataFrame, phrases: DataFrame, text: str = "text") -> tuple[D
     """``docs`` with n_words, spans and phrases (names made fresh if taken), the names last; all rows and columns stay.
 
     spans are the merged places of all phrases in words and in UTF-8 bytes; phrases holds the keys found.
+    Null and empty texts have none, repeated rows each have their own, and without any phrase all are empty.
     """
     spark = bounded_batches(docs.sparkSession)
     names = [fresh(docs, n) for n in ("n_words", "spans", "phrases")]

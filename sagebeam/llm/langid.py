@@ -167,7 +167,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.0, languages: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language is known (with at least ``least_score``, among ``languages`` if given); columns as they were."""
+    """The rows of ``docs`` whose language is known (with at least ``least_score``, among ``languages`` if given); columns as they were.
+
+    Null and empty texts and those without a letter go, repeated rows go on or out
+    together, and without any labelled row none goes on.
+    """
     model = fit(docs.where(learning.fold(F.col("doc_id"), 5) != 0))
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     out = annotate(docs, model, lang, score)

@@ -255,6 +255,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``; columns as they were."""
+    """The rows of ``docs`` whose score is at least ``threshold``; columns as they were.
+
+    Null and empty texts are scored like others, repeated rows go on or out together,
+    and with no labels, or only one, every row goes on.
+    """
     score = fresh(docs, "quality_score")
     return annotate(docs, fit(learnable(docs), labels), score).where(F.col(score) >= threshold).drop(score)
