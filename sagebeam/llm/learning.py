@@ -93,17 +93,23 @@ def featurise(make: Callable[[pa.RecordBatch], np.ndarray], keep: list[str]):
     return run
 
 
+def binaries(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a column of binaries, without an object for each."""
+    whole = pa.concat_arrays([pa.array([], pa.large_binary()), *(c.cast(pa.large_binary()) for c in column.chunks)])
+    _, offsets, data = whole.buffers()
+    cuts = np.frombuffer(offsets, dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    return cuts - cuts[0], np.frombuffer(data, dtype=np.uint8)[cuts[0] : cuts[-1]] if data is not None and len(whole) else np.zeros(0, np.uint8)
+
+
 def collected(rows: DataFrame) -> tuple[pa.Table, np.ndarray]:
     """A bounded sample on the driver: its table, in an order that no run changes, and its matrix."""
     table = rows.toArrow()
-    found = table.column("x").to_pylist()
+    _, data = binaries(table.column("x"))
+    raw = data.view(np.float32).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1), dtype=np.float32)
     rest = table.drop_columns(["x"])
-    keys = [(repr(tuple(r.values())), hashlib.blake2b(v, digest_size=16).digest()) for r, v in zip(rest.to_pylist(), found, strict=True)]
+    keys = [(repr(tuple(r.values())), hashlib.blake2b(v, digest_size=16).digest()) for r, v in zip(rest.to_pylist(), raw, strict=True)]
     order = sorted(range(len(keys)), key=keys.__getitem__)
-    x = np.empty((len(found), len(found[0]) // 4 if found else 1), dtype=np.float32)
-    for i, k in enumerate(order):
-        x[i] = np.frombuffer(found[k], dtype=np.float32)
-    return rest.take(pa.array(order, pa.int64())), x
+    return rest.take(pa.array(order, pa.int64())), raw[order]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
