@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagebeam.llm import decontaminate, embeddings, langid, licenses, lm, minhash, mixing, quality, toxicity, warc
+from sagebeam.llm import decontaminate, embeddings, langid, licenses, lm, minhash, mixing, quality, toxicity, urls, warc
 from sagebeam.llm.frames import Query, spread, table
 
 
@@ -49,8 +49,13 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spread(table(spark, sf_dir, "documents")), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.rule_table(spark, urls.RULES), urls.junk_pages(pages)).drop("listed")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_quality, op4_mixing, op5_licenses, op6_langid, op7_toxicity, op8_warc, op9_lm, op10_minhash)}
+    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_quality, op4_mixing, op5_licenses, op6_langid, op7_toxicity, op8_warc, op9_lm, op10_minhash, op12_urls)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -163,5 +168,21 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 """
 
 
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+
+_OP12 = rf"""
+WITH cut AS (
+  SELECT row_number() OVER () AS rid, page_id, position('://' IN coalesce(url, '')) > 0 AS sound, regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', ['host', 'path']) AS m FROM pages),
+parts AS (SELECT rid, page_id, translate(m.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, m.path AS path FROM cut),
+named AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:/index)?(?:\.html?)?/*$', '') END AS canon FROM parts),
+listed AS (SELECT DISTINCT canon FROM named WHERE regexp_matches(host, '(?:^|[.-])(?:{'|'.join(urls.JUNK)})(?:[.-]|$)')),
+rules AS (SELECT * FROM (VALUES {_RULES}) AS t(verdict, rhost, rpath)),
+fits AS (
+  SELECT rid, arg_max(rhost || rpath, len(rhost || rpath) * 1000 + len(rhost)) AS rule, arg_max(verdict, len(rhost || rpath) * 1000 + len(rhost)) AS said
+  FROM named JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN canon IN (FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM named LEFT JOIN fits USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embeddings": _OP1, "op10_minhash": _OP10, "op2_decontaminate": _OP2, "op4_mixing": _OP4, "op5_licenses": _OP5, "op8_warc": _OP8}
+    return {"op1_embeddings": _OP1, "op10_minhash": _OP10, "op12_urls": _OP12, "op2_decontaminate": _OP2, "op4_mixing": _OP4, "op5_licenses": _OP5, "op8_warc": _OP8}
