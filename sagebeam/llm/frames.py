@@ -130,6 +130,25 @@ def components(edges: DataFrame, name: str = "components") -> tuple[DataFrame, l
             return labels, [path]
 
 
+#: Rows of some hundred bytes at most that are broadcast: below 100 MB.
+BROADCAST_ROWS = 500_000
+
+
+def meet(rows: DataFrame, other: DataFrame, key: str, n_other: int, name: str) -> DataFrame:
+    """``rows`` joined with ``other``, whose ``key`` is unique: by broadcast where it is small, else by shuffle but for the hot keys of ``rows``.
+
+    Hot keys have more than ``HOT`` of all rows each, so they are fewer than its inverse and their entries can be broadcast.
+    """
+    if n_other <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(other), key)
+    rows, _ = stored(rows, name)
+    least = max(1000, int(rows.count() * HOT))
+    hot, _ = stored(rows.groupBy(key).count().where(F.col("count") > least).select(key, F.lit(True).alias("_hot")), f"{name}-hot")
+    marked = rows.join(F.broadcast(hot), key, "left")
+    few = other.join(F.broadcast(hot.select(key)), key)
+    return marked.where("_hot").drop("_hot").join(F.broadcast(few), key).unionByName(marked.where("_hot is null").drop("_hot").join(other.hint("shuffle_hash"), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

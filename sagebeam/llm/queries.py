@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagebeam.llm import decontaminate, embeddings, langid, licenses, lm, minhash, mixing, quality, toxicity, urls, warc
+from sagebeam.llm import centroids, codes, decontaminate, embeddings, langid, licenses, lm, minhash, mixing, quality, toxicity, urls, warc
 from sagebeam.llm.frames import Query, spread, table
 
 
@@ -49,13 +49,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spread(table(spark, sf_dir, "documents")), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.rule_table(spark, urls.RULES), urls.junk_pages(pages)).drop("listed")
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_quality, op4_mixing, op5_licenses, op6_langid, op7_toxicity, op8_warc, op9_lm, op10_minhash, op12_urls)}
+    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_quality, op4_mixing, op5_licenses, op6_langid, op7_toxicity, op8_warc, op9_lm, op10_minhash, op11_centroids, op12_urls, op13_codes)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

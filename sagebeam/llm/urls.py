@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebeam.llm.frames import HOT, stored
+from sagebeam.llm.frames import meet, stored
 
 #: Rules: verdict, host and path prefix.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -24,8 +24,6 @@ JUNK = ("casino", "pills", "adult", "spam", "bets", "ads")
 WORDS = 8
 #: Keys of a block: 512 / 24 is 21 bits a key, of which each sets eight (about one in five thousand others passes).
 KEYS = 24
-#: Rows of a table that is broadcast: a filter's row has nine numbers and an entry's some hundred bytes, so either is below 100 MB.
-BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,21 +56,6 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
     return keys.groupBy(_block(F.col("key"), blocks).alias("block")).agg(*[F.bit_or(_bit("key", i)).alias(f"w{i}") for i in range(WORDS)])
 
 
-def _meet(rows: DataFrame, other: DataFrame, key: str, n_other: int, name: str) -> DataFrame:
-    """``rows`` joined with ``other``, whose ``key`` is unique: by broadcast where it is small, else by shuffle but for the hot keys of ``rows``.
-
-    Hot keys have more than ``HOT`` of all rows each, so they are fewer than its inverse and their entries can be broadcast.
-    """
-    if n_other <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(other), key)
-    rows, _ = stored(rows, name)
-    least = max(1000, int(rows.count() * HOT))
-    hot, _ = stored(rows.groupBy(key).count().where(F.col("count") > least).select(key, F.lit(True).alias("_hot")), f"{name}-hot")
-    marked = rows.join(F.broadcast(hot), key, "left")
-    few = other.join(F.broadcast(hot.select(key)), key)
-    return marked.where("_hot").drop("_hot").join(F.broadcast(few), key).unionByName(marked.where("_hot is null").drop("_hot").join(other.hint("shuffle_hash"), key))
-
-
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(verdict, host, path) of rules."""
     whole = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules]).cast("array<struct<verdict:string,host:string,path:string>>")
@@ -116,10 +99,10 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
         F.lit("r"), F.length("host") - i + 1, F.lit(":"), F.substring("host", i, F.length("host")), F.substring("path", F.lit(1), k)))))
     names = ["page_id", "host", "path", "part"]
     probes = rows.where("host <> ''").select(*names, F.explode(F.array_append(prefixes, own)).alias("key")).withColumn("block", _block(F.col("key"), blocks))
-    passed = _meet(probes, bloom(entries, blocks), "block", blocks, "urls-probes")
+    passed = meet(probes, bloom(entries, blocks), "block", blocks, "urls-probes")
     for i in range(WORDS):
         passed = passed.where(F.col(f"w{i}").bitwiseAND(_bit("key", i)) != 0)
-    hits = _meet(passed.select(*names, "key"), entries, "key", n, "urls-passed")
+    hits = meet(passed.select(*names, "key"), entries, "key", n, "urls-passed")
     each = rows.select(*names, F.lit(1).alias("copies"), F.lit(-1).cast("long").alias("says"), F.lit(0).alias("listed"))
     said = hits.select(*names, F.lit(0).alias("copies"), "says", (F.col("says") == 0).cast("int").alias("listed"))
     told = each.unionByName(said).groupBy(*names).agg(F.sum("copies").alias("copies"), F.max("says").alias("says"), F.max("listed").alias("listed"))
