@@ -1,24 +1,19 @@
 """Rarity-weighted evidence ranking of catalogue records, for many cases in one job.
 
-Signs are exploded once; cases meet only the records that share a sign, a stage
-or a view bonus with them.  Where common signs would make that nearly all pairs and
-only the best are asked for, ``top_support`` scores blocks of cases instead, without
-a row for a pair.  Frequencies are counted over the catalogue; the top of each case comes
-from a ranking window whose partitions are cases.
+Records bear signs for and against them, stages and categories as marks; ``scoring``
+finds the best of each case by signed weights without a row for a pair.  Only the
+records kept are then joined with their case for the lists of signs, the gates and
+the policies.  Frequencies are counted over the catalogue.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sagebeam.functions import text as T
+from sagebeam.operators.scoring import best_records
 
 # Categories and slugs that the evidence gates name.
 LABORATORY = ("Bacterial pathogen", "Viroid", "Virus", "Phytoplasma / Spiroplasma")
@@ -37,8 +32,13 @@ ASK_POLICY, ASK_NON_VISUAL = "response policy limits photo-only confidence", "no
 ASK_SEPARATE = "additional discriminating evidence between the leading look-alikes"
 
 TOP = 4
-#: Cases of a block, about, and the different signs and cells of its weights at most; a block's weights are broadcast, 64 MB at most.
-CASES, SIGNS, CELLS = 1024, 1 << 17, 1 << 24
+
+# What a sign counts, by the most records that have it; more common ones count least.
+TIERS, LEAST = ((1, 4.0), (2, 3.5), (4, 3.0), (8, 2.5)), 2.0
+# Fixed value: a contradiction takes away one more than the sign would give, and at least this.
+LEAST_PENALTY = 4.0
+#: Kinds of weighed marks.
+SUPPORT, CONTRADICTION, BONUS = 1, -1, 0
 
 
 def frequencies(indicators: DataFrame) -> DataFrame:
@@ -48,12 +48,21 @@ def frequencies(indicators: DataFrame) -> DataFrame:
 
 def weight(frequency: Column) -> Column:
     """What a sign counts: the rarer, the more."""
-    return F.when(frequency <= 1, 4.0).when(frequency == 2, 3.5).when(frequency <= 4, 3.0).when(frequency <= 8, 2.5).otherwise(2.0)
+    out = F.lit(LEAST)
+    for most, counts in reversed(TIERS):
+        out = F.when(frequency <= most, counts).otherwise(out)
+    return out
 
 
 def penalty(frequency: Column) -> Column:
     """What a contradiction takes away."""
-    return F.greatest(F.lit(4.0), weight(frequency) + 1)
+    return F.greatest(F.lit(LEAST_PENALTY), weight(frequency) + 1)
+
+
+def weigh(kind: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """Signed weights of marks of each kind; a sign that no record lists counts as one that a single record has."""
+    w = np.array([counts for _, counts in TIERS] + [LEAST])[np.searchsorted([most for most, _ in TIERS], frequency)]
+    return np.where(kind == SUPPORT, w, np.where(kind == CONTRADICTION, -np.maximum(LEAST_PENALTY, w + 1), 1.0))
 
 
 def support(indicators: DataFrame, symptoms: DataFrame) -> DataFrame:
@@ -68,67 +77,16 @@ def support(indicators: DataFrame, symptoms: DataFrame) -> DataFrame:
 
 
 def top_support(listed: DataFrame, symptoms: DataFrame, k: int = TOP) -> DataFrame:
-    """(case_id long, record_id long, score, n_matched): the best k records of each case by ``support``, and more, ties by record_id.
+    """(case_id, record_id, score, n_matched): the best k records of each case by ``support``, and more, ties by record_id.
 
-    ``listed`` has (record_id, keys: array of signs), ``symptoms`` (case_id, key).
-    Cases come in blocks whose weights are broadcast after a check of their size;
-    each record meets a block once, as a row of a matrix product, and a batch of
-    records keeps k of each case, so pairs of cases and records are never rows.
-    Larger sets of cases make more blocks, each a pass over the records.
+    ``listed`` has (record_id long, keys: array of signs), ``symptoms`` (case_id, key).
     """
-    symptoms = symptoms.select("case_id", "key").distinct()
-    found = symptoms.agg(F.countDistinct("case_id").alias("cases"), F.count("*").alias("signs")).first()
-    blocks = max(1, -(-found["cases"] // CASES), -(-found["signs"] // SIGNS))
-    wanted = symptoms.select("key").distinct()
-    once = listed.select(F.explode(F.array_distinct("keys")).alias("key")).join(F.broadcast(wanted) if found["signs"] <= SIGNS else wanted, "key", "left_semi")
-    known = once.groupBy("key").agg(F.count("*").alias("frequency"))
-    parts = []
-    for b in range(blocks):
-        own = symptoms.where(F.pmod(F.xxhash64("case_id"), F.lit(blocks)) == b).join(known.select("key", weight(F.col("frequency")).alias("w")), "key").toArrow()
-        if own.num_rows:
-            parts += [listed.select("record_id", "keys").mapInArrow(_scorer(listed.sparkSession, *x, k), _SUPPORT) for x in _weights(own)]
-    return reduce(DataFrame.unionByName, parts) if parts else listed.sparkSession.createDataFrame([], _SUPPORT)
-
-
-_SUPPORT = "case_id long, record_id long, score double, n_matched long"
-
-
-def _weights(own: pa.Table) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
-    """Cases, signs, and the weights of signs by cases, in parts of at most CELLS cells."""
-    cases, signs = pc.unique(own.column("case_id")), pc.unique(own.column("key"))
-    row, column = (pc.index_in(own.column(c), v).to_numpy() for c, v in (("key", signs), ("case_id", cases)))
-    w, most = own.column("w").to_numpy(), max(1, CELLS // len(signs))
-    for a in range(0, len(cases), most):
-        at = (column >= a) & (column < a + most)
-        out = np.zeros((len(signs), min(most, len(cases) - a)), dtype=np.float32)
-        out[row[at], column[at] - a] = w[at]
-        yield cases.to_numpy()[a : a + most], signs, out
-
-
-def _scorer(spark, cases: np.ndarray, signs: pa.Array, weights: np.ndarray, k: int):
-    shared = spark.sparkContext.broadcast((cases, signs, weights))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cases, signs, weights = shared.value
-        rows = max(1, CELLS // len(signs))
-        for batch in batches:
-            for a in range(0, batch.num_rows, rows):
-                part = batch.slice(a, rows)
-                keys, ids = part.column("keys"), part.column("record_id").to_numpy()
-                at, of = pc.index_in(keys.flatten(), signs), pc.list_parent_indices(keys)
-                has = at.is_valid()
-                held = np.zeros((part.num_rows, len(signs)), dtype=np.float32)
-                np.add.at(held, (of.filter(has).to_numpy(), at.filter(has).to_numpy()), 1)  # a sign listed twice counts twice
-                # Sums of multiples of a half are exact.
-                score = held @ weights
-                order = np.lexsort((np.broadcast_to(ids[:, None], score.shape), -score), axis=0)[:k]
-                best = np.take_along_axis(score, order, axis=0)
-                i, j = np.nonzero(best > 0)
-                r = order[i, j]
-                n = np.einsum("ij,ij->i", held[r], (weights > 0).T[j])
-                yield pa.record_batch([pa.array(cases[j], pa.int64()), pa.array(ids[r], pa.int64()), pa.array(score[r, j].astype(np.float64)), pa.array(n.astype(np.int64))], names=["case_id", "record_id", "score", "n_matched"])
-
-    return run
+    wanted = symptoms.where("key is not null").select("case_id", F.col("key").alias("mark"), F.col("key").alias("counted"), F.lit(SUPPORT).alias("kind")).distinct()
+    best = best_records(listed.select("record_id", F.col("record_id").alias("pos"), F.col("keys").alias("marks")), wanted, weigh, k)
+    # Only the records kept are looked at again.
+    keys = symptoms.groupBy("case_id").agg(F.collect_set("key").alias("own"))
+    kept = top_per_case(best, "pos", k).join(keys, "case_id").join(listed.select("record_id", "keys"), "record_id")
+    return kept.select("case_id", "record_id", "score", F.size(F.filter("keys", lambda x: F.array_contains("own", x))).cast("long").alias("n_matched"))
 
 
 def contradiction(exclusions: DataFrame, indicators: DataFrame, symptoms: DataFrame) -> DataFrame:
@@ -208,23 +166,30 @@ def rank_cases(records: DataFrame, cases: DataFrame, media: DataFrame, policies:
     case_id, slot.  Ties keep the catalogue's order.  A case without any match is
     not in the result.
     """
-    listed = lambda column: records.select("record_id", F.posexplode(column).alias("pos", "sign")).withColumn("key", T.normalise(F.col("sign")))
-    indicators, exclusions = listed("indicators"), listed("exclusions")
-    symptoms = cases.select("case_id", F.explode("symptoms").alias("sign")).select("case_id", T.normalise(F.col("sign")).alias("key")).distinct()
-    freq = frequencies(indicators)
-    hits = indicators.join(symptoms, "key").join(freq, "key").select("case_id", "record_id", weight(F.col("frequency")).alias("score"), F.struct("pos", "sign").alias("sign"), F.lit(True).alias("good"))
-    against = exclusions.join(symptoms, "key").join(freq, "key", "left").select("case_id", "record_id", (-penalty(F.coalesce("frequency", F.lit(1)))).alias("score"), F.struct("pos", "sign").alias("sign"), F.lit(False).alias("good"))
+    keys = lambda column: F.transform(F.coalesce(F.col(column), F.expr("cast(array() as array<string>)")), T.normalise)
+    tagged = lambda tag, values: F.transform(values, lambda x: F.concat(F.lit(tag), x))
+    marks = F.concat(
+        tagged("+", keys("indicators")), tagged("-", keys("exclusions")),
+        tagged("s", F.array_distinct(F.coalesce("stages", F.expr("cast(array() as array<string>)")))), F.array(F.concat(F.lit("c"), "category")))
+    symptoms = cases.select("case_id", F.explode("symptoms").alias("sign")).select("case_id", T.normalise(F.col("sign")).alias("key")).where("key is not null").distinct()
     slots = media.groupBy("case_id").agg(*[F.bool_or(F.col("slot") == s).alias(s) for s in SLOTS])
-    nothing = F.lit(None).cast("struct<pos:int,sign:string>")
-    bonus = lambda pairs: pairs.select("case_id", "record_id", F.lit(1.0).alias("score"), nothing.alias("sign"), F.lit(None).cast("boolean").alias("good"))
-    staged = cases.where("stage <> ''").select("case_id", "stage").join(records.select("record_id", F.explode(F.array_distinct("stages")).alias("stage")), "stage")
-    viewed = [slots.where(F.col(slot)).select("case_id", F.explode(F.array(*[F.lit(c) for c in names])).alias("category")).join(records.select("record_id", "category"), "category") for slot, names in (("root-crown", ROOT), ("underside", ARTHROPOD))]
-    parts = hits.unionByName(against)
-    for pairs in (staged, *viewed):
-        parts = parts.unionByName(bonus(pairs))
-    signs = lambda good: F.transform(F.array_sort(F.collect_list(F.when(F.col("good") == good, F.col("sign")))), lambda s: s["sign"])
-    pairs = parts.groupBy("case_id", "record_id").agg(F.sum("score").alias("score"), signs(True).alias("supporting"), signs(False).alias("contradicting"))
-    best = top_per_case(pairs.join(records.select("record_id", "catalog_pos"), "record_id"), "catalog_pos", k)
+    asks = lambda rows, mark, counted, kind: rows.select("case_id", mark.alias("mark"), counted.alias("counted"), F.lit(kind).alias("kind"))
+    own = F.concat(F.lit("+"), "key")
+    wanted = asks(symptoms, own, own, SUPPORT).unionByName(asks(symptoms, F.concat(F.lit("-"), "key"), own, CONTRADICTION))
+    staged = F.concat(F.lit("s"), "stage")
+    wanted = wanted.unionByName(asks(cases.where("stage <> ''"), staged, staged, BONUS))
+    for slot, names in (("root-crown", ROOT), ("underside", ARTHROPOD)):
+        seen = cases.select("case_id").join(slots.where(F.col(f"`{slot}`")).select("case_id"), "case_id").select("case_id", F.explode(F.array(*[F.lit(f"c{c}") for c in names])).alias("mark"))
+        wanted = wanted.unionByName(asks(seen, F.col("mark"), F.col("mark"), BONUS))
+    found = best_records(records.select("record_id", F.col("catalog_pos").cast("long").alias("pos"), marks.alias("marks")), wanted, weigh, k)
+    best = top_per_case(found, "pos", k).drop("pos")
+    # Lists are made of the records kept alone.
+    of = lambda column: F.filter(column, lambda sign: F.array_contains("selected", T.normalise(sign))).alias(f"of_{column}")
+    selected = symptoms.groupBy("case_id").agg(F.collect_set("key").alias("selected"))
+    best = best.join(selected, "case_id", "left").withColumn("selected", F.coalesce("selected", F.expr("cast(array() as array<string>)")))
+    best = best.join(records.select("record_id", "indicators", "exclusions"), "record_id")
+    nothing = F.expr("cast(array() as array<string>)")
+    best = best.select("case_id", "record_id", "rank", "score", "next_score", F.coalesce(of("indicators"), nothing).alias("supporting"), F.coalesce(of("exclusions"), nothing).alias("contradicting"))
     facts = resolve_policy(records.drop("indicators", "exclusions", "stages", "catalog_pos"), policies, slug_policies)
     out = best.join(facts, "record_id").join(cases.drop("symptoms"), "case_id").join(slots, "case_id", "left")
     has = {s: F.coalesce(F.col(f"`{s}`"), F.lit(False)) for s in SLOTS}

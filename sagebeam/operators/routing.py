@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sagebeam.functions import keywords
 from sagebeam.functions import text as T
 
 HOST_TERMS = ("cannabis", "hemp")
@@ -39,14 +40,29 @@ def lane(record: Column, host_context: Column, host_species: Column, hosts: tupl
     return F.when(host.contains("cross-crop"), TRANSFER).when(host == "organism-only", GATED).when(~T.contains_any(record, hosts), foreign).otherwise(first_lane(record, LANES, GATED))
 
 
+def routed(rows: DataFrame, record: str, host_context: str, host_species: str, hosts: tuple[str, ...] = HOST_TERMS, lanes: dict[str, tuple[str, ...]] = LANES) -> DataFrame:
+    """``rows`` with ``lane``, as by ``lane``, and ``home``: whether the text names the own host.  However many keywords there are, a text is read once."""
+    marked = rows.withColumn("_found", keywords.groups_in(F.col(record), [hosts, *lanes.values()]))
+    home, found = F.array_contains("_found", 0), F.array_min(F.filter("_found", lambda g: g > 0))
+    by_word = F.when(found.isNotNull(), F.get(F.array(*[F.lit(k) for k in lanes]), found - 1)).otherwise(GATED)
+    host, species = (F.lower(T.strip(F.coalesce(F.col(c), F.lit("")))) for c in (host_context, host_species))
+    foreign = F.when((host != "") | (species != ""), TRANSFER).otherwise(GATED)
+    out = F.when(host.contains("cross-crop"), TRANSFER).when(host == "organism-only", GATED).when(~home, foreign).otherwise(by_word)
+    return marked.withColumns({"lane": out, "home": home}).drop("_found")
+
+
 def lane_counts(routed: DataFrame, lanes: DataFrame) -> DataFrame:
     """Rows of every lane of the dimension ``lanes(lane)``, those without any too."""
     return lanes.join(routed.groupBy("lane").agg(F.count("*").alias("n")), "lane", "left").select("lane", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def assert_kept_home(routed: DataFrame, text: str, hosts: tuple[str, ...] = HOST_TERMS) -> DataFrame:
-    """``routed``, stopping at a record that names the own host and is in the transfer lane all the same, as one with a cross-crop host would be."""
-    wrong = (F.col("lane") == TRANSFER) & T.contains_any(F.col(text), hosts)
+    """``routed``, stopping at a record that names the own host and is in the transfer lane all the same, as one with a cross-crop host would be.
+
+    The column ``home`` tells who names the host, where there is one, else ``text`` is searched.
+    """
+    home = F.col("home") if "home" in routed.columns else T.contains_any(F.col(text), hosts)
+    wrong = (F.col("lane") == TRANSFER) & home
     return routed.where(F.when(wrong, F.raise_error(F.lit("a record of the own host is routed to transfer")).cast("boolean")).isNull())
 
 

@@ -257,7 +257,7 @@ def nine_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     species = F.when(source == "src4", "Hemp crop").when(source == "src5", "tomato").otherwise("")
     rows = spread(_docs(spark, sf_dir)).select("doc_id", host.alias("host_context"), species.alias("host_species"), T.lineage(F.col("text"), F.when(F.col("lang") == "de", F.lit("Hemp")), F.col("source")).alias("blob"))
     rows = rows.withColumn("blob", F.when(F.col("host_context") == "Cross-Crop figure", "a figure of another crop").otherwise(F.col("blob")))
-    routed = rows.withColumn("lane", routing.lane(F.col("blob"), F.col("host_context"), F.col("host_species")))
+    routed = routing.routed(rows, "blob", "host_context", "host_species")
     checked = routing.assert_kept_home(routed, "blob")
     lanes = spark.createDataFrame([(k,) for k in (*routing.LANES, routing.TRANSFER, routing.GATED)], "lane string")
     return routing.lane_counts(checked, lanes)

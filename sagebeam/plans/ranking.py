@@ -14,14 +14,12 @@ EXCLUDED = ("the", "and", "of", "le", "la", "der", "die", "que", "de")
 
 
 def _signs(spark: SparkSession, sf_dir: str, name: str, key: str, alias: str) -> DataFrame:
-    words = F.filter(F.array_distinct(F.split(F.lower("text"), _TOKEN)), lambda w: w != "")
-    return table(spark, sf_dir, name).select(F.col(key).alias(alias), F.explode(words).alias("key"))
+    return table(spark, sf_dir, name).select(F.col(key).alias(alias), F.explode(_words("text")).alias("key"))
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best documents of each benchmark item by the words that they share."""
-    words = F.filter(F.array_distinct(F.split(F.lower("text"), _TOKEN)), lambda w: w != "")
-    listed = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("record_id"), words.alias("keys")).where("keys is not null")
+    listed = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("record_id"), _words("text").alias("keys")).where("keys is not null")
     return ranking.top_per_case(ranking.top_support(listed, _signs(spark, sf_dir, "benchmark", "item_id", "case_id")), "record_id")
 
 
@@ -88,6 +86,73 @@ FROM capped
 """
 
 
+def _words(column: str):
+    return F.filter(F.array_distinct(F.split(F.lower(column), _TOKEN)), lambda w: w != "")
+
+
+def rank_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as cases against documents as records, with contradictions, bonuses, policies and lists.
+
+    Words are signs; common ones speak against English documents.  Languages stand
+    for categories, sources for slugs and stages.
+    """
+    docs, items = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
+    lang, source, words = F.col("lang"), F.col("source"), _words("text")
+    common = F.array(*[F.lit(w) for w in EXCLUDED])
+    nothing = F.expr("cast(array() as array<string>)")
+    records = docs.select(
+        F.col("doc_id").alias("record_id"), F.col("doc_id").alias("catalog_pos"), F.when(lang == "en", "Insect").when(lang == "fr", "Mite").when(lang == "de", "Root pathogen").otherwise("Virus").alias("category"),
+        source.alias("slug"), F.concat_ws("-", source, lang).alias("canonical_id"), F.when(source == "src4", "P-OWN").alias("response_policy_id"), F.when(source == "src5", 55.0).alias("photo_cap"),
+        F.when(lang == "en", F.array_except(words, common)).otherwise(words).alias("indicators"), F.when(lang == "en", F.array_intersect(words, common)).otherwise(nothing).alias("exclusions"), F.array(source).alias("stages"))
+    case = F.col("item_id")
+    cases = items.select(case.alias("case_id"), F.when(case % 3 == 0, "src1").otherwise("").alias("stage"), F.when(case % 2 == 0, "6.1").otherwise("").alias("ph"), F.lit("1.2").alias("ec"), F.lit("").alias("watering"), _words("text").alias("symptoms"))
+    seen = F.array_compact(F.array(*[F.when(has, F.lit(slot)) for has, slot in ((case % 5 != 0, "whole-plant"), (case % 7 != 0, "close-up"), (case % 2 == 0, "underside"), (case % 4 == 0, "root-crown"))]))
+    media = items.select(case.alias("case_id"), F.explode(seen).alias("slot"))
+    policies = spark.createDataFrame(
+        [("POL-DEFAULT", [], 0.8, "provisional_only", [], 0), ("P-OWN", [], 0.92, "true", [], 1), ("P-CAN", ["src1-en", "src1-fr"], 0.5, "false", ["second reader", "source check"], 2), ("P-SLUG", [], 93.0, "false", [], 3)],
+        "policy_id string, canonical_ids array<string>, cap double, can_confirm string, required array<string>, ord int")
+    out = ranking.rank_cases(records, cases, media, policies, spark.createDataFrame([("src2", "P-SLUG")], "slug string, slug_policy string"))
+    listed = lambda c: F.array_join(F.array_sort(c), " ").alias(c)
+    return out.select("case_id", F.col("rank").cast("long").alias("rank"), "record_id", "score", "confidence", listed("supporting"), listed("contradicting"), F.array_join("missing", "|").alias("missing"))
+
+
+_RANK_CASES = f"""
+WITH tok AS (SELECT doc_id, lang, source, unnest(list_filter(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')), lambda x: x <> '')) AS key FROM documents),
+signs AS MATERIALIZED (SELECT doc_id AS record_id, key, lang = 'en' AND key IN {EXCLUDED} AS bad FROM tok),
+sym AS MATERIALIZED (SELECT item_id AS case_id, unnest(list_filter(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')), lambda x: x <> '')) AS key FROM benchmark),
+freq AS (SELECT key, count(*) AS f FROM signs WHERE NOT bad GROUP BY key),
+w AS (SELECT key, CASE WHEN f <= 1 THEN 4.0 WHEN f = 2 THEN 3.5 WHEN f <= 4 THEN 3.0 WHEN f <= 8 THEN 2.5 ELSE 2.0 END::DOUBLE AS w FROM freq),
+parts AS (
+  SELECT case_id, record_id, CASE WHEN bad THEN -greatest(4.0, coalesce(w, 4.0) + 1) ELSE w END AS v, CASE WHEN NOT bad THEN key END AS good, CASE WHEN bad THEN key END AS ill
+  FROM sym JOIN signs USING (key) LEFT JOIN w USING (key)
+  UNION ALL SELECT item_id, doc_id, 1.0, NULL, NULL FROM benchmark JOIN documents ON item_id % 3 = 0 AND source = 'src1'
+  UNION ALL SELECT item_id, doc_id, 1.0, NULL, NULL FROM benchmark JOIN documents ON item_id % 4 = 0 AND lang = 'de'
+  UNION ALL SELECT item_id, doc_id, 1.0, NULL, NULL FROM benchmark JOIN documents ON item_id % 2 = 0 AND lang IN ('en', 'fr')),
+pairs AS (
+  SELECT case_id, record_id, sum(v)::DOUBLE AS score, coalesce(string_agg(good, ' ' ORDER BY good), '') AS supporting, coalesce(string_agg(ill, ' ' ORDER BY ill), '') AS contradicting, count(good) AS n, count(ill) AS m
+  FROM parts GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, record_id) - 1 AS rank FROM pairs WHERE score > 0),
+top AS (SELECT *, lead(score) OVER (PARTITION BY case_id ORDER BY rank) AS next_score FROM placed WHERE rank < 4),
+facts AS (
+  SELECT top.*, source, lang, CASE lang WHEN 'en' THEN 'I' WHEN 'fr' THEN 'M' WHEN 'de' THEN 'R' ELSE 'V' END AS c, case_id % 5 <> 0 AS whole, case_id % 7 <> 0 AS close, case_id % 2 = 0 AS under, case_id % 4 = 0 AS root,
+    rank = 0 AND next_score IS NOT NULL AND score - next_score < 2 AS tight,
+    CASE WHEN source = 'src4' THEN 'own' WHEN source = 'src1' AND lang IN ('en', 'fr') THEN 'can' WHEN source = 'src2' THEN 'slug' ELSE 'default' END AS policy
+  FROM top JOIN documents ON doc_id = record_id),
+gated AS (
+  SELECT *, least(CASE WHEN score >= 10 AND n >= 3 AND m = 0 THEN 2 WHEN score >= 5 AND n >= 2 THEN 1 ELSE 0 END,
+    CASE WHEN c = 'V' OR (c = 'R' AND NOT root) OR (c = 'M' AND NOT under) THEN 0 WHEN (c = 'I' AND NOT under) OR NOT whole OR NOT close THEN 1 ELSE 2 END) AS gate
+  FROM facts),
+capped AS (SELECT *, least(gate, CASE WHEN source = 'src5' THEN 0 WHEN policy = 'own' THEN 2 WHEN policy = 'can' THEN 0 WHEN policy = 'slug' THEN 2 ELSE 1 END) AS level FROM gated)
+SELECT case_id, CAST(rank AS BIGINT) AS rank, record_id, score, CASE CASE WHEN rank > 0 OR tight THEN least(level, 1) ELSE level END WHEN 2 THEN 'High' WHEN 1 THEN 'Moderate' ELSE 'Low' END AS confidence, supporting, contradicting,
+  concat_ws('|', CASE WHEN NOT whole THEN 'whole-plant view' END, CASE WHEN NOT close THEN 'affected-tissue close-up' END, CASE WHEN c IN ('I', 'M') AND NOT under THEN 'leaf-underside image' END,
+    CASE WHEN c = 'R' AND NOT root THEN 'root or crown view' END, CASE WHEN c = 'V' THEN 'validated laboratory test' END, CASE WHEN c = 'R' AND NOT under THEN 'measured pH' END,
+    CASE WHEN c = 'R' THEN 'recent irrigation / substrate-moisture context' END, CASE WHEN level <> gate THEN 'response policy limits photo-only confidence' END,
+    CASE policy WHEN 'can' THEN 'confirmation: second reader|confirmation: source check' WHEN 'slug' THEN 'non-visual confirmation required by issue confidence policy' END,
+    CASE WHEN tight THEN 'additional discriminating evidence between the leading look-alikes' END) AS missing
+FROM capped
+"""
+
+
 def contradiction_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Common words stand for exclusions: what they take away from each case, summed over its documents."""
     signs = _signs(spark, sf_dir, "documents", "doc_id", "record_id")
@@ -191,6 +256,7 @@ WHERE NOT EXISTS (SELECT 1 FROM conversations AS n WHERE n.conv_id = c.conv_id A
 QUERIES: dict[str, Entry] = {
     "rarity_rank_top4": (rarity_rank_top4, _RANK),
     "rank_confidence_gated": (rank_confidence_gated, _GATED),
+    "rank_cases": (rank_cases, _RANK_CASES),
     "contradiction_penalty": (contradiction_penalty, _PENALTY),
     "adjudicate_users": (adjudicate_users, _ADJUDICATE),
     "evidence_score_order": (evidence_score_order, _EVIDENCE),

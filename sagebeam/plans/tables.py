@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sagebeam.operators.shared import scratch  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 #: A query and its SQL, or None where SQL cannot express it.
 Entry = tuple[Query, str | None]
@@ -24,13 +24,3 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     at_once = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(at_once) if rows.rdd.getNumPartitions() < at_once else rows
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; a local session without one gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sagebeam-")
-    return f"{found.rstrip('/')}/sagebeam-{name}-{uuid.uuid4().hex[:10]}"

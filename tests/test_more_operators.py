@@ -11,7 +11,7 @@ from pyspark.sql import types as t
 
 from sagebeam.functions import paths
 from sagebeam.functions import text as T
-from sagebeam.operators import coverage, dedup, media, merging, ordered, ranking, routing, validation
+from sagebeam.operators import coverage, dedup, media, merging, ordered, ranking, routing, scoring, validation
 from sagebeam.sources import documents, sinks
 
 
@@ -32,11 +32,13 @@ def test_block_scores_are_those_of_the_joins(spark, monkeypatch):
     asked = [(i, rng.choice(signs)) for i in range(20) for _ in range(6)]
     records, symptoms = spark.createDataFrame(listed, "record_id long, keys array<string>"), spark.createDataFrame(asked, "case_id long, key string")
     scored = ranking.support(records.select("record_id", F.explode("keys").alias("key")), symptoms).withColumnRenamed("supporting", "score")
-    monkeypatch.setattr(ranking, "CASES", 7)
-    monkeypatch.setattr(ranking, "CELLS", 64)
+    monkeypatch.setattr(scoring, "WEIGHTS", 40)
+    monkeypatch.setattr(scoring, "CELLS", 64)
     best = lambda f: sorted(map(tuple, ranking.top_per_case(f, "record_id").select("case_id", "rank", "record_id", "score", "n_matched").collect()))
     assert best(ranking.top_support(records.repartition(3), symptoms)) == best(scored)
     assert ranking.top_support(records, symptoms.limit(0)).count() == 0
+    named = ranking.top_support(records.withColumn("record_id", F.col("record_id")), symptoms.withColumn("case_id", F.concat(F.lit("c"), "case_id")))
+    assert named.count() == len(best(scored)) and named.schema["case_id"].dataType.simpleString() == "string"
 
 
 def test_hamming_search_with_every_number_of_bands(spark, monkeypatch):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 
-from sagebeam.operators import ranking
+from sagebeam.operators import ranking, scoring
 
 RECORD = "record_id string, catalog_pos int, category string, slug string, canonical_id string, response_policy_id string, photo_cap double, indicators array<string>, exclusions array<string>, stages array<string>"
 CASE = "case_id string, stage string, ph string, ec string, watering string, symptoms array<string>"
@@ -64,6 +67,37 @@ def test_contradictions_and_bonuses(spark):
     assert got["b"]["score"] == 1.0 and got["b"]["supporting"] == []
 
 
+def test_signs_in_common_count_by_their_rarity_for_many_cases(spark, monkeypatch):
+    """All pairs by hand: signed weights, repeated signs, bonuses, ties by place; several blocks and tiles give the same."""
+    rng = random.Random(4)
+    signs = [f"s{i}" for i in range(25)]
+    some = lambda n: [rng.choice(signs) for _ in range(rng.randrange(n))]
+    kinds = ("Mite", "Root pathogen", "Virus", "Environmental stress")
+    records = [record(f"r{i}", some(9), 100 - i, category=rng.choice(kinds), exclusions=some(4), stages=rng.sample(["bloom", "seedling"], rng.randrange(3))) for i in range(60)]
+    cases = [(f"c{i}", rng.choice(["", "bloom"]), "", "", "", some(8)) for i in range(15)]
+    media = [(c[0], v) for c in cases for v in rng.sample(VIEWS, rng.randrange(4))]
+    frequency = Counter(s for r in records for s in set(r[7]))
+    tier = lambda s: next((w for most, w in ranking.TIERS if frequency[s] <= most), ranking.LEAST)
+    want = {}
+    for name, stage, *_, symptoms in cases:
+        chosen, views, scored = set(symptoms), {v for c, v in media if c == name}, []
+        for r in records:
+            good, bad = [s for s in r[7] if s in chosen], [s for s in r[8] if s in chosen]
+            score = sum(map(tier, good)) - sum(max(4.0, tier(s) + 1) for s in bad) + (stage != "" and stage in r[9])
+            score += ("root-crown" in views and r[2] in ranking.ROOT) + ("underside" in views and r[2] in ranking.ARTHROPOD)
+            if score > 0:
+                scored.append((-score, r[1], r[0], good, bad))
+        for place, (score, _, rec, good, bad) in enumerate(sorted(scored)[:4]):
+            want[name, place] = (rec, -score, good, bad)
+    frames = (spark.createDataFrame(records, RECORD).repartition(3), spark.createDataFrame(cases, CASE), spark.createDataFrame(media, "case_id string, slot string"))
+    policies = (spark.createDataFrame([("POL-DEFAULT", ["*"], 0.8, "true", [], 0)], POLICY), spark.createDataFrame([], "slug string, slug_policy string"))
+    got = lambda: {(r["case_id"], r["rank"]): (r["record_id"], r["score"], r["supporting"], r["contradicting"]) for r in ranking.rank_cases(*frames, *policies).collect()}
+    assert got() == want
+    monkeypatch.setattr(scoring, "WEIGHTS", 60)
+    monkeypatch.setattr(scoring, "CELLS", 100)
+    assert got() == want
+
+
 @pytest.mark.parametrize(("frequency", "weight"), [(1, 4.0), (2, 3.5), (4, 3.0), (8, 2.5), (9, 2.0)])
 def test_weights(spark, frequency, weight):
     from pyspark.sql import functions as F
