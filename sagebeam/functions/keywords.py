@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a piece, and pieces that step together.
@@ -31,6 +31,9 @@ class Automaton:
         ends: dict[bytes, set[int]] = {p: set() for p in prefixes}
         for w, g in words:
             ends[w].add(g)
+        longer: dict[bytes, list[tuple[int, int]]] = {p: [] for p in prefixes}
+        for p in prefixes[1:]:
+            longer[p[:-1]].append((p[-1], number[p]))
         self.step = np.zeros((len(prefixes), 256), dtype=np.int32)
         shorter = {b"": b""}
         for p in prefixes:  # by length, so that a shorter suffix's row is made before
@@ -39,15 +42,16 @@ class Automaton:
                 shorter[p] = prefixes[self.step[number[shorter[p[:-1]]], p[-1]]] if len(p) > 1 else b""
                 ends[p] |= ends[shorter[p]] if shorter[p] else set()
                 self.step[number[p]] = self.step[number[shorter[p]]]
-            for byte in range(256):
-                if (longer := p + bytes([byte])) in number:
-                    self.step[number[p], byte] = number[longer]
+            for byte, to in longer[p]:
+                self.step[number[p], byte] = to
         self.found = np.array([bool(ends[p]) and p != b"" for p in prefixes])
         self.groups = [np.array(sorted(ends[p]), dtype=np.int64) if p else np.zeros(0, dtype=np.int64) for p in prefixes]
         self.n = len(groups)
 
     def pairs(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, group), each once and ascending, for texts at ``starts`` of the bytes ``data``."""
+        if not len(starts):
+            return starts, starts
         stride = PIECE
         pieces = np.maximum(1, -(-np.maximum(sizes - self.longest + 1, 1) // stride))
         of = np.repeat(np.arange(len(starts)), pieces)
@@ -83,11 +87,42 @@ def groups_in(text: Column, groups: Sequence[Sequence[str]]) -> Column:
     Select it once and go on from the column, as it is no expression that Spark
     may move or repeat.
     """
-    machine = Automaton(groups)
+    return _column(Automaton(groups))(F.coalesce(text, F.lit("")))
 
+
+def _column(machine: Automaton):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield machine(batch)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<int>").asNondeterministic()(F.coalesce(text, F.lit("")))
+    return F.arrow_udf(run, "array<int>").asNondeterministic()
+
+
+#: Bytes of the keywords of one automaton at most; its table has a kilobyte for each.
+TABLE = 60_000
+
+
+def tables(terms: Sequence[str]) -> list[list[str]]:
+    """``terms`` in runs that fit an automaton each."""
+    out, size = [[]], 0
+    for t in terms:
+        if size and size + len(t.encode()) > TABLE:
+            out.append([])
+            size = 0
+        out[-1].append(t)
+        size += len(t.encode())
+    return out
+
+
+def with_terms(rows: DataFrame, text: str, terms: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, the numbers of the ``terms`` that the column ``text`` holds; the text is read once per ``TABLE`` bytes of terms."""
+    parts, at = [], 0
+    for i, run in enumerate(tables(terms)):
+        column, base = f"_{name}{i}", at
+        rows = rows.withColumn(column, groups_in(F.col(text), [(t,) for t in run]))
+        parts.append((column, base))
+        at += len(run)
+    shifted = lambda column, base: F.transform(F.col(column), lambda g: g + F.lit(base))
+    found = F.concat(*[shifted(*p) for p in parts])
+    return rows.withColumn(name, found).drop(*[c for c, _ in parts])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebeam.operators import coverage, ordered
+from sagebeam.operators import coverage, gates, ordered
 from sagebeam.operators import validation as V
 from sagebeam.plans.tables import Entry, spread, table
 
@@ -219,6 +219,88 @@ _CONTENT = _sql("WITH r AS (SELECT lower(text) AS t, list_distinct(string_split(
     "cap too high": "n / 5000.0 <= 0.65", "media flagged": "n <= 4000"}, "records")
 
 
+def gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records under a table of rules: no long word of the benchmark in any, and what sources and languages must hold; how many records fail each rule."""
+    words = F.array_distinct(F.split(F.lower("text"), " "))
+    nothing = F.expr("cast(array() as array<string>)")
+    facet = lambda field, items, number=None: F.struct(F.lit(field).alias("field"), items.alias("items"), (F.lit(None).cast("double") if number is None else number).alias("number"))
+    docs = spread(table(spark, sf_dir, "documents"))
+    scopes = F.array(F.concat(F.lit("slug:"), "source"), F.concat(F.lit("category:"), "lang"), F.lit("all"))
+    facets = docs.select(F.col("doc_id").alias("record_id"), F.array_compact(scopes).alias("scopes"), F.inline(F.array(facet("text", F.array(F.col("text"))), facet("words", words), facet("lines", F.split("text", "\n")), facet("cap", nothing, F.col("n_chars") / 5000))))
+    long_words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("value")).where("length(value) >= 6").distinct()
+    lacks = long_words.select(F.concat(F.lit("lacks "), "value").alias("rule"), F.lit("all").alias("scope"), F.lit("text").alias("field"), F.lit("lacks").alias("kind"), "value", F.lit(None).cast("double").alias("number"))
+    sources, langs = (docs.select(F.concat(F.lit(tag), c).alias("scope")).where("scope is not null").distinct() for tag, c in (("slug:", "source"), ("category:", "lang")))
+    rule = lambda rows, field, kind, value=None, number=None: rows.select(F.lit(f"{field} {kind} {value if number is None else number}").alias("rule"), "scope", F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(value).cast("string").alias("value"), F.lit(number).cast("double").alias("number"))
+    rules = lacks
+    for more in (
+        rule(sources, "text", "holds", "the"), rule(sources, "text", "matches", "e[rn] [a-d]"), rule(langs, "text", "matches_case", "^[A-Z]"), rule(langs, "words", "lists", "de"), rule(langs, "words", "none", "the"), rule(langs, "words", "some", "ou"),
+        rule(sources, "words", "is", "the"), rule(langs, "lines", "size", number=1), rule(sources, "lines", "least", number=3), rule(langs, "cap", "most", number=0.65), rule(sources, "licence", "is", "open")):
+        rules = rules.unionByName(more)
+    return gates.violations(facets, rules).groupBy("rule", "scope").agg(F.count("*").alias("n"), F.count("record_id").alias("n_records"))
+
+
+_GATES = """
+WITH r AS (SELECT doc_id, 'slug:' || source AS s, 'category:' || lang AS c, text, lower(text) AS t, list_distinct(string_split(lower(text), ' ')) AS w, string_split(lower(text), ' ')[1] AS first, len(string_split(text, chr(10))) AS lines, n_chars / 5000.0 AS cap FROM documents),
+words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS v FROM benchmark),
+v AS (
+  SELECT 'lacks ' || v AS rule, 'all' AS scope, doc_id FROM r JOIN words ON length(v) >= 6 AND contains(t, v)
+  UNION ALL SELECT 'text holds the', s, doc_id FROM r WHERE NOT contains(t, 'the')
+  UNION ALL SELECT 'text matches e[rn] [a-d]', s, doc_id FROM r WHERE NOT regexp_matches(t, 'e[rn] [a-d]')
+  UNION ALL SELECT 'text matches_case ^[A-Z]', c, doc_id FROM r WHERE NOT regexp_matches(text, '^[A-Z]')
+  UNION ALL SELECT 'words lists de', c, doc_id FROM r WHERE NOT list_contains(w, 'de')
+  UNION ALL SELECT 'words none the', c, doc_id FROM r WHERE list_contains(w, 'the')
+  UNION ALL SELECT 'words some ou', c, doc_id FROM r WHERE len(list_filter(w, lambda x: contains(x, 'ou'))) = 0
+  UNION ALL SELECT 'words is the', s, doc_id FROM r WHERE first <> 'the'
+  UNION ALL SELECT 'lines size 1', c, doc_id FROM r WHERE lines <> 1
+  UNION ALL SELECT 'lines least 3', s, doc_id FROM r WHERE lines < 3
+  UNION ALL SELECT 'cap most 0.65', c, doc_id FROM r WHERE cap > 0.65
+  UNION ALL SELECT DISTINCT 'licence is open', s, CAST(NULL AS BIGINT) FROM r)
+SELECT rule, scope, count(*) AS n, count(doc_id) AS n_records FROM v WHERE scope IS NOT NULL GROUP BY rule, scope
+"""
+
+
+def catalogue_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as records of the catalogue under its own gates: each stands for the record that its number picks, its turns for texts and media."""
+    slugs = sorted(gates.RECORD_GATES)
+    number, turns = F.col("conv_id"), table(spark, sf_dir, "conversations")
+    of = lambda role: F.array_compact(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]))
+    whole = turns.groupBy("conv_id").agg(of("user").alias("confirmation"), of("assistant").alias("warnings"), F.array_sort(F.collect_list("turn")).alias("turns"))
+    records = whole.select(
+        F.get(F.array(*[F.lit(s) for s in slugs]), F.pmod(number, F.lit(len(slugs))).cast("int")).alias("slug"), F.when(F.size("turns") > 3, "Bacterial pathogen").otherwise("Virus").alias("category"), F.when(F.size("turns") > 2, "reviewed").otherwise("draft").alias("reviewStatus"),
+        F.lit("Tetranychus urticae").alias("scientificName"), (F.size("turns") / 10).alias("photoOnlyMaxConfidence"), "confirmation", "warnings", F.array(F.lit("Iron deficiency"), F.lit("Pythium root rot")).alias("lookAlikes"),
+        F.transform("turns", lambda t: F.struct(t.cast("string").alias("id"), (t > 4).alias("trainingEligible"), F.array(F.lit("Four panels")).alias("useLimitations"))).alias("media"),
+        F.expr("array(named_struct('doi', cast(null as string), 'url', 'https://content.ces.ncsu.edu/twospotted-spider-mite'))").alias("sources"))
+    return gates.violations(gates.catalogue_facets(records), gates.catalogue_rules(spark)).groupBy("rule", "scope").agg(F.count("*").alias("n"), F.count("record_id").alias("n_records"))
+
+
+def _gates_sql() -> str:
+    tests = {
+        "holds": "NOT contains({t}, '{v}')", "matches": "NOT regexp_matches({t}, '{v}')", "matches_case": "NOT regexp_matches({x}, '{v}')", "lists": "NOT list_contains({l}, '{v}')", "is": "coalesce({l}[1] <> '{v}', true)", "some": "len(list_filter({l}, lambda y: contains(y, '{v}'))) = 0",
+        "none": "list_contains({l}, '{v}')", "size": "len({l}) <> {v}", "most": "cap > {v}"}
+    lists = {"media.id": "ids", "media.trainingEligible": "flags", "sources.doi": "[]", "sources.url": "['https://content.ces.ncsu.edu/twospotted-spider-mite']", "lookAlikes": "['Iron deficiency', 'Pythium root rot']", "scientificName": "['Tetranychus urticae']", "reviewStatus": "[status]", "photoOnlyMaxConfidence": "[]"}
+    out = []
+    for prefix, all_gates in (("slug", gates.RECORD_GATES), ("category", gates.CATEGORY_GATES)):
+        for name, asked in all_gates.items():
+            for field, kind, value in asked:
+                medium = field.startswith("media.") and field[6].isdigit()
+                items = "['Four panels']" if medium else lists.get(field, field)
+                failed = tests[kind].format(t=f"lower(array_to_string({items}, ' '))", x=f"array_to_string({items}, ' ')", l=items, v=value)
+                there = f" AND len(ids) > {field[6]}" if medium else ""
+                rule, scope = f"{name}: {field} {kind} {value}", f"{prefix}:{name}"
+                out.append(f"SELECT '{rule}' AS rule, '{scope}' AS scope, 1 AS known FROM r WHERE {prefix} = '{name}'{there} AND {failed}")
+                if prefix == "slug":
+                    out.append(f"SELECT '{rule}', '{scope}', NULL WHERE NOT EXISTS (SELECT 1 FROM r WHERE slug = '{name}'{there})")
+    slugs = ", ".join(f"'{s}'" for s in sorted(gates.RECORD_GATES))
+    return f"""
+WITH c AS (
+  SELECT conv_id, list(text ORDER BY turn, text) FILTER (role = 'user' AND text IS NOT NULL) AS confirmation, list(text ORDER BY turn, text) FILTER (role = 'assistant' AND text IS NOT NULL) AS warnings, list(CAST(turn AS VARCHAR) ORDER BY turn) AS ids,
+    list(CASE WHEN turn > 4 THEN 'true' ELSE 'false' END ORDER BY turn) AS flags FROM conversations GROUP BY conv_id),
+r AS (SELECT [{slugs}][conv_id % {len(gates.RECORD_GATES)} + 1] AS slug, CASE WHEN len(ids) > 3 THEN 'Bacterial pathogen' ELSE 'Virus' END AS category, CASE WHEN len(ids) > 2 THEN 'reviewed' ELSE 'draft' END AS status, len(ids) / 10.0 AS cap,
+  coalesce(confirmation, []) AS confirmation, coalesce(warnings, []) AS warnings, ids, flags FROM c)
+SELECT rule, scope, count(*) AS n, count(known) AS n_records FROM ({" UNION ALL ".join(out)}) GROUP BY rule, scope
+"""
+
+
 def binary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as binaries of a release: records against files, some of which are lost, empty or changed."""
     n, lang = F.col("n_chars"), F.col("lang")
@@ -418,6 +500,8 @@ QUERIES: dict[str, Entry] = {
     "split_implications": (split_implications, _IMPLIED),
     "reviewed_sources": (reviewed_sources, _REVIEWED),
     "content_gates": (content_gates, _CONTENT),
+    "gate_violations": (gate_violations, _GATES),
+    "catalogue_gates": (catalogue_gates, _gates_sql()),
     "binary_checks": (binary_checks, _BINARIES),
     "store_checks": (store_checks, _STORE),
     "release_counts": (release_counts, _RELEASE),
