@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sagebeam.functions import text as T
-from sagebeam.operators import adjudication, merging, ordered, ranking
+from sagebeam.operators import adjudication, merging, ordered, ranking, revisions
 from sagebeam.plans.tables import Entry, spread, table
 
 _TOKEN = "[^a-z0-9]+"
@@ -253,6 +253,28 @@ SELECT conv_id, turn, role FROM conversations AS c
 WHERE NOT EXISTS (SELECT 1 FROM conversations AS n WHERE n.conv_id = c.conv_id AND n.turn = c.turn + 1)
 """
 
+def revision_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as revisions of the turn of half their number, events as those of the user's event before: each chain's head, length and heads."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    forked = turns.select(F.concat_ws("-", F.lit("c"), "conv_id", F.lpad(F.col("turn").cast("string"), 5, "0")).alias("id"), F.when(F.col("turn") > 0, F.concat_ws("-", F.lit("c"), "conv_id", F.lpad(F.floor(F.col("turn") / 2).cast("string"), 5, "0"))).alias("before"))
+    by_user = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    name = lambda c: F.when(c.isNotNull(), F.concat(F.lit("e-"), F.lpad(c.cast("string"), 12, "0")))
+    followed = table(spark, sf_dir, "events").select(name(F.col("event_id")).alias("id"), name(F.lag("event_id").over(by_user)).alias("before"))
+    return revisions.chains(forked.where("not id <=> before").unionByName(followed), "id", "before")
+
+
+_CHAINS = """
+WITH RECURSIVE turns AS (SELECT DISTINCT conv_id, turn FROM conversations),
+rows AS MATERIALIZED (
+  SELECT format('c-{}-{:05d}', conv_id, turn) AS id, CASE WHEN turn > 0 THEN format('c-{}-{:05d}', conv_id, turn // 2) END AS before FROM turns
+  UNION ALL SELECT format('e-{:012d}', event_id), 'e-' || lpad(CAST(lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS VARCHAR), 12, '0') FROM events),
+walk AS (
+  SELECT id, id AS root, 0 AS depth FROM rows WHERE before IS NULL OR before NOT IN (SELECT id FROM rows)
+  UNION ALL SELECT r.id, w.root, w.depth + 1 FROM walk AS w JOIN rows AS r ON r.before = w.id),
+heads AS (SELECT w.*, NOT EXISTS (SELECT 1 FROM rows AS r WHERE r.before = w.id) AS is_head FROM walk AS w)
+SELECT root, arg_max(id, format('{:09d}', depth) || id) FILTER (is_head) AS head, CAST(max(depth) FILTER (is_head) + 1 AS BIGINT) AS length, count(*) FILTER (is_head) AS n_heads, count(*) AS n FROM heads GROUP BY root
+"""
+
 QUERIES: dict[str, Entry] = {
     "rarity_rank_top4": (rarity_rank_top4, _RANK),
     "rank_confidence_gated": (rank_confidence_gated, _GATED),
@@ -262,5 +284,6 @@ QUERIES: dict[str, Entry] = {
     "evidence_score_order": (evidence_score_order, _EVIDENCE),
     "evidence_resolve_shared": (evidence_resolve_shared, _SHARED),
     "frame_sampler": (frame_sampler, _FRAMES),
+    "revision_chains": (revision_chains, _CHAINS),
     "latest_unsuperseded": (latest_unsuperseded, _LATEST),
 }

@@ -7,7 +7,8 @@ import random
 import pytest
 
 from sagebeam.operators import ordered
-from sagebeam.streaming import rate_limit
+from sagebeam.operators import revisions as operators
+from sagebeam.streaming import rate_limit, revisions
 
 EVENTS = "key string, event_id long, seconds double"
 
@@ -54,3 +55,43 @@ def test_order_of_arrival_late_events_state_and_restart(rocks, tmp_path):
     assert dropped == 1
     # At the end only the last tick waits; all keys before it have left.
     assert kept[-1] is not None and kept[-1] <= 4 < max(k for k in kept if k is not None)
+
+
+ANALYSIS = "analysis_id string, supersedes_analysis_id string, response string"
+
+
+def test_store_of_analyses_takes_no_row_twice_and_overwrites_none(spark, tmp_path):
+    place, store = str(tmp_path / "in"), str(tmp_path / "store")
+    append = revisions.appender(store, ANALYSIS, reviewed=lambda s: s.createDataFrame([("a1",)], "id string"))
+
+    def run(rows):
+        spark.createDataFrame(rows, ANALYSIS).coalesce(1).write.mode("append").parquet(place)
+        query = spark.readStream.schema(ANALYSIS).parquet(place).writeStream.foreachBatch(append).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    all_rows = lambda what: sorted(tuple(r)[:-1] for r in revisions.kept(spark, store, ANALYSIS, what).collect())
+    run([("a1", None, "first"), ("a2", "a1", "second"), ("a2", "a1", "second"), ("x1", "lost", "?"), ("x2", "x1", "?")])
+    run([("a1", None, "changed"), ("a2", "a1", "other"), ("a2", "a1", "second"), ("a3", "a2", "third"), ("b", None, "1"), ("b", None, "2"), ("o1", "o2", ""), ("o2", "o1", ""), ("s", "s", ""), (None, None, "")])
+    want = [("a1", None, "first"), ("a2", "a1", "second"), ("a3", "a2", "third")]
+    assert all_rows("analyses") == want
+    reasons = {(r["analysis_id"], r["response"]): r["reason"] for r in revisions.kept(spark, store, ANALYSIS, "refused").collect()}
+    assert reasons == {("x1", "?"): revisions.UNKNOWN, ("x2", "?"): revisions.UNKNOWN, ("a1", "changed"): revisions.REVIEWED, ("a2", "other"): revisions.EXISTS,
+                       ("b", "1"): revisions.TWICE, ("b", "2"): revisions.TWICE, ("o1", ""): revisions.UNKNOWN, ("o2", ""): revisions.UNKNOWN, ("s", ""): revisions.UNKNOWN, (None, ""): revisions.UNKNOWN}
+    # A batch that failed after its writes runs again.
+    append(spark.createDataFrame([("a3", "a2", "third")], ANALYSIS), 1)
+    assert all_rows("analyses") == want
+    chain = operators.chains(revisions.kept(spark, store, ANALYSIS), "analysis_id", "supersedes_analysis_id").first()
+    assert (chain["root"], chain["head"], chain["length"], chain["n_heads"]) == ("a1", "a3", 3, 1)
+
+
+def test_lineage_of_long_chains_forks_and_circles(spark):
+    rows = [(i, i - 1 if i % 100 else None) for i in range(300)] + [(1000, 50), (1001, 50), (1002, 1001), (2000, 1999)]
+    got = {r["id"]: (r["root"], r["depth"], r["is_head"]) for r in operators.lineage(spark.createDataFrame(rows, "id long, before long"), "id", "before").collect()}
+    befores = {b for _, b in rows}
+    want = {i: (i - i % 100, i % 100, i not in befores) for i in range(300)} | {1000: (0, 51, True), 1001: (0, 51, False), 1002: (0, 52, True), 2000: (2000, 0, True)}
+    assert got == want
+    circle = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, None)], "id long, before long")
+    with pytest.raises(ValueError, match="circle"):
+        operators.lineage(circle, "id", "before")
+    assert [r["id"] for r in operators.lineage(circle, "id", "before", circles=True).collect()] == [4]
+    assert operators.lineage(circle.limit(0), "id", "before").count() == 0
