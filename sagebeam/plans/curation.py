@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagebeam.functions import text as T
-from sagebeam.operators import dedup, merging, routing, splits
+from sagebeam.operators import dedup, merging, metric_index, routing, splits
+from sagebeam.operators.shared import scratch, stored
 from sagebeam.plans.tables import Entry, spread, table
 
 
@@ -86,6 +87,24 @@ FROM firsts AS x JOIN firsts AS y ON x.word < y.word AND bit_count(xor(x.word, y
 """
 
 
+def near_dup_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label against a stored index of those with one: words at most four bits apart, by their smallest documents."""
+    hashed, labels = stored(_hashed(spark, sf_dir), "near-hashed"), table(spark, sf_dir, "labels").select("doc_id").distinct()
+    old, new = (hashed.join(labels, "doc_id", how).where("bits is not null").groupBy(F.col("bits").alias("word")).agg(F.min("doc_id").alias("first")) for how in ("left_semi", "left_anti"))
+    path = scratch(spark, "near-index")
+    metric_index.build(old, path)
+    found = metric_index.probe(new, path)
+    named = found.join(new.select(F.col("word").alias("new"), F.col("first").alias("new_doc")), "new").join(old.select(F.col("word").alias("old"), F.col("first").alias("old_doc")), "old")
+    return named.select("new_doc", "old_doc", "distance")
+
+
+_PROBE = _HASHED + """,
+old AS (SELECT word, min(doc_id) AS f FROM words WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY word),
+new AS (SELECT word, min(doc_id) AS f FROM words WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY word)
+SELECT new.f AS new_doc, old.f AS old_doc, CAST(bit_count(xor(new.word, old.word)) AS BIGINT) AS distance FROM new JOIN old ON bit_count(xor(new.word, old.word)) <= 4
+"""
+
+
 def near_dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup.near_groups(_hashed(spark, sf_dir), "doc_id", "bits")
     return out.select(F.col("member").alias("doc_id"), F.col("group").alias("group_id"), F.col("size").cast("long").alias("size"))
@@ -258,6 +277,7 @@ QUERIES: dict[str, Entry] = {
     "exact_dup_groups": (exact_dup_groups, _EXACT),
     "exact_cross_class": (exact_cross_class, _CROSS),
     "near_dup_edges": (near_dup_edges, _EDGES),
+    "near_dup_probe": (near_dup_probe, _PROBE),
     "near_dup_components": (near_dup_components, _COMPONENTS),
     "near_dup_cross_group": (near_dup_cross_group, _CROSS_GROUP),
     "near_dup_edge_counts": (near_dup_edge_counts, _EDGE_COUNTS),
