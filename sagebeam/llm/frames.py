@@ -130,8 +130,8 @@ def components(edges: DataFrame, name: str = "components") -> tuple[DataFrame, l
             return labels, [path]
 
 
-#: Rows of some hundred bytes at most that are broadcast: below 100 MB.
-BROADCAST_ROWS = 500_000
+#: Rows of some hundred bytes at most that are broadcast: below 100 MB.  Rows of a key below which it is not hot.
+BROADCAST_ROWS, HOT_ROWS = 500_000, 1000
 
 
 def meet(rows: DataFrame, other: DataFrame, key: str, n_other: int, name: str) -> DataFrame:
@@ -142,7 +142,7 @@ def meet(rows: DataFrame, other: DataFrame, key: str, n_other: int, name: str) -
     if n_other <= BROADCAST_ROWS:
         return rows.join(F.broadcast(other), key)
     rows, _ = stored(rows, name)
-    least = max(1000, int(rows.count() * HOT))
+    least = max(HOT_ROWS, int(rows.count() * HOT))
     hot, _ = stored(rows.groupBy(key).count().where(F.col("count") > least).select(key, F.lit(True).alias("_hot")), f"{name}-hot")
     marked = rows.join(F.broadcast(hot), key, "left")
     few = other.join(F.broadcast(hot.select(key)), key)
