@@ -1,8 +1,7 @@
-"""Order-dependent operators: prefix-sum admission, anchored rate limits, greedy packing, supersession."""
+"""Order-dependent operators: prefix-sum admission, anchored rate limits, supersession."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,31 +49,6 @@ def rate_limited(events: DataFrame, key: str, seconds: str, tie: str, window: in
     return folded.select(F.col("k").alias(key), F.col("tie").alias(tie), F.col("start").alias("window_start"), F.col("n").alias("count"), (F.col("n") <= most).alias("accepted"))
 
 
-def pack(items: DataFrame, group: list[str], name: str, size: str, bins: int) -> DataFrame:
-    """``items`` with the bin (from 0) of greedy packing: largest first, then by name, into the least loaded bin, the first of equals.
-
-    Sequential by nature: a group's items stream in order through one task that keeps
-    a number per bin.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, loads = object(), []
-        for batch in batches:
-            out, keys = [], list(zip(*(batch.column(g).to_pylist() for g in group), strict=True)) if group else [()] * batch.num_rows
-            for k, n in zip(keys, batch.column(size).to_pylist(), strict=True):
-                if k != at:
-                    at, loads = k, [(0, i) for i in range(bins)]
-                load, i = heapq.heappop(loads)
-                out.append(i)
-                heapq.heappush(loads, (load + n, i))
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "bin"])
-
-    dealt = items.repartition(*group) if group else items.repartition(1)
-    ordered = dealt.sortWithinPartitions(*group, F.desc(size), F.lower(name), name)
-    return ordered.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", bin int")
-
-
 def current(rows: DataFrame, key: str, supersedes: str) -> DataFrame:
     """Rows that no other row supersedes."""
     return rows.join(rows.where(F.col(supersedes).isNotNull()).select(F.col(supersedes).alias(key)), key, "left_anti")

@@ -6,14 +6,14 @@ import io
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from sagebeam.functions import text as T
 from sagebeam.operators import merging, ordered
-from sagebeam.plans.tables import Entry, scratch, table
-from sagebeam.sources import documents, sinks
+from sagebeam.plans.tables import Entry, scratch, spread, table
+from sagebeam.sources import documents, ranges, sinks
 
 T_SLIM = t.StructType([t.StructField("doc_id", t.LongType()), t.StructField("text", t.StringType()), t.StructField("lang", t.StringType())])
 
@@ -213,6 +213,59 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JSON = "SELECT doc_id, sha256(text) AS digest, lang FROM documents"
 
 
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in order as one JSON document with an envelope, printed by ranges and read again."""
+    path = f"{scratch(spark, 'document')}.json"
+    sinks.write_json_document(spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang"), path, "doc_id", head={"version": 1})
+    return documents.json_records(spark, path, T_SLIM).select("doc_id", F.sha2("text", 256).alias("digest"), "lang")
+
+
+def json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as batches of JSON arrays, a file each; of a conversation's records that of the last batch stands."""
+    path = scratch(spark, "batches")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text", F.col("role").alias("lang"), F.least("turn", F.lit(3)).alias("batch"), "turn")
+    last = turns.groupBy("doc_id", "batch").agg(F.max_by(F.struct("doc_id", "text", "lang"), "turn").alias("r"))
+    files = last.groupBy("batch").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("value"))
+    files.repartition("batch").write.partitionBy("batch").text(path)
+    return documents.json_batches(spark, f"{path}/batch=*/*", T_SLIM, "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"), "lang")
+
+
+_BATCHES = "SELECT conv_id AS doc_id, sha256(arg_max(text, turn)) AS digest, arg_max(role, turn) AS lang FROM conversations GROUP BY conv_id"
+
+
+def csv_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as CSV that quotes only where it must, and read again."""
+    path = scratch(spark, "csv-minimal")
+    sinks.write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path, quote_all=False)
+    back = spark.read.schema(_SLIM).option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return back.select("doc_id", F.sha2(F.regexp_replace("text", "\r\n?", "\n"), 256).alias("digest"), "lang")
+
+
+def _source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as a file whose parts are its texts."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".txt")).alias("path"), place.cast("int").alias("part"), F.encode("text", "UTF-8").alias("content"), F.sha2("text", 256).alias("sha256"))
+
+
+def part_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running digests of files over their parts in order."""
+    return ranges.digests(_source_parts(spark, sf_dir))
+
+
+_PARTS_DIGESTS = "SELECT source || '.txt' AS path, count(*) AS parts, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes, sha256(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS sha256 FROM documents WHERE source IS NOT NULL GROUP BY source"
+
+
+def ranges_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files put together from their parts, read again by ranges of bytes: sizes and digests."""
+    folder = scratch(spark, "files")
+    ranges.put_together(_source_parts(spark, sf_dir), folder)
+    found = ranges.digests(ranges.file_ranges(spark, folder, 300_000))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("path"), "parts", "bytes", "sha256")
+
+
+_RANGES = f"SELECT path, CAST(greatest(1, ceil(bytes / 300000.0)) AS BIGINT) AS parts, bytes, sha256 FROM ({_PARTS_DIGESTS})"
+
+
 def envelope_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the hundred in JSON documents with an envelope, a file each, read again."""
     path = scratch(spark, "envelope")
@@ -299,6 +352,11 @@ QUERIES: dict[str, Entry] = {
     "csv_cells": (cells, _CELLS),
     "id_forms": (id_forms, _ID_FORMS),
     "json_round_trip": (json_round_trip, _JSON),
+    "json_document": (json_document, _JSON),
+    "json_batches": (json_batches, _BATCHES),
+    "csv_minimal": (csv_minimal, _CSV),
+    "part_digests": (part_digests, _PARTS_DIGESTS),
+    "ranges_round_trip": (ranges_round_trip, _RANGES),
     "envelope_round_trip": (envelope_round_trip, _JSON),
     "csv_round_trip": (csv_round_trip, _CSV),
     "keyed_files": (keyed_files, _KEYED),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagebeam.functions import text as T
-from sagebeam.operators import coverage, merging, ordered, routing
+from sagebeam.operators import coverage, merging, ordered, packing, routing
 from sagebeam.operators import validation as V
 from sagebeam.plans.tables import Entry, spread, table
 
@@ -204,7 +204,7 @@ def lpt_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations packed into four bins by their customers."""
     counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
     nations = table(spark, sf_dir, "nation").join(counts, "n_nationkey", "left").select("n_name", F.coalesce("n", F.lit(0)).alias("n"))
-    return ordered.pack(nations, [], "n_name", "n", 4).select("n_name", "n", F.col("bin").cast("long").alias("bin"))
+    return packing.pack(nations, [], "n_name", "n", 4).select("n_name", "n", F.col("bin").cast("long").alias("bin"))
 
 
 _BINS = """

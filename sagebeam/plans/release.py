@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebeam.operators import coverage, gates, ordered
+from sagebeam.operators import coverage, gates, ordered, packing
 from sagebeam.operators import validation as V
 from sagebeam.plans.tables import Entry, spread, table
 
@@ -416,7 +416,7 @@ FROM c JOIN customer USING (c_custkey)
 def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts packed into four shards by size: bytes, files and pictures of each."""
     parts = table(spark, sf_dir, "part").select(F.concat(F.col("p_name"), F.lit("-"), F.col("p_partkey")).alias("name"), F.col("p_size").cast("long").alias("bytes"), (F.col("p_type") == "ECONOMY").alias("picture"))
-    return ordered.pack(parts, [], "name", "bytes", 4).groupBy(F.col("bin").cast("long").alias("shard")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"), F.count_if("picture").alias("pictures"))
+    return packing.pack(parts, [], "name", "bytes", 4).groupBy(F.col("bin").cast("long").alias("shard")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"), F.count_if("picture").alias("pictures"))
 
 
 _SHARDS = """

@@ -11,7 +11,7 @@ from pyspark.sql import types as t
 
 from sagebeam.functions import paths
 from sagebeam.functions import text as T
-from sagebeam.operators import coverage, dedup, media, merging, ordered, ranking, routing, scoring, validation
+from sagebeam.operators import coverage, dedup, media, merging, ordered, packing, ranking, routing, scoring, validation
 from sagebeam.sources import documents, sinks
 
 
@@ -154,7 +154,7 @@ def test_release_counts_name_every_place(spark):
 def test_packing_by_brute_force(spark):
     rng = random.Random(6)
     items = [(rng.choice("pq"), f"n{i}", rng.randrange(1, 50)) for i in range(60)]
-    got = {(r["g"], r["name"]): r["bin"] for r in ordered.pack(spark.createDataFrame(items, "g string, name string, size long"), ["g"], "name", "size", 3).collect()}
+    got = {(r["g"], r["name"]): r["bin"] for r in packing.pack(spark.createDataFrame(items, "g string, name string, size long"), ["g"], "name", "size", 3).collect()}
     for g in "pq":
         loads = [0, 0, 0]
         for _, name, size in sorted((x for x in items if x[0] == g), key=lambda x: (-x[2], x[1])):
