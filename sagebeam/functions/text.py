@@ -20,6 +20,16 @@ def normalise(value: Column) -> Column:
     return F.lower(strip(value))
 
 
+def collated(value: Column) -> Column:
+    """A sort key in the order of the Unicode collation: accents and case matter only where letters are the same, small before capital."""
+    return F.collate(value, "UNICODE")
+
+
+def code_units(value: Column) -> Column:
+    """A sort key in the order of UTF-16 code units, which puts characters beyond the basic plane before U+E000."""
+    return F.encode(value, "UTF-16BE")
+
+
 def lineage(*fields: Column) -> Column:
     """Lower-case text of several fields, blanks between; null fields are left out."""
     return F.lower(F.concat_ws(" ", *fields))

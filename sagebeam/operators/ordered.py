@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sagebeam.functions import text as T
+
 
 def admit_by_budget(rows: DataFrame, key: str, order: list[str], size: str, positions: int = 8, most: float = 5_000_000, budget: float = 20_000_000, allowed: Column | None = None) -> DataFrame:
     """Rows within the first ``positions`` whose running size stays in the budget.
@@ -67,5 +69,10 @@ def by_priority(rows: DataFrame, priority: str, name: str, tie: str) -> DataFram
 
 
 def sign_vocabulary(rows: DataFrame, signs: str) -> DataFrame:
-    """(sign): the distinct entries of a column of arrays, in the order of their code points."""
-    return rows.select(F.explode(signs).alias("sign")).distinct().orderBy("sign")
+    """(sign): the distinct entries of a column of arrays, in the order of their UTF-16 code units."""
+    return rows.select(F.explode(signs).alias("sign")).distinct().orderBy(T.code_units(F.col("sign")))
+
+
+def weakest(rows: DataFrame, score: str, name: str, k: int = 30) -> DataFrame:
+    """The k rows of the largest score, equal ones by name in the order of the Unicode collation, names that it takes for equal by code points."""
+    return rows.orderBy(F.desc(score), T.collated(F.col(name)), F.col(name)).limit(k)

@@ -65,7 +65,7 @@ def weakness_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("orders"), F.sum(F.coalesce("lines", F.lit(0))).alias("lines"), F.count_if(F.col("o_orderstatus") == "F").alias("filled"))
     rows = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").fillna(0, ["orders", "lines", "filled"])
     score = coverage.weakness(F.col("orders"), F.col("lines"), F.col("filled"), F.col("filled") + 1, F.col("lines"), F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") > 0)
-    return rows.select("c_custkey", "c_name", score.cast("long").alias("score")).orderBy(F.desc("score"), "c_name").limit(30)
+    return ordered.weakest(rows.select("c_custkey", "c_name", score.cast("long").alias("score")), "score", "c_name")
 
 
 _WEAKNESS = """

@@ -175,3 +175,13 @@ def test_calibration_of_sure_and_right_rows(spark):
     assert coverage.calibration_error(rows, "c", "ok").first()[0] == pytest.approx(0.275)
     assert tuple(coverage.selective_accuracy(rows, "c", "ok", 0.9).first()) == (0.5, 1.0)
     assert coverage.selective_accuracy(rows, "c", "ok", 1.1).first()["accuracy"] is None
+
+
+def test_orders_of_names(spark):
+    """Case, accents and characters beyond the basic plane."""
+    names = ["b", "A", "a", "B", "ä", "Z", "z", "éa", "ea", "eb", "\U0001f600", "\ufb00", "\ue000"]
+    rows = spark.createDataFrame([(n, 1) for n in names], "name string, score int")
+    got = [r["name"] for r in ordered.weakest(rows, "score", "name").collect()]
+    assert [n for n in got if n.isascii() or n in "ä éa"] == ["a", "A", "ä", "b", "B", "ea", "éa", "eb", "z", "Z"]
+    units = [r["sign"] for r in ordered.sign_vocabulary(rows.select(F.array("name").alias("signs")), "signs").collect()]
+    assert units == sorted(names, key=lambda n: n.encode("utf-16-be")) and units.index("\U0001f600") < units.index("\ue000")

@@ -114,6 +114,19 @@ def test_split_search_by_brute_force(spark):
     assert (got["score"], got["validation_group"], got["test_group"]) == (best[0], best[2], best[3])
 
 
+def test_split_search_by_tiles(spark, monkeypatch):
+    """Groups alike in cost and many ties: blocks, tiles and bounds give the row that all pairs at once give."""
+    rng = random.Random(7)
+    shapes = [[rng.choice("xyz") for _ in range(rng.randrange(3, 12))] for _ in range(6)]
+    rows = [(g, k) for g in range(40) for k in shapes[g % 6]] + [(None, "x"), (-1, None), (-1, "x")]
+    frame = spark.createDataFrame(rows, "g long, k string").repartition(3)
+    want = splits.choose_split(frame, "g", "k").first()
+    for name, value in (("SEEDS", 3), ("BLOCK", 4), ("CELLS", 60)):
+        monkeypatch.setattr(splits, name, value)
+    assert splits.choose_split(frame, "g", "k").first() == want
+    assert splits.choose_split(frame.where("g < 2"), "g", "k").count() == 1 and splits.choose_split(frame.where("g in (1, 2)"), "g", "k").count() == 0
+
+
 def test_rate_limit_stream_and_batch_agree(spark, tmp_path):
     from sagebeam.streaming import rate_limit
 
