@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagebeam.functions import text as T
-from sagebeam.operators import coverage, merging, ordered, packing, routing
+from sagebeam.operators import annotations, coverage, merging, ordered, packing, routing
 from sagebeam.operators import validation as V
 from sagebeam.plans.tables import Entry, spread, table
 
@@ -200,6 +200,35 @@ SELECT user_id, event_id, round(s, 3) AS window_start, CAST(c AS BIGINT) AS coun
 """
 
 
+def annotation_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and pages' numbers as boxes, as annotation files: the profile of the first 5,000 lines that are not blank, by names."""
+    docs = spread(table(spark, sf_dir, "documents")).select(F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt")).alias("path"), "text")
+    unit = lambda k: F.concat(F.lit("0."), F.lpad(F.pmod(F.col("page_id") * k, F.lit(1000)).cast("string"), 3, "0"))
+    pages = table(spark, sf_dir, "pages")
+    box = F.concat_ws(" ", F.pmod("page_id", F.lit(9)).cast("string"), unit(7), unit(11), F.when(F.pmod("page_id", F.lit(5)) == 0, "1.5").otherwise(unit(13)), unit(17))
+    boxes = pages.select(F.concat(F.lit("b/"), F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lit(".txt")).alias("path"), F.concat(F.lit("\n"), box, F.lit("\r\n \t\n-1e3 nan")).alias("text"))
+    return annotations.profile(annotations.sampled(docs.unionByName(boxes)))
+
+
+_SAMPLE = r"""
+WITH files AS (
+  SELECT 'd/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt' AS path, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'b/' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.txt',
+    chr(10) || (page_id % 9) || ' 0.' || lpad(CAST(page_id * 7 % 1000 AS VARCHAR), 3, '0') || ' 0.' || lpad(CAST(page_id * 11 % 1000 AS VARCHAR), 3, '0') || CASE WHEN page_id % 5 = 0 THEN ' 1.5' ELSE ' 0.' || lpad(CAST(page_id * 13 % 1000 AS VARCHAR), 3, '0') END
+    || ' 0.' || lpad(CAST(page_id * 17 % 1000 AS VARCHAR), 3, '0') || chr(10) || '-1e3 nan' FROM pages),
+split AS (SELECT path, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM files),
+lines AS (SELECT path, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line, row_number() OVER (ORDER BY path, pos) AS r FROM split WHERE NOT regexp_full_match(raw, '\s*')),
+s AS (SELECT *, regexp_split_to_array(line, '\s+') AS t FROM lines WHERE r <= 5000),
+m AS (SELECT *, len(list_filter(t, lambda x: NOT regexp_full_match(x, '[+-]?[0-9]+([.][0-9]*)?(e[0-9]+)?|nan'))) = 0 AS num FROM s),
+b AS (SELECT *, num AND len(t) = 5 AND len(list_filter(t[2:], lambda x: coalesce(TRY_CAST(x AS DOUBLE) NOT BETWEEN 0 AND 1, true))) = 0 AS box FROM m)
+SELECT 'sampled' AS what, 0::BIGINT AS "at", count(*) AS n, NULL::VARCHAR AS text FROM b
+UNION ALL SELECT 'numeric', 0, count(*) FILTER (num), NULL FROM b
+UNION ALL SELECT 'yolo5', 0, count(*) FILTER (box), NULL FROM b
+UNION ALL SELECT 'tokens', len(t), count(*), NULL FROM b GROUP BY len(t)
+UNION ALL SELECT 'example', r - 1, NULL, substr(line, 1, 200) FROM b WHERE r <= 20
+"""
+
+
 def lpt_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations packed into four bins by their customers."""
     counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
@@ -292,6 +321,7 @@ QUERIES: dict[str, Entry] = {
     "count_reconcile": (count_reconcile, _RECONCILE),
     "prefix_sum_admit": (prefix_sum_admit, _ADMIT),
     "anchored_rate_limit": (anchored_rate_limit, _LIMIT),
+    "annotation_sample": (annotation_sample, _SAMPLE),
     "lpt_bins": (lpt_bins, _BINS),
     "token_profile": (token_profile, _PROFILE),
     "quality_notes": (quality_notes, _NOTES),

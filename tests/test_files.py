@@ -10,7 +10,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sagebeam.operators import packing
+from sagebeam.operators import annotations, packing
 from sagebeam.sources import ranges, sinks
 
 
@@ -80,3 +80,33 @@ def test_runs_of_many_equal_sizes_are_few_stretches():
     loads = [5, 0, 3, 3]
     stretches = packing.fill(loads, 2, 1_000_001)
     assert len(stretches) <= 4 and sum(loads) == 11 + 2_000_002 and max(loads) - min(loads) <= 2
+
+
+def test_annotation_sample_by_names_and_early_stop(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    tokens = ["1", "0.5", "x", "1_0", "1__0", "-1", "nan", "inf", "1e-3", ".5", "5.", "1d", "0x1", "+.5e1"]
+    files = {f"{i:03d}.txt": "\r\n".join(rng.choice(["", " \t", " ".join(rng.choice(tokens[: rng.choice([2, 14])]) for _ in range(rng.choice([1, 3, 5, 5])))]) for _ in range(rng.randrange(6))) for i in range(60)}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, newline="")
+    (tmp_path / "000.jpg").write_text("not text")
+
+    def number(x):
+        try:
+            return float(x)
+        except ValueError:
+            return None
+
+    lines = [s.strip() for name in sorted(files) for s in files[name].splitlines() if s.strip()]
+    monkeypatch.setattr(annotations, "FILES", 2)
+    for most in (1, 40, 10_000):
+        want = lines[:most]
+        frame = annotations.read_sample(spark, str(tmp_path), most=most)
+        assert [r["line"] for r in frame.orderBy("path", "at").collect()] == want
+        got = {(r["what"], r["at"]): r["text"] if r["what"] == "example" else r["n"] for r in annotations.profile(frame).collect()}
+        values = [[number(t) for t in x.split()] for x in want]
+        numeric = [v for v in values if None not in v]
+        assert got["sampled", 0] == len(want) and got["numeric", 0] == len(numeric)
+        assert got["yolo5", 0] == sum(len(v) == 5 and v[0] >= 0 and all(0 <= x <= 1 for x in v[1:]) for v in numeric)
+        assert {k: n for (w, k), n in got.items() if w == "tokens"} == {k: sum(len(v) == k for v in values) for k in {len(v) for v in values}}
+        assert [got["example", i] for i in range(min(20, len(want)))] == want[:20]
+    assert annotations.read_sample(spark, str(tmp_path), ".none").count() == 0
