@@ -22,11 +22,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_plan(table(spark, sf_dir, "documents"))
+    return mixing.mix_plan(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
