@@ -73,13 +73,13 @@ SELECT o_orderpriority AS title, CASE WHEN o_orderpriority = '1-URGENT' THEN 'D1
 
 def record_errata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one language get another category and summary, and their warnings that hold a phrase another text."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.col("lang").alias("slug"), F.col("source").alias("category"), F.lit("old").alias("summary"), F.slice(F.split("text", r"\. "), 1, 3).alias("warnings"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.col("lang").alias("slug"), F.col("source").alias("category"), F.lit("old").alias("summary"), F.split("text", r"\. ").alias("warnings"))
     out = media.corrected_records(rows, "slug", {"fr": {"category": "corrected", "summary": "new"}}, {"fr": ("es", "a warning")})
     return out.select("doc_id", "category", "summary", F.array_join("warnings", "|").alias("warnings"))
 
 
 _RECORD = """
-WITH d AS (SELECT doc_id, lang, source, string_split(text, '. ')[1:3] AS w FROM documents)
+WITH d AS (SELECT doc_id, lang, source, string_split(text, '. ') AS w FROM documents)
 SELECT doc_id, CASE WHEN lang = 'fr' THEN 'corrected' ELSE source END AS category, CASE WHEN lang = 'fr' THEN 'new' ELSE 'old' END AS summary,
   array_to_string(CASE WHEN lang = 'fr' THEN list_transform(w, lambda x: CASE WHEN contains(x, 'es') THEN 'a warning' ELSE x END) ELSE w END, '|') AS warnings FROM d
 """

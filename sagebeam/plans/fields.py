@@ -58,15 +58,14 @@ SELECT page_id, page_id % 10 <> 9 AS valid, CASE WHEN page_id % 4 = 0 THEN '.png
 
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names made safe, and whether paths, model names and hosts are allowed."""
-    start = F.substring("text", 1, 20)
     path = F.concat(F.when(F.col("doc_id") % 5 == 0, "/").when(F.col("doc_id") % 5 == 1, "a/../").when(F.col("doc_id") % 5 == 2, "C:").when(F.col("doc_id") % 5 == 3, "a/..b/").otherwise("a/"), F.lit("b"))
     return table(spark, sf_dir, "documents").select(
-        "doc_id", T.safe_id(start).alias("safe"), T.safe_path(path).alias("path_ok"), T.model_name(F.concat(F.col("source"), F.when(F.col("lang") == "en", "/").otherwise("-1.x"))).alias("model_ok"),
+        "doc_id", T.safe_id(F.col("text")).alias("safe"), T.safe_path(path).alias("path_ok"), T.model_name(F.concat(F.col("source"), F.when(F.col("lang") == "en", "/").otherwise("-1.x"))).alias("model_ok"),
         T.same_host(F.concat(F.upper("source"), F.lit(":80")), F.when(F.col("lang") == "de", F.col("source")).otherwise("other")).alias("same_host"))
 
 
 _SAFE = """
-SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 20), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS safe, doc_id % 5 >= 3 AS path_ok, lang <> 'en' AS model_ok, lang = 'de' AS same_host FROM documents
+SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS safe, doc_id % 5 >= 3 AS path_ok, lang <> 'en' AS model_ok, lang = 'de' AS same_host FROM documents
 """
 
 
@@ -169,7 +168,7 @@ def newest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.newest_first(kept).select("id", "user_id", "event_type").limit(50)
 
 
-_LOG = "SELECT event_id AS id, user_id, event_type FROM events WHERE event_type <> 'error' ORDER BY ts DESC LIMIT 50"
+_LOG = "SELECT event_id AS id, user_id, event_type FROM events WHERE event_type <> 'error' ORDER BY ts DESC, event_id LIMIT 50"
 
 
 def lane_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,11 +183,11 @@ _LANE_ROWS = "SELECT CAST(i AS VARCHAR) AS lane, count(n_name) AS n, coalesce(st
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of a CSV: arrays joined, nulls empty."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 3).alias("words"), F.when(F.col("lang") == "en", F.col("n_chars")).alias("n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("words"), F.when(F.col("lang") == "en", F.col("n_chars")).alias("n"))
     return rows.select("doc_id", sinks.cell(F.col("words"), True).alias("words"), sinks.cell(F.col("n"), False).alias("n"))
 
 
-_CELLS = "SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], ' | ') AS words, CASE WHEN lang = 'en' THEN CAST(n_chars AS VARCHAR) ELSE '' END AS n FROM documents"
+_CELLS = "SELECT doc_id, array_to_string(string_split(text, ' '), ' | ') AS words, CASE WHEN lang = 'en' THEN CAST(n_chars AS VARCHAR) ELSE '' END AS n FROM documents"
 
 
 def id_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,7 +152,8 @@ def append_entry(log: DataFrame, entry: DataFrame) -> DataFrame:
 
 
 def newest_first(log: DataFrame, created: str = "createdAt") -> DataFrame:
-    return log.orderBy(F.desc(created))
+    """Newest entries first, those of one time by id, so that a page of them is always the same."""
+    return log.orderBy(F.desc(created), "id")
 
 
 def remove_entry(log: DataFrame, ids: DataFrame) -> DataFrame:
