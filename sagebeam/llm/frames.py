@@ -40,16 +40,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Rows of an Arrow batch: texts may be long, and a batch is in memory as a whole.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch: texts may be long, and a batch is in memory as a whole.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches of at most ``BATCH_ROWS`` rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """The session, with Arrow batches of at most ``BATCH_ROWS`` rows that end once ``BATCH_BYTES`` are in them."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
     return spark
 
 
