@@ -4,18 +4,20 @@ A token is coded as binary decisions: the path to it in a Huffman tree over the
 most frequent words, or an escape and then its bytes by a Huffman tree of bytes.
 For every decision three predictors look up how often it went either way in
 their context (the node alone, with one and with two words before it; in
-spelling, one, two and three bytes instead of words).  A mixer adds their log
+spelling, with one byte before it, and with half of the second and of the third).  A mixer adds their log
 odds with weights that a gate picks by how much evidence the longer contexts
 have, and a final map corrects the mix where it proves off.
 
 Counts are of every context that training has, each its own, and grow with it:
 tokens are dealt out by the word before them, so that a task has all
-occurrences of its contexts and counts and scores them together.  Words that too
-many tokens follow are dealt out by two words, and their counts as one-word
-contexts, a row of symbols each, are made before and broadcast.  So are the
-spelling's runs of four bytes, each scored once.  Weights and the final map are
-learned on an eighth of the training rows, in a share of the contexts, by counts
-of the other rows.
+occurrences of its contexts and counts and scores them together.  A word that too
+many tokens follow has several tasks, by the word before it; its counts as a
+one-word context, a row of symbols, are made first and dealt to these tasks beside
+its tokens.  Every task learns weights and the final map for its own contexts, all
+of them, from the eighth of the training rows that is a lesson, by counts of the
+other rows; then it scores by the counts of all.  The spelling's runs, a byte
+with its context, are 24 bits and so at most 2^24; they are scored once and
+broadcast.
 
 Beside it stands the base score, a unigram model with add-one smoothing over the
 counts of all training tokens; words of the bounded broadcast head are looked up
@@ -25,7 +27,6 @@ in place, all others in a join.
 from __future__ import annotations
 
 import heapq
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,21 +43,20 @@ from sagebeam.llm.frames import bounded_batches, stored
 #: Words of the broadcast head (16 bytes each) and, of these, words with a code of their own.
 HEAD, VOCABULARY = 1 << 19, 1 << 15
 ORDERS = 3
-#: Tokens of a task, about, and the share of tasks' contexts that weights are learned on.
-PART, LEARN = 3 << 18, 16
+#: Tokens of a task, about, and how often learning goes over its decisions.
+PART, PASSES = 3 << 18, 2
 _RATE, _STEP = 0.02, 1024
 _END = np.uint64(0xE0D0_0000_0000_0001)
 _START = np.uint64(0x57A7_0000_0000_0001)
 _COUNTED = 1 << 21
 #: Scores are summed as whole numbers of this part, so that no order of rows changes them.
 _UNIT = float(1 << 20)
-#: Decisions below which learning goes over them again.
-_FEW = 1 << 21
 _BUCKETS, _LEVELS = 33, 4
 _KEYS = tk.stream(21, 12) | np.uint64(1)
 #: The bits of a hash that a context keeps beside a leaf: 40, enough for the contexts of a task.
 _LOW, _HIGH = np.uint64(24), np.uint64(0xFFFF_FFFF_FF00_0000)
-#: Marks keys of the spelling.
+#: Bits of each earlier byte that a spelled one's contexts keep, and the mark of the spelling's keys.
+_SPELLED = (7, 5, 4)
 _GRAM = np.uint64(1 << 40)
 _STOP = 0x20  # ends a spelled word; no word has it
 
@@ -120,6 +120,7 @@ class Codes:
     letters: Tree
     escape: int
     hot: np.ndarray  # sorted hashes of words that many tokens follow
+    spread: np.ndarray  # and over how many tasks each of them goes
 
     @classmethod
     def make(cls, hashes: np.ndarray, counts: np.ndarray, tokens: int, letters: np.ndarray, parts: int) -> Codes:
@@ -130,8 +131,14 @@ class Codes:
         # One more symbol than the escape, so that the tree has a decision even without words.
         words = Tree.make([*counts[order].tolist(), rest, 1])
         # An end is followed by nothing; the mark of a start follows it in its place.
-        hot = np.sort(np.where(hashes == _END, _START, hashes)[counts * parts > tokens])
-        return cls(hashes, np.log10(counts + 1.0), symbol, words, Tree.make((letters + 1).tolist()), len(order), hot)
+        many = counts * parts > tokens
+        hot, spread = np.where(hashes == _END, _START, hashes)[many], np.minimum(counts[many] * parts // max(1, tokens) + 1, parts)
+        order = np.argsort(hot)
+        return cls(hashes, np.log10(counts + 1.0), symbol, words, Tree.make((letters + 1).tolist()), len(words.depth) - 2, hot[order], spread[order])
+
+    def context(self, hot: np.ndarray) -> np.ndarray:
+        """The one-word contexts of hot words, by their places."""
+        return tk.splitmix(self.hot[hot]) & _HIGH
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head, and whether it is there."""
@@ -195,12 +202,19 @@ class Tokens:
         two = tk.splitmix(one + two * _KEYS[11])
         return cls(seq.rows, codes.words.rank[symbol], tk.splitmix(one) & _HIGH, two & _HIGH, hot, np.flatnonzero((symbol == codes.escape) & (seq.place >= 0)))
 
-    def parts(self, n: int) -> np.ndarray:
-        return ((tk.splitmix(np.where(self.hot >= 0, self.two, self.one) ^ _KEYS[10]) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+    def parts(self, codes: Codes, n: int) -> np.ndarray:
+        """Each token's task: its one-word context's own, or, after a hot word, one of that word's by the two-word context."""
+        out, hot = _task(self.one, n), np.flatnonzero(self.hot >= 0)
+        out[hot] = (out[hot] + _task(self.two[hot], codes.spread[self.hot[hot]])) % n
+        return out
+
+
+def _task(context: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    return ((tk.splitmix(context ^ _KEYS[10]) >> np.uint64(32)) % np.asarray(n).astype(np.uint64)).astype(np.int64)
 
 
 def _grams(seq: Sequence, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, four bytes) for each byte of the spelled tokens and their stops, with the three bytes of the word before it."""
+    """(row, run) for each byte of the spelled tokens and their stops: 24 bits, the byte, the one of the word before it, and the lower halves of the two before that."""
     # Spelling is worked through in runs of words with a bounded number of bytes.
     size = seq.words.ends[seq.place[tokens]] - seq.words.starts[seq.place[tokens]] + 1
     run = np.cumsum(size) >> 20
@@ -213,11 +227,11 @@ def _grams(seq: Sequence, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         letters = np.full(len(of), _STOP, dtype=np.uint32)
         letters[~last] = tk.FOLD[seq.words.data[(starts[of] + at)[~last]]]
         out = letters.copy()
-        for k in (1, 2, 3):
+        for k, width in enumerate(_SPELLED, 1):
             earlier = np.zeros(len(letters), dtype=np.uint32)
             earlier[k:] = letters[:-k]
             earlier[at < k] = 0
-            out |= earlier << np.uint32(8 * k)
+            out |= (earlier & np.uint32((1 << width) - 1)) << np.uint32(8 + sum(_SPELLED[: k - 1]))
         yield seq.rows[own][of], out
 
 
@@ -227,10 +241,11 @@ class Entries:
 
     key: np.ndarray
     n: np.ndarray
+    lesson: np.ndarray  # of these, counts of lessons
     of: np.ndarray  # each given row's place
 
     @classmethod
-    def make(cls, context: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> Entries:
+    def make(cls, context: np.ndarray, leaf: np.ndarray, n: np.ndarray, lesson: np.ndarray) -> Entries:
         """``context`` has zeros in its lower 16 bits."""
         key = context | leaf.astype(np.uint64)
         order = np.argsort(key)
@@ -240,7 +255,17 @@ class Entries:
         starts = np.flatnonzero(new)
         of = np.empty(len(key), dtype=np.int32)
         of[order] = np.cumsum(new) - 1
-        return cls(key[starts], np.add.reduceat(n[order], starts) if len(starts) else np.zeros(0, np.int64), of)
+        n, lesson = (np.add.reduceat(v[order], starts) if len(starts) else np.zeros(0, np.int64) for v in (n, lesson))
+        return cls(key[starts], n, lesson, of)
+
+    def without_lessons(self) -> tuple[Entries, np.ndarray]:
+        """The entries of contexts that a lesson has, with the counts of all other rows, and each entry's place among them."""
+        context = self.key >> np.uint64(16)
+        new = np.ones(len(context), dtype=bool)
+        new[1:] = context[1:] != context[:-1]
+        starts = np.flatnonzero(new)
+        taught = (np.add.reduceat(self.lesson, starts) > 0)[np.cumsum(new) - 1] if len(starts) else new
+        return Entries(self.key[taught], (self.n - self.lesson)[taught], self.lesson[taught], self.of[:0]), np.cumsum(taught) - 1
 
     def levels(self, tree: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each depth of the tree, the log odds and the evidence at the entries' nodes."""
@@ -327,15 +352,15 @@ class Mixer:
         return np.rint(out * _UNIT).astype(np.int64)
 
     def learn(self, leaf: np.ndarray, times: np.ndarray, entries: list[Entries], rows: list[np.ndarray], tree: Tree, kind: int) -> None:
-        """Passes (one, unless they are few) over the decisions of leaves that occur ``times``, mixed by a fixed draw, a few at a time."""
+        """``PASSES`` over the decisions of leaves that occur ``times``, mixed by a fixed draw, a few at a time."""
         some = np.flatnonzero(times)
         leaf, times, rows = leaf[some], times[some].astype(np.float64), [r[some] for r in rows]
         got = [(np.stack(x, axis=1), gate.astype(np.int64), bit, times[at]) for at, x, gate, bit in _decisions(leaf, entries, rows, tree, kind)]
         if not got:
             return
         x, gate, bit, times = (np.concatenate(v) for v in zip(*got, strict=True))
-        order = np.concatenate([np.random.default_rng(5 + i).permutation(len(bit)) for i in range(min(8, -(-_FEW // len(bit))))])
-        for a in range(0, len(bit), _STEP):
+        order = np.concatenate([np.random.default_rng(5 + i).permutation(len(bit)) for i in range(PASSES)])
+        for a in range(0, len(order), _STEP):
             own = order[a : a + _STEP]
             xs, g, y, w = x[own], gate[own], bit[own], times[own]
             z = np.einsum("ij,ij->i", xs, self.weights[g])
@@ -389,7 +414,7 @@ def _sliced(batch: pa.RecordBatch, codes: Codes) -> Iterator[tuple[Sequence, np.
 
 
 def _count_contexts(shared):
-    """Counts of leaves without a context and after hot words (key: place + 1, leaf), and of the spelling's runs (key: 1, four bytes); these of all rows."""
+    """Counts of leaves without a context and after hot words (key: place + 1, leaf), and of the spelling's runs (key: 1, run); these of all rows."""
 
     def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
         key, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -419,7 +444,7 @@ def _count_contexts(shared):
 
 
 _DOCUMENT = "slice long, row_key long, doc_id long, held_out boolean, n_tokens long, known long, part double, score long, n_bytes long, rare array<long>, times array<long>"
-_DEALT = f"deal int, blob binary, {_DOCUMENT}"
+_DEALT = f"deal int, blob binary, key long, n long, lesson long, {_DOCUMENT}"
 
 
 def _names(fields: str) -> list[str]:
@@ -432,7 +457,7 @@ def _filled(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _DOCUMENT_TYPES = pa.schema([("slice", pa.int64()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("part", pa.float64()), ("score", pa.int64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
-_DEALT_TYPES = pa.schema([("deal", pa.int32()), ("blob", pa.binary()), *_DOCUMENT_TYPES])
+_DEALT_TYPES = pa.schema([("deal", pa.int32()), ("blob", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("lesson", pa.int64()), *_DOCUMENT_TYPES])
 
 
 def _pressed(pieces: list[np.ndarray], plain: int = 0) -> bytes:
@@ -451,11 +476,9 @@ def _raised(blob: bytes, at: int, kind: type) -> tuple[np.ndarray, int]:
     return np.frombuffer(pa.decompress(blob[at : at + small], size, "zstd", asbytes=True), kind), at + small
 
 
-def _packed(t: Tokens, roles: np.ndarray, parts: int, learn: bool, first: int) -> Iterator[tuple[int, bytes]]:
+def _packed(t: Tokens, roles: np.ndarray, codes: Codes, parts: int, first: int) -> Iterator[tuple[int, bytes]]:
     """The tokens of a slice by task: different (one, two, leaf) with the rows, and their roles, that have them."""
-    deal = t.parts(parts)
-    some = np.flatnonzero((deal % LEARN == 0) & (roles[t.rows] > 0)) if learn else np.arange(len(deal))
-    deal, one, two, leaf, rows = deal[some], t.one[some], t.two[some], t.leaf[some], t.rows[some]
+    deal, one, two, leaf, rows = t.parts(codes, parts), t.one, t.two, t.leaf, t.rows
     # By task, then by hashes of the word before and of the rest: like tokens are together, and hardly ever others between them.
     key = deal.astype(np.uint64) << np.uint64(43) | one >> np.uint64(43) << np.uint64(22) | (two + leaf * _KEYS[9]) * _KEYS[8] >> np.uint64(42)
     order = np.argsort(key)
@@ -490,11 +513,29 @@ def _unpacked(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.
     return first, one, tk.splitmix(one + out[2] * _KEYS[11]) & _HIGH, out[4], out[5], out[6]
 
 
-def _dealer(shared, parts: int, learn: bool):
-    """Documents with what needs no context, unless this is for learning, and the tokens by task."""
+def _hot_dealer(shared, parts: int):
+    """The counts after hot words, each for all tasks of its word; ``key``: the context and the leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: Codes = shared.value[0]
+        for batch in batches:
+            key, n, lesson = (batch.column(c).to_numpy() for c in ("key", "n", "lesson"))
+            place = (key >> 16) - 1
+            context = codes.context(place)
+            for a in range(0, len(place), 64):  # a word has at most as many tasks as there are
+                k = codes.spread[place[a : a + 64]]
+                of = np.repeat(np.arange(a, a + len(k)), k)
+                deal = (_task(context[of], parts) + np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)) % parts
+                yield _filled({"deal": pa.array(deal), "key": pa.array((context[of] | (key[of] & 0xFFFF).astype(np.uint64)).view(np.int64)), "n": pa.array(n[of]), "lesson": pa.array(lesson[of])}, _DEALT_TYPES)
+
+    return run
+
+
+def _dealer(shared, parts: int):
+    """Documents with what needs no context, and the tokens by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, spelling = shared.value
+        codes, spelling, _ = shared.value
         task = TaskContext.get().partitionId()
         row_key = task << 33
         for batch in batches:
@@ -507,11 +548,9 @@ def _dealer(shared, parts: int, learn: bool):
             for seq, place, have, t in _sliced(batch, codes):
                 words = seq.words
                 lo, rows = words.lo, words.hi - words.lo
-                got = list(_packed(t, roles[lo : words.hi], parts, learn, row_key + lo))
+                got = list(_packed(t, roles[lo : words.hi], codes, parts, row_key + lo))
                 for a in range(0, len(got), 64):
                     yield _filled({"deal": pa.array([p for p, _ in got[a : a + 64]]), "blob": pa.array([b for _, b in got[a : a + 64]], pa.binary())}, _DEALT_TYPES)
-                if learn:
-                    continue
                 slices[lo : words.hi] = row_key + lo
                 tokens[lo : words.hi] = np.diff(seq.bounds)
                 size[lo : words.hi] = np.diff(words.cuts)
@@ -532,7 +571,7 @@ def _dealer(shared, parts: int, learn: bool):
                     rare[lo + i], times[lo + i] = h[at[cuts[i] : cuts[i + 1]]].view(np.int64), count[cuts[i] : cuts[i + 1]]
             keys = row_key + np.arange(n)
             row_key += n
-            if not learn and n:
+            if n:
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int32)), pa.array(np.concatenate(x).astype(np.int64))) for x in (rare, times)]
                 made = [pa.array(slices), pa.array(keys), batch.column("doc_id"), batch.column("held_out"), pa.array(tokens), pa.array(known), pa.array(part), pa.array(score), pa.array(size), *lists]
                 yield _filled({"deal": pa.array(np.full(n, task % parts)), **dict(zip(_names(_DOCUMENT), made, strict=True))}, _DEALT_TYPES)
@@ -541,64 +580,72 @@ def _dealer(shared, parts: int, learn: bool):
 
 
 class Block:
-    """All tokens of a task: their entries after one and two words, the hot words' own rows among them."""
+    """All tokens of a task: their entries after one and two words, the hot words' own rows (key, n, lesson) among them."""
 
-    def __init__(self, blobs: list[bytes], hot: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], learn: bool):
+    def __init__(self, blobs: list[bytes], hot: np.ndarray):
         got = [_unpacked(b) for b in blobs]
         one, two, leaf, self.times, own = (np.concatenate([g[k] for g in got]) for k in range(1, 6))
         self.slices, self.cuts, self.own = [g[0] for g in got], np.cumsum([0, *(len(g[5]) for g in got)]), own & np.uint16(0x3FFF)
         got.clear()
-        self.leaf = leaf.astype(np.int64)
         starts = np.cumsum(self.times, dtype=np.int64) - self.times
-        self.lesson = np.add.reduceat((own >> 14 == 2).astype(np.int64), starts)
-        n = np.add.reduceat((own >> 14 > 0).astype(np.int64), starts) - (self.lesson if learn else 0)
-        context, hot_leaf, hot_n, hot_lesson = hot
-        before = Entries.make(np.concatenate([one, context]), np.concatenate([leaf, hot_leaf]), np.concatenate([np.where(np.isin(one, np.unique(context)), 0, n), hot_n - (hot_lesson if learn else 0)]))
-        self.entries = [before, Entries.make(two, leaf, n)]
-        self.rows = [before.of[: len(leaf)], self.entries[1].of]
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], rest: list[pa.RecordBatch] | None = None) -> dict[int, list[bytes]]:
-    """Blobs by task, in an order that no run changes; rows of documents go to ``rest``."""
+        n, lesson = (np.add.reduceat((own >> 14 >= role).astype(np.int64), starts) for role in (1, 2))
+        key = hot[0].view(np.uint64)
+        context = key & ~np.uint64(0xFFFF)
+        told = np.isin(one, np.unique(context))  # their counts come with the rows
+        before = Entries.make(np.concatenate([one, context]), np.concatenate([leaf, (key & np.uint64(0xFFFF)).astype(leaf.dtype)]), *(np.concatenate([np.where(told, 0, v), h]) for v, h in ((n, hot[1]), (lesson, hot[2]))))
+        after = Entries.make(two, leaf, n, lesson)
+        # A token is as its entry after two words, however many slices have it.
+        self.entries, self.row = [before, after], after.of
+        self.before = np.empty(len(after.key), dtype=np.int32)
+        self.before[after.of] = before.of[: len(leaf)]
+        self.leaf = (after.key & np.uint64(0xFFFF)).astype(np.int64)
+
+    def taught(self, base: Entries, tree: Tree) -> Mixer:
+        """The weights that this task's lessons teach, by the counts of the rows that are none."""
+        mixer, after = Mixer(), self.entries[1]
+        less, place = zip(*(e.without_lessons() for e in self.entries), strict=True)
+        own = np.flatnonzero(after.lesson)
+        mixer.learn(self.leaf[own], after.lesson[own], [Entries(base.key, base.n - base.lesson, base.lesson, base.of), *less], [self.leaf[own], place[0][self.before[own]], place[1][own]], tree, 0)
+        return mixer
+
+    def costs(self, base: Entries, tree: Tree, mixer: Mixer) -> np.ndarray:
+        """Of every occurrence of a token, in the order of the slices."""
+        return np.repeat(-mixer.score(self.leaf, [base, *self.entries], [self.leaf, self.before, np.arange(len(self.leaf))], tree, 0)[self.row], self.times)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rest: list[pa.RecordBatch]) -> dict[int, tuple[list[bytes], np.ndarray]]:
+    """Blobs and hot words' rows by task, in an order that no run changes; rows of documents go to ``rest``."""
     blobs: dict[int, list[bytes]] = {}
+    hot: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for deal, blob in zip(batch.column("deal").to_pylist(), batch.column("blob").to_pylist(), strict=True):
             if blob is not None:
                 blobs.setdefault(deal, []).append(blob)
-        if rest is not None:
-            own = batch.filter(batch.column("row_key").is_valid())
-            if own.num_rows:
-                rest.append(own.select(_DOCUMENT_TYPES.names))
-    return {p: sorted(b) for p, b in sorted(blobs.items())}
-
-
-def _learner(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, hot, base = shared.value
-        for p, blobs in _blocks(batches).items():
-            block, mixer = Block(blobs, hot, True), Mixer()
-            mixer.learn(block.leaf, block.lesson, [base, *block.entries], [block.leaf, *block.rows], codes.words, 0)
-            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([pickle.dumps(mixer)], pa.binary())], names=["deal", "mixer"])
+        own = batch.filter(batch.column("key").is_valid())
+        deals = own.column("deal").to_numpy()
+        for p in np.unique(deals).tolist():
+            hot.setdefault(p, []).append(np.stack([own.column(c).to_numpy() for c in ("key", "n", "lesson")])[:, deals == p])
+        own = batch.filter(batch.column("row_key").is_valid())
+        if own.num_rows:
+            rest.append(own.select(_DOCUMENT_TYPES.names))
+    none = [np.zeros((3, 0), np.int64)]
+    return {p: (sorted(b), np.concatenate(hot.get(p, none), axis=1)) for p, b in sorted(blobs.items())}
 
-    return run
 
+def _scorer(shared, settle):
+    """Learns from and scores each task's tokens; ``settle`` makes the weights to score with of the mixers that learned."""
 
-def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, hot, base, mixer = shared.value
+        codes, base = shared.value[0], shared.value[2]
         rest: list[pa.RecordBatch] = []
         found = _blocks(batches, rest)
         for batch in rest:
             yield _filled({f: batch.column(f) for f in batch.schema.names}, _DEALT_TYPES)
         rest.clear()
         for p in list(found):
-            block = Block(found.pop(p), hot, False)
-            # A token's cost is that of its entry after two words, however many slices have it.
-            after = block.entries[1]
-            before = np.empty(len(after.key), dtype=np.int32)
-            before[block.rows[1]] = block.rows[0]
-            leaf = (after.key & np.uint64(0xFFFF)).astype(np.int64)
-            cost = np.repeat(-mixer.score(leaf, [base, *block.entries], [leaf, before, np.arange(len(leaf))], codes.words, 0)[block.rows[1]], block.times)
+            block = Block(*found.pop(p))
+            mixer = settle([block.taught(base, codes.words)]).freeze()
+            cost = block.costs(base, codes.words, mixer)
             packed = []
             for a, b in zip(block.cuts[:-1], block.cuts[1:], strict=True):
                 total = np.bincount(block.own[a:b], weights=cost[a:b]).astype(np.uint64)
@@ -675,36 +722,30 @@ def scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     parts = max(1, round(total["tokens"] / PART))
     codes = Codes.make(hashes, n, total["tokens"], letters, parts)
     shared = spark.sparkContext.broadcast(codes)  # at most 24 bytes a word of the head
-    seen = slim.select("text", "role").mapInArrow(_count_contexts(shared), "key long, n long, lesson long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("lesson").alias("lesson")).toArrow()
-    key, n, own = (seen.column(c).to_numpy() for c in ("key", "n", "lesson"))
+    seen, _ = stored(slim.select("text", "role").mapInArrow(_count_contexts(shared), "key long, n long, lesson long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("lesson").alias("lesson")), "lm-contexts")
+    after_hot = (F.col("key") >= 1 << 16) & (F.col("key") < int(_GRAM))
+    alone = seen.where(~after_hot).toArrow()  # a count for each leaf, and for each run of the spelling: at most 2^24
+    key, n, own = (alone.column(c).to_numpy() for c in ("key", "n", "lesson"))
     order = np.argsort(key)
-    key, n, own = key[order].view(np.uint64), n[order], own[order]
-    a, b = np.searchsorted(key, [np.uint64(1 << 16), _GRAM])
-    leaf = (key[:b] & np.uint64(0xFFFF)).astype(np.uint16)
-    hot = ((tk.splitmix(codes.hot) & _HIGH)[(key[a:b] >> np.uint64(16)).astype(np.int64) - 1], leaf[a:], n[a:b], own[a:b])
-    leaves = np.arange(len(codes.words.depth))
-
-    def base(n: np.ndarray) -> Entries:
-        return Entries.make(np.zeros(len(leaves) + a, np.uint64), np.concatenate([leaves, leaf[:a]]), np.concatenate([np.zeros(len(leaves), np.int64), n]))
-
-    gram = (key[b:] & np.uint64(0xFFFF_FFFF)).astype(np.uint32)
+    key, n, own = key[order], n[order], own[order]
+    a = int(np.searchsorted(key, int(_GRAM)))
+    leaves, none = np.arange(len(codes.words.depth)), np.zeros(len(codes.words.depth), np.int64)
+    base = Entries.make(np.zeros(len(leaves) + a, np.uint64), np.concatenate([leaves, key[:a]]), np.concatenate([none, n[:a]]), np.concatenate([none, own[:a]]))
+    gram = (key[a:] & 0xFF_FFFF).astype(np.uint32)
     letter = codes.letters.rank[gram & 0xFF].astype(np.int64)
 
     def spelled(n: np.ndarray) -> list[Entries]:
-        return [Entries.make((gram >> np.uint32(8)).astype(np.uint64) % np.uint64(1 << 8 * k) << np.uint64(16), letter, n) for k in (1, 2, 3)]
+        return [Entries.make((gram >> np.uint32(8)).astype(np.uint64) % np.uint64(1 << sum(_SPELLED[: k + 1])) << np.uint64(16), letter, n, own[a:]) for k in range(ORDERS)]
 
-    model = spark.sparkContext.broadcast((codes, hot, base(n[:a] - own[:a])))
-    dealt = train.mapInArrow(_dealer(spark.sparkContext.broadcast((codes, None)), parts, True), _DEALT).select("deal", "blob").repartitionById(parts, F.col("deal"))
-    found = [pickle.loads(r["mixer"]) for r in dealt.mapInArrow(_learner(model), "deal int, mixer binary").orderBy("deal").collect()]
     speller = Mixer()
-    entries = spelled(n[b:] - own[b:])
-    speller.learn(letter, own[b:], entries, [e.of for e in entries], codes.letters, 1)
-    mixer = Mixer.mean([*found, speller]).freeze()
-    entries = spelled(n[b:])
-    spelling = (gram, mixer.score(letter, entries, [e.of for e in entries], codes.letters, 1))
-    model = spark.sparkContext.broadcast((codes, hot, base(n[:a]), mixer))
-    dealt = slim.mapInArrow(_dealer(spark.sparkContext.broadcast((codes, spelling)), parts, False), _DEALT).repartitionById(parts, F.col("deal"))
-    scored, _ = stored(dealt.mapInArrow(_scorer(model), _DEALT).repartition(parts, "slice").mapInArrow(_added, _DOCUMENT), "lm-scored")
+    entries = spelled(n[a:] - own[a:])
+    speller.learn(letter, own[a:], entries, [e.of for e in entries], codes.letters, 1)
+    entries = spelled(n[a:])
+    spelling = (gram, Mixer.mean([speller]).freeze().score(letter, entries, [e.of for e in entries], codes.letters, 1))
+    model = spark.sparkContext.broadcast((codes, spelling, base))
+    hot = seen.where(after_hot).mapInArrow(_hot_dealer(model, parts), _DEALT)
+    dealt = slim.mapInArrow(_dealer(model, parts), _DEALT).unionByName(hot).repartitionById(parts, F.col("deal"))
+    scored, _ = stored(dealt.mapInArrow(_scorer(model, Mixer.mean), _DEALT).repartition(parts, "slice").mapInArrow(_added, _DOCUMENT), "lm-scored")
     # Words beyond the head: each is rare, so its key is never hot.
     rest = scored.select("row_key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row_key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rest.join(counts, "word").groupBy("row_key").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("also"))
