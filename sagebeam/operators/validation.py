@@ -88,6 +88,7 @@ def require_none(found: DataFrame) -> None:
 
 # Ready-made rule sets of the snapshots; columns are named as in their files.  Fields that must be unique go to ``repeated``, record counts to ``reconcile``.
 ACQUISITION_UNIQUE, SOURCE_UNIQUE, PERMISSION_UNIQUE = ("datasetId", "driveFolderId"), ("id",), ("requestId", "datasetId")
+# The form of dataset ids, and the words that tell restricted rights.
 _DATASET_ID = r"^DS-\d{3,}$"
 _RESTRICTED = "noncommercial|non-commercial|sharealike|share-alike|rights verify|license verify|per-item|per-media|gate|required"
 
@@ -122,6 +123,7 @@ def permission_rules() -> list[Rule]:
         implies("an approval has a response date", F.col("status") == "APPROVED", F.coalesce("responseDate", F.lit("")) != "")]
 
 
+# The datasets of the transfer policy.
 _TRANSFER_IDS = [f"DS-{n}" for n in range(137, 147)]
 
 
@@ -141,6 +143,7 @@ def transfer_rules() -> list[Rule]:
         *[holds_all(F.array_join(of(d, f), " "), f"{d} {f} incomplete", *t) for (d, f), t in terms.items()]]
 
 
+# Hosts and licenses that media may come from and under.
 HOSTS = ("academic.oup.com", "oup.silverchair-cdn.com", "www.frontiersin.org", "frontiersin.org", "pmc.ncbi.nlm.nih.gov", "www.ncbi.nlm.nih.gov", "cdn.ncbi.nlm.nih.gov", "www.mdpi.com", "mdpi-res.com",
           "media.springernature.com", "bugwoodcloud.org", "content.ces.ncsu.edu", "commons.wikimedia.org", "www.preprints.org")
 LICENSES = ("CC BY 4.0", "CC BY 3.0", "CC BY 3.0 US", "CC BY", "Public domain (US federal government work)")
@@ -155,6 +158,7 @@ def persistence_rules() -> list[Rule]:
         Rule("content_type is no image", F.col("content_type").startswith("image/")), Rule("byte_size is not from 1 to 20000000", F.col("byte_size").between(1, 20_000_000))]
 
 
+# Fields and lists of a profile, and how many profiles there are at least.
 PROFILE_FIELDS = ("id", "slug", "name", "category", "severity", "reviewStatus", "summary")
 PROFILE_LISTS = ("affectedParts", "stages", "indicators", "exclusions", "progression", "lookAlikes", "confirmation", "immediateActions", "correctivePlan", "prevention", "warnings", "sources", "media")
 LEAST_PROFILES = 61
@@ -178,7 +182,7 @@ def refuse_partial(rows: DataFrame, least: int = LEAST_PROFILES) -> DataFrame:
     return checked.crossJoin(rows).drop("_sound")  # a row beside the rows
 
 
-#: Metrics of a release, each by the manifests that repeat it.
+#: Metrics of a release, each by the manifests that repeat it.
 RELEASE_METRICS = {
     "profiles": ("manifest.diagnosticProfileCount", "manifest.standaloneDetailedProfileCount", "modelReadiness.knowledgeLayer.diagnosticProfiles", "modelReadiness.knowledgeLayer.materializedProfiles", "splitManifest.knowledgeLayerSnapshot.diagnosticProfiles"),
     "sources": ("manifest.evidenceSourceCount", "modelReadiness.knowledgeLayer.evidenceSources", "splitManifest.knowledgeLayerSnapshot.evidenceSources"),
@@ -248,7 +252,7 @@ def binary_violations(records: DataFrame, files: DataFrame) -> DataFrame:
         Rule("license or source missing", full("license") & full("sourceArticle")), Rule("sourceGroupId missing", full("sourceGroupId"))]).unionByName(repeated(records, "binaries", "id"))
 
 
-# What a case store checks: values of columns, and references between its tables (a null reference is no violation).
+# What a case store checks, values of columns, and references between its tables (a null reference is no violation).
 STORE_VALUES = {"case_media": {"media_type": ("image", "video")}, "case_messages": {"role": ("user", "reviewer", "system")}, "intervention_outcomes": {"outcome": ("better", "same", "worse", "unknown")}}
 STORE_KEYS = (("case_media", "case_id", "diagnostic_cases", "case_id"), ("case_media", "parent_media_id", "case_media", "media_id"), ("inference_analyses", "case_id", "diagnostic_cases", "case_id"),
               ("inference_analyses", "supersedes_analysis_id", "inference_analyses", "analysis_id"), ("expert_reviews", "case_id", "diagnostic_cases", "case_id"), ("expert_reviews", "analysis_id", "inference_analyses", "analysis_id"),
