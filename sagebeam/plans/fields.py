@@ -216,7 +216,7 @@ def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in order as one JSON document with an envelope, printed by ranges and read again."""
     path = f"{scratch(spark, 'document')}.json"
     sinks.write_json_document(spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang"), path, "doc_id", head={"version": 1})
-    return documents.json_records(spark, path, T_SLIM).select("doc_id", F.sha2("text", 256).alias("digest"), "lang")
+    return documents.indented_records(spark, path, T_SLIM).select("doc_id", F.sha2("text", 256).alias("digest"), "lang")
 
 
 def json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
@@ -24,6 +25,25 @@ def json_records(spark: SparkSession, path: str, schema: t.StructType, envelope:
     return reader.schema(whole).json(path).select(F.explode(envelope).alias("r")).select("r.*")
 
 
+def indented_records(spark: SparkSession, path: str, schema: t.StructType, envelope: str | None = "records") -> DataFrame:
+    """Records of JSON documents as ``sinks.write_json_document`` prints them, objects with a field at least: below ``envelope``, their last member, or, with None, of a top-level array.
+
+    A string has no line break as it is, so the lines between two records, by their
+    indent, are nowhere else in the array; files are split there like lines and
+    ranges are read apart.  What is before the array is left out.
+    """
+    base = "  " if envelope is None else "    "
+    open_ = "[\n" if envelope is None else f"{json.dumps(envelope, ensure_ascii=False)}: [\n"
+    open_ = f"{'' if envelope is None else chr(10) + '  '}{open_}{base}{{\n"
+    pieces = spark.read.option("lineSep", f"\n{base}}},\n{base}{{").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"), F.col("value").alias("piece"))
+    heads = pieces.where(F.contains("piece", F.lit(open_))).groupBy("file").agg(F.min("at").alias("head"))
+    found = pieces.join(F.broadcast(heads), "file").where("at >= head")  # a row a document
+    body = F.when(F.col("at") == F.col("head"), F.substring_index("piece", open_, -1)).otherwise(F.col("piece"))
+    body = F.regexp_replace(body, rf"\n{base}\}}\n{base[2:]}\](\n\}})?\n?$", "")
+    return found.select(F.from_json(F.concat(F.lit("{"), body, F.lit("}")), schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def json_lines(spark: SparkSession, path: str, schema: t.StructType) -> tuple[DataFrame, DataFrame]:
     """The sound lines of JSON-lines files, and the broken ones as (file, line, content); empty lines are in neither.
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagebeam.operators import annotations, packing
-from sagebeam.sources import ranges, sinks
+from sagebeam.sources import documents, ranges, sinks
 
 
 @pytest.mark.parametrize("head", [None, {}, {"version": 1, "at": "x"}])
@@ -29,6 +29,25 @@ def test_json_document_is_what_stringify_prints(spark, tmp_path, head):
     assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["out.json"]
 
 
+@pytest.mark.parametrize("head", [None, {}, {"version": 1, "marks": [{"id": -1, "s": "x"}, {"id": -2, "s": "y"}]}])
+def test_a_json_document_is_read_in_ranges(spark, tmp_path, head):
+    """A document of many times a split's size is many tasks, and has the same records."""
+    rows = [(i, f'é"\n    }},\n    {{\\{i}' * (i % 7), [{"k": i, "v": [i]}, {"k": None, "v": []}]) for i in range(200)]
+    schema = "id int, s string, l array<struct<k:int,v:array<int>>>"
+    frame, path = spark.createDataFrame(rows, schema), str(tmp_path / "out.json")
+    envelope = None if head is None else "records"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for n in (200, 1, 0):
+            sinks.write_json_document(frame.where(F.col("id") < n), path, "id", head=head)
+            got = documents.indented_records(spark, path, frame.schema, envelope)
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, documents.json_records(spark, path, frame.schema, envelope).collect())) == sorted(map(repr, frame.where(F.col("id") < n).collect()))
+            if n == 200:
+                assert got.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_numbers_as_javascript_prints_them():
     values = {1.0: "1", -0.5: "-0.5", 1e21: "1e+21", 123456789012345680000.0: "123456789012345680000", 1e-6: "0.000001", 1.5e-7: "1.5e-7", 5e-324: "5e-324", 0.1: "0.1", -0.0: "0", 100.0: "100", 123.456: "123.456", float("inf"): "null"}
     assert {v: sinks.js_number(v) for v in values} == values
