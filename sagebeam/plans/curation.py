@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sagebeam.functions import text as T
 from sagebeam.operators import dedup, merging, metric_index, routing, splits
-from sagebeam.operators.shared import scratch, stored
+from sagebeam.operators.shared import bounded_batches, scratch, stored
 from sagebeam.plans.tables import Entry, spread, table
 
 
@@ -57,7 +57,7 @@ _CROSS = "SELECT sha256(text) AS digest, count(*) AS n, count(DISTINCT source) A
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 64-bit difference hash of 72 slices of each whole text, a slice's value the sum of its code points."""
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", "source", dedup.text_dhash(F.col("text")).alias("bits"))
+    return spread(table(bounded_batches(spark), sf_dir, "documents")).select("doc_id", "source", dedup.text_dhash(F.col("text")).alias("bits"))
 
 
 _HASHED = """
