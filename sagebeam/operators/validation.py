@@ -67,10 +67,26 @@ def repeated(rows: DataFrame, dataset: str, *fields: str) -> DataFrame:
     return out
 
 
+#: Parent keys that are broadcast at most, and rows that a task of a join with more sorts, about.
+BROADCAST_KEYS, ROWS_A_TASK = 500_000, 1 << 19
+
+
 def orphans(rows: DataFrame, dataset: str, key: str, field: str, parents: DataFrame, parent_key: str) -> DataFrame:
-    """(dataset, row_key, rule) for rows whose reference has no parent; null references are left alone."""
-    lost = rows.where(F.col(field).isNotNull()).join(parents.select(F.col(parent_key).alias(field)), field, "left_anti")
-    return lost.select(F.lit(dataset).alias("dataset"), F.col(key).cast("string").alias("row_key"), F.lit(f"{field} has no parent").alias("rule"))
+    """(dataset, row_key, rule) for rows whose reference has no parent; null references are left alone.
+
+    Few parents are broadcast; with more, both sides are dealt to so many tasks that what each holds is bounded.
+    """
+    spark = rows.sparkSession
+    slim = rows.where(F.col(field).isNotNull()).select(F.col(key).cast("string").alias("row_key"), F.col(field).alias("_reference"))
+    known = parents.where(F.col(parent_key).isNotNull()).select(F.col(parent_key).alias("_reference"))
+    many = parents.count()
+    if many <= BROADCAST_KEYS:
+        known = F.broadcast(known.distinct())
+    else:
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(many, rows.count()) // ROWS_A_TASK))
+        slim, known = slim.repartition(n, "_reference"), known.repartition(n, "_reference").distinct()
+    lost = slim.join(known, "_reference", "left_anti")
+    return lost.select(F.lit(dataset).alias("dataset"), "row_key", F.lit(f"{field} has no parent").alias("rule"))
 
 
 def reconcile(actual: DataFrame, expected: DataFrame) -> DataFrame:
