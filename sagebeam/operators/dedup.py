@@ -15,6 +15,8 @@ from sagebeam.functions import text as T
 
 #: Values of a difference hash's picture, and its bits.
 SLICES, BITS = 72, 64
+#: Keys of words that one task of the join that finds edges sorts on each side, about.
+KEYS_A_TASK = 1 << 19
 #: Share of all edges beyond which a node is hot.
 HOT = 1e-4
 
@@ -84,7 +86,8 @@ def hamming_edges(classes: DataFrame, radius: int = 4) -> DataFrame:
     first bands that it agrees on, so none comes twice.  Words are distinct, whatever
     the number of their copies.
     """
-    m = _bands(classes.count(), radius)
+    words = classes.count()
+    m = _bands(words, radius)
     cuts = [BITS * i // m for i in range(m + 1)]
     widths = [hi - lo for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -100,6 +103,8 @@ def hamming_edges(classes: DataFrame, radius: int = 4) -> DataFrame:
             at += widths[i]
         keys.append(key)
     split = classes.select("word", F.posexplode(F.array(*keys)).alias("choice", "key"))
+    # So many tasks that what each sorts is bounded, whatever the session's number of partitions.
+    split = split.repartition(max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words * len(chosen) // KEYS_A_TASK)), "choice", "key")
     pairs = split.alias("x").join(split.alias("y"), (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.word") < F.col("y.word")))
     differ = F.col("x.word").bitwiseXOR(F.col("y.word"))
     distance = T.hamming(F.col("x.word"), F.col("y.word"))
