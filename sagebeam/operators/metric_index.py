@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebeam.operators.shared import stored
+from sagebeam.operators.shared import bounded_batches, stored
 
 #: Pivots at most (8 bytes each, to every task), words of a block, and probing words that meet a block together.
 PIVOTS, BLOCK, PROBES = 4096, 1 << 16, 4096
@@ -60,7 +60,7 @@ def _blocks(words: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 def build(words: DataFrame, path: str) -> None:
     """Write the index of the column ``word`` (long) to the folder ``path``; repeated words are one, nulls none."""
-    spark = words.sparkSession
+    spark = bounded_batches(words.sparkSession)
     known = words.select("word").where("word is not null").distinct()
     n = known.count()
     most = max(1, min(PIVOTS, int(np.ceil(np.sqrt(n)))))
@@ -120,7 +120,7 @@ def probe(words: DataFrame, path: str, radius: int = 4) -> DataFrame:
 
     Repeated words ask once, nulls not at all; an index without words answers nothing.
     """
-    spark = words.sparkSession
+    spark = bounded_batches(words.sparkSession)
     pivots = _pivots(spark, path)
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     reach = np.full(len(pivots), -65, dtype=np.int32)  # cells without words are reached by nothing

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sagebeam.operators import dedup, validation
+from sagebeam.operators import dedup, metric_index, validation
 from sagebeam.operators.shared import BATCH_BYTES, BATCH_ROWS
 from sagebeam.plans import curation
 
@@ -39,3 +39,16 @@ def test_orphans_of_many_parents_are_dealt_to_many_tasks(spark, monkeypatch):
         monkeypatch.setattr(validation, "ROWS_A_TASK", 50)
         found = validation.orphans(rows, "rows", "id", "ref", parents, "p")
         assert sorted(r["row_key"] for r in found.collect()) == want and plan in found._jdf.queryExecution().toString()
+
+
+def test_the_metric_index_reads_bounded_batches(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for work in (lambda: metric_index.build(words, str(tmp_path)), lambda: metric_index.probe(words, str(tmp_path)).count()):
+            words = spark.range(50).select(F.col("id").alias("word"))
+            spark.conf.set(key, "10000")
+            work()
+            assert int(spark.conf.get(key)) <= BATCH_ROWS
+    finally:
+        spark.conf.set(key, before)
