@@ -144,7 +144,7 @@ class _Roots:
 
 
 def _tile_links(x: dict[str, np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """Links of one tile that join components: a spanning forest of them, confirmed on the full sets.
+    """Links of one tile that join components, told by the components' labels: a spanning forest of them, confirmed on the full sets.
 
     Looked at are pairs of different components, of near sizes, whose signatures
     agree nearly enough, in the first band that they share.
@@ -176,7 +176,7 @@ def _tile_links(x: dict[str, np.ndarray], percent: int) -> tuple[list[int], list
             both = int(np.count_nonzero(present[numbers[k]]))
             if 100 * both >= percent * (size[i] + size[k] - both):
                 roots.union(root[i], root[k])
-                out_a.append(x["node"][i]), out_b.append(x["node"][k])
+                out_a.append(x["root"][i]), out_b.append(x["root"][k])
         present[numbers[i]] = False
     return out_a, out_b
 
@@ -228,6 +228,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     member has an id, component_id is null and kept is null.  Only doc_id and
     text are read, so extra columns cannot clash.
     """
+    return _marked(docs, percent)[0]
+
+
+def _marked(docs: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """The rows of ``near_duplicates``, and the paths that they read."""
     spark = bounded_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     signed, signed_path = stored(slim.mapInArrow(_signer(rows_of_bands(percent)), "doc_id long, text_key long, n_shingles long, node long, bands array<long>, sketch binary"), "minhash-signed")
@@ -245,34 +250,52 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links, links_path = _linked(docs, nodes, spokes, percent)
     roots, root_paths = components(links, "minhash-first")
 
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = placed.where("node <> hub and members > 2").drop("members", "hub").join(rooted.select("node", "root", "n_shingles"), "node")
+    # Written once, as the steps below read it several times.
+    named, named_path = stored(nodes.join(roots, "node", "left").select("node", "least_id", "n_shingles", F.coalesce("root", "node").alias("root")), "minhash-rooted")
+    discard(spark, hubs_path, links_path, *root_paths)
+    paths = [nodes_path, placed_path, named_path]
+
+    apart = placed.where("node <> hub and members > 2").drop("members", "hub").join(named.select("node", "root", "n_shingles"), "node")
     open_buckets = apart.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).where("x <> y")
     open_buckets, open_path = stored(open_buckets.select("bucket", "members", F.ceil(F.greatest(F.col("members") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles")), "minhash-open")
-    left = (
-        _by_bucket(apart, open_buckets).drop("members").join(nodes.select("node", "bands", "sketch"), "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-        .withColumn("ti", F.least("own", "other")).withColumn("tj", F.greatest("own", "other"))
-        .withColumn("part", F.when(F.col("own") == F.col("ti"), 0).otherwise(1)))
-    sets, sets_path = _sets(docs, nodes, left.select("node"))
-    tiles = left.join(sets, "node").select("bucket", "ti", "tj", "node", "root", "n_shingles", "part", "band", "bands", "sketch", "shingles")
-    more, more_path = stored(tiles.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj").mapInArrow(_tiler(percent), "a long, b long"), "minhash-more")
-    final, final_paths = components(links.unionByName(more), "minhash-final")
+    if open_buckets.limit(1).count():
+        more, more_path = _joining(docs, nodes, apart, open_buckets, percent)
+        # Labels are the smallest nodes of their components, so the smallest of joined labels is the smallest node.
+        over, over_paths = components(more, "minhash-final")
+        over = over.select(F.col("node").alias("root"), F.col("root").alias("over"))
+        named, joined_path = stored(named.join(over, "root", "left").select("node", "least_id", F.coalesce("over", "root").alias("root")), "minhash-named")
+        paths += [more_path, joined_path, *over_paths]
 
-    named = nodes.join(final, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known, known_path = stored(named.join(least, "root").select("node", "component_id"), "minhash-known")
-    discard(spark, open_path, sets_path, nodes_path, hubs_path, placed_path, links_path, more_path, *root_paths, *final_paths)
+    discard(spark, open_path, *paths)
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(known, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key", "node")
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key", "node"), [signed_path, known_path]
+
+
+def _joining(docs: DataFrame, nodes: DataFrame, apart: DataFrame, open_buckets: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """Links between components, by their labels, that tiles of the open buckets find, and the table's path."""
+    left, left_path = stored(_by_bucket(apart, open_buckets).drop("members"), "minhash-apart")
+    sets, sets_path = _sets(docs, nodes, left.select("node"))
+    tiles = (
+        left.join(nodes.select("node", "bands", "sketch"), "node")
+        .withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+        .withColumn("ti", F.least("own", "other")).withColumn("tj", F.greatest("own", "other"))
+        .withColumn("part", F.when(F.col("own") == F.col("ti"), 0).otherwise(1))
+        .join(sets, "node").select("bucket", "ti", "tj", "node", "root", "n_shingles", "part", "band", "bands", "sketch", "shingles"))
+    more, path = stored(tiles.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj").mapInArrow(_tiler(percent), "a long, b long"), "minhash-more")
+    discard(docs.sparkSession, left_path, sets_path)
+    return more, path
 
 
 def _by_bucket(places: DataFrame, buckets: DataFrame) -> DataFrame:
     """``places`` joined to ``buckets`` (bucket, members and more); those of hot buckets by broadcast, the others by shuffle."""
-    total = buckets.agg(F.sum("members")).first()[0] or 0
-    least = max(TILE, int(total * HOT))
+    total, most = buckets.agg(F.sum("members"), F.max("members")).first()
+    least = max(TILE, int((total or 0) * HOT))
+    if (most or 0) <= least:
+        return places.join(buckets, "bucket")
     # Buckets of so many members are fewer than 1 / HOT, some 300 KB.
     hot = F.broadcast(buckets.where(F.col("members") > least).withColumn("_hot", F.lit(True)))
     known = places.join(hot, "bucket", "left")
@@ -312,7 +335,9 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     id in it, the one whose text has the smallest hash, and of equal texts one.
     Rows without words stand for themselves.
     """
-    marked = near_duplicates(docs, percent)
+    marked, paths = _marked(docs, percent)
+    marked, marked_path = stored(marked, "minhash-marked")
+    discard(docs.sparkSession, *paths)
     alone = marked.where("node is null").select("doc_id", "text_key").distinct()
     first = marked.where("node is not null and doc_id <=> component_id").groupBy("node", "component_id").agg(F.min(F.struct("text_key", "doc_id")).alias("of"))
     first = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("group")).agg(F.min("of").alias("of")).select("of.doc_id", "of.text_key")
@@ -322,6 +347,7 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     chosen = chosen.select(F.col("doc_id").alias("_minhash_id"), F.col("text_key").alias("_minhash_of"), F.col("many").alias("_minhash_many"))
     rows = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_minhash_id")) & (F.col(key) == F.col("_minhash_of")))
     repeated = marked.where("node is not null").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    discard(docs.sparkSession, marked_path)
     if repeated:
         # Only where whole rows repeat: rows without words all stay, of others one a key.
         rows = rows.where("_minhash_many").unionByName(rows.where("not _minhash_many").dropDuplicates(["_minhash_of"]))
