@@ -45,7 +45,10 @@ class Automaton:
             for byte, to in longer[p]:
                 self.step[number[p], byte] = to
         self.found = np.array([bool(ends[p]) and p != b"" for p in prefixes])
-        self.groups = [np.array(sorted(ends[p]), dtype=np.int64) if p else np.zeros(0, dtype=np.int64) for p in prefixes]
+        groups_of = [sorted(ends[p]) if p else [] for p in prefixes]
+        self.many = np.array([len(g) for g in groups_of], dtype=np.int64)
+        self.first = np.cumsum(self.many) - self.many
+        self.groups = np.array([g for of in groups_of for g in of], dtype=np.int64)
         self.n = len(groups)
 
     def pairs(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +69,11 @@ class Automaton:
                 live = int(np.searchsorted(-left, -i, side="left"))  # pieces are in descending order of length
                 state = self.step[state[:live], data[begin[order[:live]] + i]]
                 hit = np.flatnonzero(self.found[state])
-                for s in np.unique(state[hit]):
-                    text = of[order[hit[state[hit] == s]]]
-                    out.append((text[:, None] * self.n + self.groups[s]).ravel())
+                if len(hit):
+                    ended, text = state[hit], of[order[hit]]
+                    many = self.many[ended]
+                    at = np.arange(many.sum()) + np.repeat(self.first[ended] - (np.cumsum(many) - many), many)
+                    out.append(np.repeat(text, many) * self.n + self.groups[at])
         both = np.unique(np.concatenate(out))
         return np.divmod(both, max(1, self.n))
 

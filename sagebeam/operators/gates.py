@@ -19,6 +19,8 @@ RULE = "rule string, scope string, field string, kind string, value string, numb
 BROADCAST_RULES = 200_000
 #: Different words that automata are made for, on the driver; a table of more is refused.
 MOST_TERMS = 200_000
+#: Stands for a facet as a whole where it meets rules; the terms found in it have numbers from 0.
+WHOLE = -1
 #: What a rule may ask of a field: its text in lower case has the value, has it not, matches it; its text as it stands matches; its items have it, have none like it, one of them holds it; the first is it; how many there are; the number's ceiling.
 KINDS = ("holds", "lacks", "matches", "matches_case", "lists", "none", "some", "is", "size", "least", "most")
 
@@ -135,16 +137,26 @@ def violations(facets: DataFrame, rules: DataFrame) -> DataFrame:
     missing is below no ceiling.  An unknown kind stops the job.
     """
     spark = facets.sparkSession
-    terms = [r[0] for r in rules.where("kind in ('holds', 'lacks') and value is not null").select("value").distinct().orderBy("value").limit(MOST_TERMS + 1).collect()]
+    of_terms = rules.where("kind in ('holds', 'lacks') and value is not null")
+    terms = [r[0] for r in of_terms.select("value").distinct().orderBy("value").limit(MOST_TERMS + 1).collect()]
     if len(terms) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} different terms")
-    ready = facets.withColumn("items", F.array_compact(F.coalesce("items", F.expr("cast(array() as array<string>)")))).withColumn("text", F.lower(F.array_join("items", " ")))
-    ready = keywords.with_terms(ready, "text", terms, "found") if terms else ready.withColumn("found", F.expr("cast(array() as array<int>)"))
+    # Only fields that a rule asks for terms are read by the automata.
+    read = F.broadcast(of_terms.select("field").distinct().withColumn("read", F.lit(True)))
+    ready = facets.join(read, "field", "left").withColumn("items", F.array_compact(F.coalesce("items", F.expr("cast(array() as array<string>)")))).withColumn("text", F.lower(F.array_join("items", " ")))
+    ready = ready.withColumn("terms_of", F.when(F.col("read"), F.col("text")))
+    ready = keywords.with_terms(ready, "terms_of", terms, "found") if terms else ready.withColumn("found", F.expr("cast(array() as array<int>)"))
     numbered = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "value string, term int")
     asked = rules.join(F.broadcast(numbered), "value", "left").select("rule", "scope", F.col("field").alias("of"), "kind", "value", F.col("number").alias("asked"), "term")
+    # A rule that a text lacks a term meets the term where it was found, and so only what violates it; all other rules meet the facet itself.
+    asked = asked.withColumn("met_by", F.when((F.col("kind") == "lacks") & F.col("term").isNotNull(), F.col("term")).otherwise(WHOLE))
     small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    met = ready.select("record_id", F.explode("scopes").alias("at"), "field", "items", "number", "text", "found").join(F.broadcast(asked) if small else asked, (F.col("at") == F.col("scope")) & (F.col("field") == F.col("of")))
-    failed = met.where(~F.coalesce(_met(F.col("kind"), F.col("value"), F.col("asked")), F.lit(False))).select("record_id", "rule", "scope")
+    of_whole = lambda c: F.when(F.col("by") == WHOLE, F.col(c)).alias(c)
+    placed = ready.select("record_id", F.explode("scopes").alias("at"), "field", "items", "number", "text", "found").withColumn("by", F.explode(F.concat(F.array(F.lit(WHOLE)), "found")))
+    placed = placed.select("record_id", "at", "field", "by", "number", *[of_whole(c) for c in ("items", "text", "found")])
+    met = placed.join(F.broadcast(asked) if small else asked, (F.col("at") == F.col("scope")) & (F.col("field") == F.col("of")) & (F.col("by") == F.col("met_by")))
+    kept = F.when(F.col("by") == WHOLE, F.coalesce(_met(F.col("kind"), F.col("value"), F.col("asked")), F.lit(False))).otherwise(False)
+    failed = met.where(~kept).select("record_id", "rule", "scope")
     own = asked.where("startswith(scope, 'slug:')")
     there = facets.select(F.explode("scopes").alias("at"), "field").where("startswith(at, 'slug:')").distinct()
     lost = own.join(there, (own["scope"] == there["at"]) & (own["of"] == there["field"]), "left_anti")

@@ -222,11 +222,13 @@ _CONTENT = _sql("WITH r AS (SELECT lower(text) AS t, list_distinct(string_split(
 def gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records under a table of rules: no long word of the benchmark in any, and what sources and languages must hold; how many records fail each rule."""
     words = F.array_distinct(F.split(F.lower("text"), " "))
-    nothing = F.expr("cast(array() as array<string>)")
-    facet = lambda field, items, number=None: F.struct(F.lit(field).alias("field"), items.alias("items"), (F.lit(None).cast("double") if number is None else number).alias("number"))
     docs = spread(table(spark, sf_dir, "documents"))
     scopes = F.array(F.concat(F.lit("slug:"), "source"), F.concat(F.lit("category:"), "lang"), F.lit("all"))
-    facets = docs.select(F.col("doc_id").alias("record_id"), F.array_compact(scopes).alias("scopes"), F.inline(F.array(facet("text", F.array(F.col("text"))), facet("words", words), facet("lines", F.split("text", "\n")), facet("cap", nothing, F.col("n_chars") / 5000))))
+    fields = docs.select("doc_id", "source", "lang", "text", "n_chars", F.explode(F.array(*map(F.lit, ("text", "words", "lines", "cap")))).alias("field"))
+    # Each row makes the items of its own field, and none where only fields are asked for.
+    field = F.col("field")
+    items = F.when(field == "text", F.array("text")).when(field == "words", words).when(field == "lines", F.split("text", "\n")).otherwise(F.expr("cast(array() as array<string>)"))
+    facets = fields.select(F.col("doc_id").alias("record_id"), F.array_compact(scopes).alias("scopes"), field, items.alias("items"), F.when(field == "cap", F.col("n_chars") / 5000).alias("number"))
     long_words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("value")).where("length(value) >= 6").distinct()
     lacks = long_words.select(F.concat(F.lit("lacks "), "value").alias("rule"), F.lit("all").alias("scope"), F.lit("text").alias("field"), F.lit("lacks").alias("kind"), "value", F.lit(None).cast("double").alias("number"))
     sources, langs = (docs.select(F.concat(F.lit(tag), c).alias("scope")).where("scope is not null").distinct() for tag, c in (("slug:", "source"), ("category:", "lang")))

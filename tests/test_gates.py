@@ -45,3 +45,18 @@ def test_every_record_of_the_catalogue_gates_is_known(spark):
     assert {r["kind"] for r in rules} <= set(gates.KINDS) and len(rules) == len({(r["rule"], r["scope"]) for r in rules})
     empty = spark.createDataFrame([], "slug string, category string, reviewStatus string, scientificName string, photoOnlyMaxConfidence double, confirmation array<string>, warnings array<string>, lookAlikes array<string>, media array<struct<id:string,trainingEligible:boolean,useLimitations:array<string>>>, sources array<struct<doi:string,url:string>>")
     assert gates.violations(gates.catalogue_facets(empty), gates.catalogue_rules(spark)).where("record_id is null").count() == sum(r["scope"].startswith("slug:") for r in rules)
+
+
+def test_terms_meet_only_the_rules_that_they_break(spark):
+    """Rows that lack a word are not paired with the rule that asks for it; a rule told twice, an empty word and none at all count as they are."""
+    rows = [(f"r{i}", "all", "t", "lacks", f"w{i}x", None) for i in range(500)] + [("tip", "all", "t", "lacks", "tip", None)] * 2 + [("none", "all", "t", "lacks", None, None), ("empty", "all", "cap", "lacks", "", None)]
+    found = gates.violations(facets(spark), spark.createDataFrame(rows, gates.RULE))
+    assert sorted((r["record_id"], r["rule"]) for r in found.collect()) == [("a", "empty"), ("a", "none"), ("a", "tip"), ("a", "tip"), ("b", "empty"), ("b", "none")]
+    nodes, paired = [found._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        below = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else None
+        nodes += [below] if below else [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in node.nodeName() and "met_by" in node.toString().split("\n")[0]:
+            paired.append(node.metrics().apply("numOutputRows").value())
+    assert paired and max(paired) < 20
