@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagebeam.llm import textkit as tk
-from sagebeam.llm.frames import bounded_batches, components, discard, stored
+from sagebeam.llm.frames import bounded_batches, components, discard, narrow, stored
 
 PERMUTATIONS = 84
 #: Probability with which a pair at the threshold may share no bucket.
@@ -244,30 +244,30 @@ def _marked(docs: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
             F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "minhash-nodes")
     in_band = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    hubs, hubs_path = stored(in_band.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("members")).where("hub <> top").drop("top"), "minhash-hubs")
-    placed, placed_path = stored(_by_bucket(in_band, hubs), "minhash-placed")
+    hubs, hubs_path = stored(narrow(in_band.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("members")).where("hub <> top").drop("top")), "minhash-hubs")
+    placed, placed_path = stored(narrow(_by_bucket(in_band, hubs)), "minhash-placed")
     spokes = placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links, links_path = _linked(docs, nodes, spokes, percent)
     roots, root_paths = components(links, "minhash-first")
 
     # Written once, as the steps below read it several times.
-    named, named_path = stored(nodes.join(roots, "node", "left").select("node", "least_id", "n_shingles", F.coalesce("root", "node").alias("root")), "minhash-rooted")
+    named, named_path = stored(narrow(nodes.join(roots, "node", "left").select("node", "least_id", "n_shingles", F.coalesce("root", "node").alias("root"))), "minhash-rooted")
     discard(spark, hubs_path, links_path, *root_paths)
     paths = [nodes_path, placed_path, named_path]
 
     apart = placed.where("node <> hub and members > 2").drop("members", "hub").join(named.select("node", "root", "n_shingles"), "node")
     open_buckets = apart.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).where("x <> y")
-    open_buckets, open_path = stored(open_buckets.select("bucket", "members", F.ceil(F.greatest(F.col("members") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles")), "minhash-open")
+    open_buckets, open_path = stored(narrow(open_buckets.select("bucket", "members", F.ceil(F.greatest(F.col("members") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))), "minhash-open")
     if open_buckets.limit(1).count():
         more, more_path = _joining(docs, nodes, apart, open_buckets, percent)
         # Labels are the smallest nodes of their components, so the smallest of joined labels is the smallest node.
         over, over_paths = components(more, "minhash-final")
         over = over.select(F.col("node").alias("root"), F.col("root").alias("over"))
-        named, joined_path = stored(named.join(over, "root", "left").select("node", "least_id", F.coalesce("over", "root").alias("root")), "minhash-named")
+        named, joined_path = stored(narrow(named.join(over, "root", "left").select("node", "least_id", F.coalesce("over", "root").alias("root"))), "minhash-named")
         paths += [more_path, joined_path, *over_paths]
 
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known, known_path = stored(named.join(least, "root").select("node", "component_id"), "minhash-known")
+    known, known_path = stored(narrow(named.join(least, "root").select("node", "component_id")), "minhash-known")
     discard(spark, open_path, *paths)
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(known, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
@@ -276,7 +276,7 @@ def _marked(docs: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
 
 def _joining(docs: DataFrame, nodes: DataFrame, apart: DataFrame, open_buckets: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """Links between components, by their labels, that tiles of the open buckets find, and the table's path."""
-    left, left_path = stored(_by_bucket(apart, open_buckets).drop("members"), "minhash-apart")
+    left, left_path = stored(narrow(_by_bucket(apart, open_buckets).drop("members")), "minhash-apart")
     sets, sets_path = _sets(docs, nodes, left.select("node"))
     tiles = (
         left.join(nodes.select("node", "bands", "sketch"), "node")
@@ -314,7 +314,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> tuple[DataFra
 
 def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """The pairs (a, b) of nodes whose full sets meet the threshold, and the table's path."""
-    pairs, pairs_path = stored(pairs, "minhash-pairs")
+    pairs, pairs_path = stored(narrow(pairs), "minhash-pairs")
     sets, sets_path = _sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     # Pairs of a hub with very many spokes are dealt to several tasks, each with the hub's set; such hubs are fewer than 1 / HOT.
     least = max(TILE, int(pairs.count() * HOT))
@@ -336,12 +336,12 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows without words stand for themselves.
     """
     marked, paths = _marked(docs, percent)
-    marked, marked_path = stored(marked, "minhash-marked")
+    marked, marked_path = stored(narrow(marked), "minhash-marked")
     discard(docs.sparkSession, *paths)
     alone = marked.where("node is null").select("doc_id", "text_key").distinct()
     first = marked.where("node is not null and doc_id <=> component_id").groupBy("node", "component_id").agg(F.min(F.struct("text_key", "doc_id")).alias("of"))
     first = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("group")).agg(F.min("of").alias("of")).select("of.doc_id", "of.text_key")
-    chosen, _ = stored(alone.withColumn("many", F.lit(True)).unionByName(first.withColumn("many", F.lit(False))), "minhash-chosen")
+    chosen, _ = stored(narrow(alone.withColumn("many", F.lit(True)).unionByName(first.withColumn("many", F.lit(False)))), "minhash-chosen")
     key = "_minhash_text_key"
     keyed = docs.withColumn(key, F.xxhash64("text"))
     chosen = chosen.select(F.col("doc_id").alias("_minhash_id"), F.col("text_key").alias("_minhash_of"), F.col("many").alias("_minhash_many"))

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sagebeam.llm import frames, minhash
+from sagebeam.llm import frames, langid, learning, minhash
 
 
 def least_reachable(edges):
@@ -69,3 +74,35 @@ def test_labels_of_components_are_joined(spark, monkeypatch):
     near = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])]
     want = {i: i for i in range(len(sets))} | least_reachable(near)
     assert got == want and len(set(want.values())) > 2 and asked == ["minhash-first", "minhash-final"]
+
+
+def test_narrow_tables_have_few_files(spark):
+    """Components of many shuffle partitions leave a few files a core."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 10).alias("b"))
+        found, (path,) = frames.components(edges)
+        assert sorted(map(tuple, found.collect())) == [(i, i - i % 10) for i in range(2000)]
+        assert len(list(Path(path.removeprefix("file://")).glob("*.parquet"))) <= frames.NARROW_FILES * spark.sparkContext.defaultParallelism < 60
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_features_hold_little_beside_the_matrix():
+    texts = pa.chunked_array([pa.array(["Ein Satz, und noch einer. " * 60] * n, pa.string()) for n in (900, 0, 1100)])
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            return work(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    rows, most = peak(lambda: sum(b - a for a, b, _ in learning.ngrams(texts.chunk(2), learning.LETTERS, langid.DIMS)))
+    assert rows == 1100 and most < 24 << 20
+    x, most = peak(lambda: langid.features(texts))
+    assert x.shape == (2000, langid.DIMS) and np.allclose(x, x[0]) and abs(float(np.square(x[0]).sum()) - 1) < 1e-5
+    assert most < x.nbytes + (24 << 20)
