@@ -7,7 +7,9 @@ sets, so copies never meet as pairs.  Buckets first link every member to the
 bucket's smallest node; links are confirmed on the full sets and joined to
 components, and only pairs of a bucket that these leave apart are looked at
 again, in tiles of bounded size that send back a forest of confirmed links.
-Pairs inside a component need no check: they could not change it.  Bands are as
+Pairs inside a component need no check: they could not change it.  A bucket of
+several tiles is parted first, by what its members have besides its most central
+one, so that a group of near copies does not meet itself in tiles.  Bands are as
 long as the threshold allows for a pair at it to share no bucket with a
 probability of at most ``MISSED`` (6 rows at 0.85, 5 at 0.80: both 2e-6).
 Buckets that many nodes share are joined by broadcast, so that none is one task.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sagebeam.llm import textkit as tk
@@ -127,6 +129,25 @@ def _confirmer(percent: int):
     return confirm
 
 
+def _differ(percent: int):
+    """Over pairs of a centre a and a member b: the size of b's set, how much of it is in a's, whether they link, whether b is the smaller, and b's shingles that a has not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, both, linked, smaller, own = [], [], [], [], []
+            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                rest = y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y]
+                sizes.append(len(y)), both.append(len(y) - len(rest)), smaller.append(len(y) < len(x)), own.append(rest.view(np.int64))
+                linked.append(100 * both[-1] >= percent * (len(x) + len(rest)))
+            yield pa.record_batch(
+                [*(batch.column(c) for c in ("a", "b", "root_a", "root_b")), pa.array(sizes, pa.int64()), pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(smaller, pa.bool_()), pa.array(own, pa.list_(pa.int64()))],
+                names=["a", "b", "root_a", "root_b", "n_shingles", "both", "linked", "smaller", "own"],
+            )
+
+    return run
+
+
 class _Roots:
     """Union-find over the components that meet in a tile."""
 
@@ -147,7 +168,7 @@ def _tile_links(x: dict[str, np.ndarray], percent: int) -> tuple[list[int], list
     """Links of one tile that join components, told by the components' labels: a spanning forest of them, confirmed on the full sets.
 
     Looked at are pairs of different components, of near sizes, whose signatures
-    agree nearly enough, in the first band that they share.
+    agree nearly enough, in the first band that they share; a bucket of no band looks at all of its pairs.
     """
     if x["ti"][0] == x["tj"][0]:
         left = right = np.arange(len(x["part"]))
@@ -165,7 +186,7 @@ def _tile_links(x: dict[str, np.ndarray], percent: int) -> tuple[list[int], list
         j = j[(root[j] != root[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
         if len(j):
             j = j[(x["sketch"][j] == x["sketch"][i]).mean(axis=1) >= floor]
-        if len(j):
+        if len(j) and x["band"][i] >= 0:
             j = j[(x["bands"][j] == x["bands"][i]).argmax(axis=1) == x["band"][i]]
         if not len(j):
             continue
@@ -255,9 +276,8 @@ def _marked(docs: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
     discard(spark, hubs_path, links_path, *root_paths)
     paths = [nodes_path, placed_path, named_path]
 
-    apart = placed.where("node <> hub and members > 2").drop("members", "hub").join(named.select("node", "root", "n_shingles"), "node")
-    open_buckets = apart.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).where("x <> y")
-    open_buckets, open_path = stored(narrow(open_buckets.select("bucket", "members", F.ceil(F.greatest(F.col("members") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))), "minhash-open")
+    apart, apart_path = stored(narrow(placed.where("node <> hub and members > 2").drop("members", "hub").join(named.select("node", "root", "n_shingles"), "node")), "minhash-apart")
+    open_buckets, open_path = stored(narrow(_open(apart)), "minhash-open")
     if open_buckets.limit(1).count():
         more, more_path = _joining(docs, nodes, apart, open_buckets, percent)
         # Labels are the smallest nodes of their components, so the smallest of joined labels is the smallest node.
@@ -268,28 +288,90 @@ def _marked(docs: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
 
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known, known_path = stored(narrow(named.join(least, "root").select("node", "component_id")), "minhash-known")
-    discard(spark, open_path, *paths)
+    discard(spark, apart_path, open_path, *paths)
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(known, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key", "node"), [signed_path, known_path]
 
 
+def _open(places: DataFrame) -> DataFrame:
+    """Buckets (bucket, members, tiles) of ``places`` (bucket, root, n_shingles) that hold more than one component."""
+    buckets = places.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).where("x <> y")
+    return buckets.select("bucket", "members", F.ceil(F.greatest(F.col("members") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
+
+
 def _joining(docs: DataFrame, nodes: DataFrame, apart: DataFrame, open_buckets: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """Links between components, by their labels, that tiles of the open buckets find, and the table's path."""
-    left, left_path = stored(narrow(_by_bucket(apart, open_buckets).drop("members")), "minhash-apart")
+    left, left_path = stored(narrow(_by_bucket(apart, open_buckets)), "minhash-left")
     sets, sets_path = _sets(docs, nodes, left.select("node"))
+    paths, found, large = [left_path, sets_path], [], left.where("tiles > 1").count()
+    left = left.select("bucket", "band", "node", "root", "n_shingles", "members", "tiles")
+    while large:
+        parts, links, part_paths = _parted(left.where("tiles > 1"), sets, percent)
+        left, before, large = left.where("tiles = 1").unionByName(parts), large, parts.where("tiles > 1").count()
+        found.append(links)
+        paths += part_paths
+        if 2 * large > before:
+            break
     tiles = (
-        left.join(nodes.select("node", "bands", "sketch"), "node")
+        left.drop("members").join(nodes.select("node", "bands", "sketch"), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
         .withColumn("ti", F.least("own", "other")).withColumn("tj", F.greatest("own", "other"))
         .withColumn("part", F.when(F.col("own") == F.col("ti"), 0).otherwise(1))
         .join(sets, "node").select("bucket", "ti", "tj", "node", "root", "n_shingles", "part", "band", "bands", "sketch", "shingles"))
-    more, path = stored(tiles.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj").mapInArrow(_tiler(percent), "a long, b long"), "minhash-more")
-    discard(docs.sparkSession, left_path, sets_path)
+    more = tiles.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj").mapInArrow(_tiler(percent), "a long, b long")
+    for links in found:
+        more = more.unionByName(links)
+    more, path = stored(more, "minhash-more")
+    discard(docs.sparkSession, *paths)
     return more, path
 
 
+def _parted(places: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``places`` of large buckets in other buckets that together hold every pair still to be looked at, links of labels found on the way, and the paths that both read.
+
+    Every bucket has a centre c, the member with most neighbours in large buckets, and all
+    of its members x are compared with it.  Two sets x and y that link have at least
+    percent of x in common with y.  Where all of that is in c and c is no larger than y, x
+    links with c: |x & c| >= |x & y| and |c| <= |y|.  So of two sets that link, and do not
+    both belong to the component of c, either
+
+    * both have a shingle in common that c has not.  At least ``k``, percent of |x| less
+      |x & c|, of them are shared, so it is enough to meet in all but ``k - 1`` of those
+      that several components have, the rarest first; or
+    * one is outside the component of c, one is smaller than c, and percent of each is in c.
+    """
+    weights = places.groupBy("node").agg(F.sum("members").alias("weight"))
+    centres = places.join(weights, "node").groupBy("bucket").agg(F.first("members").alias("members"), F.max(F.struct("weight", "node", "root")).alias("of"))
+    centres, centres_path = stored(narrow(centres.select("bucket", "members", F.col("of.node").alias("a"), F.col("of.root").alias("root_a"))), "minhash-centres")
+    pairs = _by_bucket(places.drop("members"), centres)
+    pairs, pairs_path = stored(narrow(pairs.where("node <> a").select("a", F.col("node").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()), "minhash-around")
+    names = "a long, b long, root_a long, root_b long, n_shingles long, both long, linked boolean, smaller boolean, own array<long>"
+    measured, path = stored(_met(pairs, sets).select("a", "b", "root_a", "root_b", "of_a", "of_b").mapInArrow(_differ(percent), names), "minhash-differ")
+    links = measured.where("linked and root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    members = measured.withColumnRenamed("b", "node").withColumn("root", F.when(F.col("linked"), F.col("root_a")).otherwise(F.col("root_b"))).withColumn("k", F.ceil(F.lit(percent) * F.col("n_shingles") / 100) - F.col("both"))
+
+    own = members.select("a", "node", "root", "n_shingles", "k", F.explode("own").alias("of"))
+    shared, shared_path = stored(narrow(own.groupBy("a", "of").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).where("x <> y").select(F.xxhash64("a", "of").alias("bucket"), "members")), "minhash-shared")
+    own = _by_bucket(own.withColumn("bucket", F.xxhash64("a", "of")), shared)
+    of_one = Window.partitionBy("a", "node")
+    own = own.withColumn("n", F.count("*").over(of_one)).withColumn("at", F.row_number().over(of_one.orderBy("members", "bucket")))
+    own = own.where("at <= n + 1 - greatest(k, 1)").select("bucket", "node", "root", "n_shingles")
+
+    outside = F.col("root") != F.col("root_a")
+    loose = members.where("k <= 0").where(outside | F.col("smaller")).withColumn("bucket", F.xxhash64("a"))
+    both, both_path = stored(narrow(loose.groupBy("bucket").agg(F.count("*").alias("members"), F.max(outside).alias("x"), F.max("smaller").alias("y")).where("x and y").select("bucket", "members")), "minhash-both")
+    loose = _by_bucket(loose, both).select("bucket", "node", "root", "n_shingles")
+
+    parts, parts_path = stored(narrow(own.unionByName(loose)), "minhash-parts")
+    open_buckets, open_path = stored(narrow(_open(parts)), "minhash-open")
+    parts = _by_bucket(parts.withColumn("band", F.lit(-1)), open_buckets).select("bucket", "band", "node", "root", "n_shingles", "members", "tiles")
+    parts, left_path = stored(narrow(parts), "minhash-left")
+    discard(places.sparkSession, centres_path, pairs_path, shared_path, both_path, parts_path, open_path)
+    return parts, links, [path, left_path]
+
+
 def _by_bucket(places: DataFrame, buckets: DataFrame) -> DataFrame:
     """``places`` joined to ``buckets`` (bucket, members and more); those of hot buckets by broadcast, the others by shuffle."""
     total, most = buckets.agg(F.sum("members"), F.max("members")).first()
@@ -316,16 +398,22 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
     """The pairs (a, b) of nodes whose full sets meet the threshold, and the table's path."""
     pairs, pairs_path = stored(narrow(pairs), "minhash-pairs")
     sets, sets_path = _sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    # Pairs of a hub with very many spokes are dealt to several tasks, each with the hub's set; such hubs are fewer than 1 / HOT.
+    links, path = stored(_met(pairs, sets).select("a", "b", "of_a", "of_b").mapInArrow(_confirmer(percent), "a long, b long"), "minhash-links")
+    discard(docs.sparkSession, pairs_path, sets_path)
+    return links, path
+
+
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and more) with the shingles of both, of_a and of_b.
+
+    Pairs of a hub with very many spokes are dealt to several tasks, each with the hub's set; such hubs are fewer than 1 / HOT.
+    """
     least = max(TILE, int(pairs.count() * HOT))
     hot = F.broadcast(pairs.groupBy("a").count().where(F.col("count") > least).select("a", F.lit(True).alias("hot")))
     dealt = pairs.join(hot, "a", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("b"), F.lit(SALTS))).otherwise(0)).drop("hot")
     of_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(hot, "a", "left")
     of_a = of_a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0)))).drop("hot")
-    met = dealt.join(of_a, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    links, path = stored(met.select("a", "b", "of_a", "of_b").mapInArrow(_confirmer(percent), "a long, b long"), "minhash-links")
-    discard(docs.sparkSession, pairs_path, sets_path)
-    return links, path
+    return dealt.join(of_a, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:

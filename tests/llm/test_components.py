@@ -76,6 +76,64 @@ def test_labels_of_components_are_joined(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 2 and asked == ["minhash-first", "minhash-final"]
 
 
+def near_copies(n, seed, vocabulary):
+    """Copies of a text with some words replaced or cut off, of a second one that has half of it, and of families that replaced a passage alike."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    starts = [base, base[:60] + [f"u{i}" for i in range(55)], *([*base[:i], *(f"f{i}-{j}" for j in range(9)), *base[i + 9 :]] for i in (20, 70))]
+    out = [" ".join(base)]
+    for _ in range(n):
+        words = list(rng.choice(starts))
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(vocabulary)}"
+        out.append(" ".join(words[: len(words) - rng.choice([0, 0, 0, 5, 14, 25])]))
+    return out
+
+
+@pytest.mark.parametrize(("percent", "long", "vocabulary"), [(80, 5, 10**6), (80, 2, 3), (60, 2, 40)])
+def test_large_buckets_are_parted_without_loss(spark, monkeypatch, percent, long, vocabulary):
+    """Families of near copies around several texts, in buckets of many tiles: the components are those of brute force."""
+    monkeypatch.setattr(minhash, "TILE", 6)
+    monkeypatch.setattr(minhash, "SIGMAS", 40.0)
+    monkeypatch.setattr(minhash, "rows_of_bands", lambda _: long)
+    passes, of = [], minhash._parted
+    monkeypatch.setattr(minhash, "_parted", lambda *a: passes.append(1) or of(*a))
+    texts = near_copies(150, percent + vocabulary, vocabulary)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    want = {i: i for i in range(len(sets))} | least_reachable(near)
+    assert got == want and len(set(want.values())) > 1 and passes
+
+
+def test_tiles_meet_no_more_rows_than_buckets_hold(spark, monkeypatch):
+    """Near copies of a text in buckets of many tiles: the rows that meet in tiles are fewer than the places in buckets, 33 a text."""
+    monkeypatch.setattr(minhash, "TILE", 16)
+    of = minhash._tiler
+
+    def met(n):
+        rows = spark.sparkContext.accumulator(0)
+
+        def counted(percent):
+            run = of(percent)
+
+            def seen(batches):
+                for batch in batches:
+                    rows.add(batch.num_rows)
+                    yield batch
+
+            return lambda batches: run(seen(batches))
+
+        monkeypatch.setattr(minhash, "_tiler", counted)
+        rng = random.Random(8)
+        base = [f"w{i}" for i in range(150)]
+        texts = [" ".join(f"v{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(base)) for at in [[], *([rng.randrange(150) for _ in range(rng.randrange(1, 6))] for _ in range(n))]]
+        assert minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == n + 1
+        return rows.value
+
+    assert 0 < met(600) <= 33 * 601
+
+
 def test_narrow_tables_have_few_files(spark):
     """Components of many shuffle partitions leave a few files a core."""
     held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
